@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillet.llm.common import table
+from quillet.llm.decontamination import contamination
+from quillet.llm.language_id import identify, learn
 from quillet.llm.near_dedup import near_duplicates
 from quillet.llm.packing import pack
 from quillet.llm.token_counts import token_counts
@@ -17,6 +19,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = contamination(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return judged.select(
+        "doc_id", "contamination.n_words", "contamination.n_hit",
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("contamination.items", ","), 256).alias("items_sha256"),
+        "contamination.contaminated",
+    )
+
+
+ORACLE_OP1 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS k, list_slice(w, s, s + least(13, len(w)) - 1) AS win
+  FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(s) WHERE len(w) > 0
+), ks AS (SELECT DISTINCT k FROM bw),
+dw AS (
+  SELECT doc_id, k, s, list_slice(w, s, s + k - 1) AS win
+  FROM d, ks, unnest(range(1, len(w) - k + 2)) AS t(s) WHERE len(w) >= k
+), hit AS (SELECT doc_id, dw.k, s, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + k)) AS t(p) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
+""".replace("\\\\", "\\")
+
 TOKEN_LIMIT = 1024
 
 
@@ -32,10 +69,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = learn(docs.where(~held_out))
+    predicted = identify(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+QUERIES["op1_benchmark_decontamination"] = op1_benchmark_decontamination
+ORACLES["op1_benchmark_decontamination"] = ORACLE_OP1
 QUERIES["op2_token_counts"] = op2_token_counts
 QUERIES["op3_packing"] = op3_packing
+QUERIES["op4_language_id"] = op4_language_id
 QUERIES["op8_minhash_near_dedup"] = op8_minhash_near_dedup
