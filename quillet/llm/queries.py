@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillet.llm.chat_format import conversations_of, echo_pairs, format_preferences
 from quillet.llm.common import table
 from quillet.llm.decontamination import contamination
 from quillet.llm.language_id import identify, learn
 from quillet.llm.near_dedup import near_duplicates
 from quillet.llm.packing import pack
+from quillet.llm.sharding import shard_documents
 from quillet.llm.token_counts import token_counts
+from quillet.llm.url_filter import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,13 +80,85 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"), 24)
+    return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+URL_RULES = [
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+]
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = echo_pairs(conversations_of(table(spark, sf_dir, "conversations")))
+    digits = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "").alias(c)
+    return format_preferences(pairs).select(
+        "conv_id", "prompt_turns", "prompt", "chosen_text", digits("chosen_mask"), "rejected_text", digits("rejected_mask"), "usable"
+    )
+
+
+ORACLE_OP10 = """
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM conversations
+), e AS (
+  SELECT conv_id, max(k) FILTER (WHERE role = 'assistant') AS last, max(k) AS n FROM t GROUP BY conv_id
+), c AS (
+  SELECT conv_id, k, role, text, CASE WHEN k = last THEN coalesce(lag(text) OVER w, CASE WHEN k = 1 THEN '' END) ELSE text END AS other
+  FROM t JOIN e USING (conv_id) WHERE k <= coalesce(last, n) WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), p AS (
+  SELECT conv_id, coalesce(min(k) FILTER (WHERE text IS DISTINCT FROM other) - 1, max(k)) AS same FROM c GROUP BY conv_id
+), r AS (
+  SELECT conv_id, same, k, role, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS a,
+    '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(other, '') || chr(10) || '<|end|>' || chr(10) AS b,
+    CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS m
+  FROM c JOIN p USING (conv_id)
+)
+SELECT conv_id, same::INT AS prompt_turns, coalesce(string_agg(a, '' ORDER BY k) FILTER (WHERE k <= same), '') AS prompt,
+  coalesce(string_agg(a, '' ORDER BY k) FILTER (WHERE k > same), '') AS chosen_text,
+  coalesce(string_agg(m, '' ORDER BY k) FILTER (WHERE k > same), '') AS chosen_mask,
+  coalesce(string_agg(b, '' ORDER BY k) FILTER (WHERE k > same), '') AS rejected_text,
+  coalesce(string_agg(m, '' ORDER BY k) FILTER (WHERE k > same), '') AS rejected_mask,
+  coalesce(bool_or(m = '1') FILTER (WHERE k > same), false) AS usable
+FROM r GROUP BY conv_id, same
+"""
+
+ORACLE_OP7 = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), h AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u
+), r(action, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+m AS (
+  SELECT page_id, host, path, action, rhost || rpath AS rule,
+    row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+  FROM h LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WHERE k = 1
+"""
+
 QUERIES["op1_benchmark_decontamination"] = op1_benchmark_decontamination
 ORACLES["op1_benchmark_decontamination"] = ORACLE_OP1
 QUERIES["op2_token_counts"] = op2_token_counts
 QUERIES["op3_packing"] = op3_packing
 QUERIES["op4_language_id"] = op4_language_id
+QUERIES["op5_sharding"] = op5_sharding
+QUERIES["op7_url_filters"] = op7_url_filters
+# the pages hold no canonical links and no redirects, so the rules decide; aliases are tested on fixtures
+ORACLES["op7_url_filters"] = ORACLE_OP7
 QUERIES["op8_minhash_near_dedup"] = op8_minhash_near_dedup
+QUERIES["op10_chat_formatting"] = op10_chat_formatting
+ORACLES["op10_chat_formatting"] = ORACLE_OP10
