@@ -12,13 +12,14 @@ Banding. ``bands`` groups of ``rows`` coordinates are hashed; documents that sha
 are candidates. At a similarity of exactly 0.75 the defaults (51 bands of 5) lose a link
 with probability (1 - 0.75**5)**51 = 1e-6; above it far less.
 
-Verification without all pairs. Equal sets collapse first, so copies are one row. Then
+Verification without pair rows. Equal sets collapse first, so copies are one row. Then
 each bucket compares its members with one leader; components of the exact links follow.
-Buckets whose members are all in one component are settled. Only members of different
-components of a bucket are compared further, in blocks of bounded size, by their
-sketches: pairs whose agreement is more than six standard deviations under the
-threshold are left, all others are verified exactly. Links are confirmed on the full
-shingle sets of the whole texts (as 64-bit fingerprints).
+Buckets whose members are all in one component are settled. The rest are joined into
+clusters of documents that share an unsettled bucket, and a cluster is compared in pairs
+of blocks of bounded bytes: a task holds two blocks, counts the intersections of their
+full sets, skips what is connected already, and returns only links that join components,
+so its output never exceeds its documents. Links are confirmed on the full shingle sets
+of the whole texts (as 64-bit fingerprints).
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from quillet.llm.common import _SHINGLE, lowered, mix64, shingle_sets, slabs, st
 from quillet.llm.graph import connected_components
 
 _EMPTY = np.iinfo(np.uint64).max
-BLOCK = 1024
+BLOCK_BYTES = 2 << 20
 
 
 def fast_similarity_sketch(elements: np.ndarray, owners: np.ndarray, n: int, t: int) -> np.ndarray:
@@ -75,13 +76,11 @@ def _features(bands: int, rows: int):
                 for k in range(rows):
                     keys += parts[:, :, k] * (_SHINGLE[k % 5] + np.uint64(2 * (k // 5)))
                 keys = mix64(keys).view(np.int64)
-                small = (sketches * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(56)).astype(np.uint8)
                 k1, k2 = np.array(marks, dtype=np.uint64).reshape(-1, 2).T.view(np.int64)
                 yield pd.DataFrame({
                     "doc_id": batch["doc_id"].iloc[a:b].array,
                     "n_shingles": sizes, "k1": k1, "k2": k2,
                     "bands": [r if n else r[:0] for r, n in zip(keys, sizes)],
-                    "sketch": [r.tobytes() for r in small],
                 })
 
     return run
@@ -108,25 +107,54 @@ def _verify(num: int, den: int):
     return run
 
 
-def _compare_blocks(t: int, num: int, den: int):
-    least = num / den
-    floor = least - 6 * (least * (1 - least) / t) ** 0.5
+class _Forest:
+    """Disjoint sets over the component labels of one task."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _compare_blocks(num: int, den: int):
+    """Links between the documents of two blocks that join different components."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        rows = rows.drop_duplicates("rep")
-        left = rows[rows["block"] == i].reset_index(drop=True)
-        right = left if i == j else rows[rows["block"] == j].reset_index(drop=True)
-        out = []
-        if len(left) and len(right):
-            y = np.frombuffer(b"".join(right["sketch"]), dtype=np.uint8).reshape(len(right), -1)
-            ny, cy, ry = (right[c].to_numpy() for c in ("n_shingles", "component", "rep"))
-            for rep, comp, n, raw in zip(left["rep"], left["component"], left["n_shingles"], left["sketch"]):
-                want = np.flatnonzero((cy != comp) & (den * np.minimum(n, ny) >= num * np.maximum(n, ny)) & ((ry > rep) if i == j else True))
-                if len(want):
-                    same = (y[want] == np.frombuffer(raw, dtype=np.uint8)).mean(axis=1)
-                    want = want[same >= floor]
-                    out += [(min(rep, r), max(rep, r)) for r in ry[want]]
+        rows = rows.drop_duplicates(["rep", "text"]).reset_index(drop=True)
+        texts = [lowered(t) for t in rows["text"]]
+        sets: list[np.ndarray] = []
+        for a, b in slabs(texts):
+            sets += shingle_sets(texts[a:b])
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(ids) and ids.max() + 1, dtype=bool)
+        ends = np.cumsum(sizes)
+        block, rep, component = (rows[c].to_numpy() for c in ("block", "rep", "component"))
+        right = np.flatnonzero(block == j)
+        ids_right = np.concatenate([ids[ends[y] - sizes[y] : ends[y]] for y in right] or [ids[:0]])
+        begins = np.cumsum(sizes[right]) - sizes[right]
+        forest, out = _Forest(), []
+        for x in np.flatnonzero(block == i):
+            n, of_x = sizes[x], ids[ends[x] - sizes[x] : ends[x]]
+            maybe = (component[right] != component[x]) & (den * np.minimum(n, sizes[right]) >= num * np.maximum(n, sizes[right]))
+            if not maybe.any():
+                continue
+            mark[of_x] = True
+            both = np.add.reduceat(mark[ids_right], begins, dtype=np.int64)
+            mark[of_x] = False
+            linked = maybe & (den * both >= num * (n + sizes[right] - both))
+            for y in right[linked]:
+                if forest.join(int(component[x]), int(component[y])):
+                    out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -143,19 +171,18 @@ def near_duplicates(docs: DataFrame, bands: int = 51, rows: int = 5, num: int =
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    t = bands * rows
     features = stored(
         docs.select("doc_id", "text").mapInPandas(
             _features(bands, rows),
-            "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary",
+            "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>",
         ),
         "features",
     )
     sets = features.where("n_shingles > 0 and doc_id is not null")
     reps = stored(
         sets.groupBy("k1", "k2", "n_shingles").agg(
-            F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("f")
-        ).select("k1", "k2", "n_shingles", "rep", "f.bands", "f.sketch"),
+            F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")
+        ),
         "representatives",
     )
     postings = reps.select("rep", F.explode("bands").alias("bucket"))
@@ -178,21 +205,27 @@ def near_duplicates(docs: DataFrame, bands: int = 51, rows: int = 5, num: int =
 
     # what one leader did not settle: buckets that still hold several components
     labelled = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", F.coalesce("component", "rep").alias("component")
+        "bucket", "rep", "leader", F.coalesce("component", "rep").alias("component")
     )
-    open_buckets = labelled.groupBy("bucket").agg(
+    unsettled = labelled.groupBy("bucket").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
-    ).where("lo < hi and size > 2").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(open_buckets, "bucket").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ).where("lo < hi and size > 2").select("bucket")
+    members = stored(labelled.join(unsettled, "bucket").select("leader", "rep", "component").distinct(), "unsettled")
+    clusters = connected_components(members.select("leader", "rep"), "clusters").toDF("rep", "cluster")
+    held = members.select("rep", "component").distinct().join(clusters, "rep")
+    held = stored(held.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), "clustered")
+    blocks = held.groupBy("cluster").agg(
+        F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).cast("int").alias("blocks")
     )
-    members = members.select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "rep", "component", "n_shingles", "block", "sketch",
+    placed = held.join(blocks, "cluster").withColumn(
+        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "rep", "component", "block", "text",
     )
-    more = members.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(t, num, den), "a long, b long").distinct()
-    links = links.unionByName(verified(more.join(first, ["a", "b"], "left_anti"), "links-2"))
+    more = placed.groupBy("cluster", "i", "j").applyInPandas(_compare_blocks(num, den), "a long, b long")
+    links = links.unionByName(stored(more, "links-2"))
     final = connected_components(links, "labels-2")
 
     resolved = reps.select("k1", "k2", "n_shingles", "rep").join(
