@@ -17,6 +17,7 @@ from quillet.llm.packing import pack
 from quillet.llm.sharding import shard_documents
 from quillet.llm.token_counts import token_counts
 from quillet.llm.url_filter import Rule, judge_urls
+from quillet.llm.vector_search import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +86,22 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
+
+
+ORACLE_OP6 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 URL_RULES = [
     Rule("block", "net", "/"),
     Rule("allow", "example.net", "/en/"),
@@ -156,6 +173,8 @@ QUERIES["op2_token_counts"] = op2_token_counts
 QUERIES["op3_packing"] = op3_packing
 QUERIES["op4_language_id"] = op4_language_id
 QUERIES["op5_sharding"] = op5_sharding
+QUERIES["op6_vector_search"] = op6_vector_search
+ORACLES["op6_vector_search"] = ORACLE_OP6
 QUERIES["op7_url_filters"] = op7_url_filters
 # the pages hold no canonical links and no redirects, so the rules decide; aliases are tested on fixtures
 ORACLES["op7_url_filters"] = ORACLE_OP7
