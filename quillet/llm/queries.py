@@ -14,6 +14,7 @@ from quillet.llm.decontamination import contamination
 from quillet.llm.language_id import identify, learn
 from quillet.llm.near_dedup import near_duplicates
 from quillet.llm.packing import pack
+from quillet.llm.recurrent_lm import score_documents
 from quillet.llm.sharding import shard_documents
 from quillet.llm.token_counts import token_counts
 from quillet.llm.url_filter import Rule, judge_urls
@@ -118,6 +119,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = echo_pairs(conversations_of(table(spark, sf_dir, "conversations")))
     digits = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "").alias(c)
@@ -179,5 +184,6 @@ QUERIES["op7_url_filters"] = op7_url_filters
 # the pages hold no canonical links and no redirects, so the rules decide; aliases are tested on fixtures
 ORACLES["op7_url_filters"] = ORACLE_OP7
 QUERIES["op8_minhash_near_dedup"] = op8_minhash_near_dedup
+QUERIES["op9_lm_scoring"] = op9_lm_scoring
 QUERIES["op10_chat_formatting"] = op10_chat_formatting
 ORACLES["op10_chat_formatting"] = ORACLE_OP10
