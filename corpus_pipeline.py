@@ -9,22 +9,63 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm.common import table, work_dir
+from quillet.llm.common import scratch, table, work_dir
+from quillet.llm.decontamination import contamination
+from quillet.llm.language_id import UNDETERMINED, identify, learn
 from quillet.llm.near_dedup import near_duplicates
+from quillet.llm.packing import pack
+
+#: Folder of the stages' intermediate tables, emptied when the next stage begins, by which
+#: time the last one's result is written.
+SCRATCH = "quillet-stage"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told stay: those with a text that has letters.
+
+    The model is learnt from the labelled documents themselves (a bounded sample). Where
+    none is labelled no language is known, and documents with letters stay too.
+    """
+    with scratch(spark, SCRATCH):
+        model = learn(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = identify(docs.withColumn("_in", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_in", "text"), model)
+    return told.where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"_in.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one of the smallest id."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    with scratch(spark, SCRATCH):
+        dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated with passages of the benchmark stay."""
+    with scratch(spark, SCRATCH):
+        judged = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return judged.where(~F.col("contamination.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences of all documents that are left, with their token ids."""
+    with scratch(spark, SCRATCH):
+        return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
 
-ORACLE_SQL = None  # language ID, sketching and tokenisation have no SQL form
+ORACLE_SQL = None  # language models, sketching and tokenisation have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +33,16 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_folders = ["quillet"]
+
+
 def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and return a reader of it.
 
     This cuts the lineage: a lost executor costs its running tasks only.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/quillet/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{_folders[-1]}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partitions:
         writer = writer.partitionBy(*partitions)
@@ -46,11 +50,19 @@ def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete every table that ``stored`` wrote; call it once no result needs them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/quillet")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """Within this context ``stored`` writes to a folder of its own; what the last context
+    of the same name has left is deleted first. For steps whose results are written before
+    the next one begins."""
+    path = f"{work_dir(spark)}/{name}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _folders.append(name)
+    try:
+        yield
+    finally:
+        _folders.pop()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
