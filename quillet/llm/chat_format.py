@@ -38,7 +38,8 @@ def conversations_of(turns: DataFrame) -> DataFrame:
 
 
 def format_preferences(pairs: DataFrame) -> DataFrame:
-    """``pairs`` without chosen and rejected, and with the formatted texts and masks.
+    """``pairs`` without chosen and rejected, and with the formatted texts and masks (which
+    replace columns of the same names).
 
     ``chosen`` and ``rejected`` are arrays of (role, text); null counts as empty.
     prompt_turns: turns of the longest common prefix; prompt: their text, rendered once;
@@ -47,7 +48,9 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     completions have a trained turn. Equal conversations have empty completions.
     """
     nothing = F.array().cast("array<struct<role:string,text:string>>")
-    cols = [F.col(f"`{c}`") for c in pairs.columns if c not in ("chosen", "rejected")]
+    made = ("prompt_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask", "usable")
+    carried = [c for c in pairs.columns if c not in ("chosen", "rejected", *made)]
+    cols = [F.col(f"`{c}`") for c in carried] or [F.lit(None).alias("_none")]
     work = pairs.select(F.struct(*cols).alias("_row"), F.coalesce("chosen", nothing).alias("_a"), F.coalesce("rejected", nothing).alias("_b"))
     work = work.withColumn("_n", common_turns(F.col("_a"), F.col("_b")))
     rest = lambda x: F.slice(x, F.col("_n") + 1, F.size(x))
@@ -55,7 +58,7 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     text = lambda x: F.array_join(F.transform(x, render), "")
     mask = lambda x: F.transform(x, lambda t: t["role"].eqNullSafe(TRAINED_ROLE).cast("int"))
     return work.select(
-        *[F.col(f"_row.`{c}`") for c in pairs.columns if c not in ("chosen", "rejected")],
+        *[F.col(f"_row.`{c}`") for c in carried],
         F.col("_n").alias("prompt_turns"), text("_p").alias("prompt"),
         text("_a").alias("chosen_text"), mask("_a").alias("chosen_mask"),
         text("_b").alias("rejected_text"), mask("_b").alias("rejected_mask"),

@@ -202,6 +202,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "languages"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "languages")]
-    return docs.select(*[F.col(f"`{c}`") for c in kept], predict("text").alias("_p")).select(
-        *[F.col(f"`{c}`") for c in kept], "_p.lang_pred", "_p.score", "_p.languages"
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(row, predict("text").alias("_p")).select(
+        *[F.col(f"_row.`{c}`") for c in kept], "_p.lang_pred", "_p.score", "_p.languages"
     )
