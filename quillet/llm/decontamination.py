@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from quillet.llm.common import ascii_lower, stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words, once A-Z are lower-cased: the complement of the word pattern
+#: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 ANCHORS = 2
 BROADCAST_WORDS = 1_000_000
@@ -30,7 +32,7 @@ BROADCAST_WORDS = 1_000_000
 
 def words(text: Column) -> Column:
     """Words of a text with A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -141,9 +143,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     spots = found.groupBy(F.col("doc_id").alias("_doc")).agg(
         F.collect_list(F.struct("delta", "passage", "items", "size", "window")).alias("_spots")
     )
-    cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    joined = docs.alias("d").join(spots, F.col("d.doc_id") == F.col("_doc"), "left")
-    joined = joined.select(F.struct(*cols).alias("_row"), words(F.col("d.text")).alias("_words"), "_spots")
+    carried = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text")
+    )
+    joined = carried.join(spots, F.col("_id") == F.col("_doc"), "left").select("_row", words(F.col("_text")).alias("_words"), "_spots")
     tried = joined.withColumn(
         "_tried", F.when(F.col("_spots").isNotNull(), F.filter(
             F.transform("_spots", lambda d: F.struct(_hits(F.col("_words"), d).alias("hits"), d["items"].alias("items"))),
