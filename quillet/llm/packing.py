@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.common import slabs
-from quillet.llm.encoding import UnitEncoder, cut_words
+from quillet.llm.encoding import WordCoder, cut_words
 
 BATCH_BYTES = 4 << 20
 
@@ -27,18 +27,13 @@ def piece_lengths(n: int, max_length: int) -> list[int]:
     return [max_length] * (n // max_length) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def _raw(encoding) -> bytes:
-    return np.array(encoding.ids, dtype="<u4").tobytes()
-
-
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_length: int = 2048, cut=cut_words) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_length: int = 2048) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids, bucket, sequence_id, offset.
 
     ``ids`` holds the piece's token ids as little-endian unsigned 32-bit numbers;
     ``bucket`` is log2 of the length; each piece is a sequence, so ``offset`` is 0 and
-    nothing is padded. ``max_length`` must be a power of two. ``cut`` makes the units that
-    are encoded: ``cut_words`` for a tokenizer that drops white space, else
-    ``encoding.cut``. Null and empty texts are
+    nothing is padded. ``max_length`` must be a power of two, and the tokenizer
+    one of words: lower case, white space dropped. Null and empty texts are
     the end id alone: one piece of length 1. Repeated rows are packed each, as their
     own sequences; other columns are ignored; an empty table gives no rows. There is no
     shuffle: a sequence number is made of the partition's and the row's number in it.
@@ -48,15 +43,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_length: int
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer_path, _raw)
+        coder = WordCoder.get(tokenizer_path)
         for batch in batches:
             texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in slabs([t or "" for t in texts], BATCH_BYTES):
-                units = [cut(t) if t else [] for t in texts[a:b]]
-                of = encoder.learn(units).__getitem__
+                of = coder.lookup()
                 rows: list[tuple] = []
-                for doc_id, u in zip(doc_ids[a:b], units):
-                    raw = b"".join(map(of, u)) + end
+                for doc_id, text in zip(doc_ids[a:b], texts[a:b]):
+                    raw = b"".join(map(of, cut_words(text or ""))) + end
                     n, start = len(raw) // 4, 0
                     for length in piece_lengths(n, max_length):
                         rows.append((doc_id, start, length, n, raw[4 * start : 4 * (start + length)], length.bit_length() - 1))

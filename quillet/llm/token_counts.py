@@ -26,7 +26,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, batch_bytes: int = BATCH_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer_path, len)
+        encoder = UnitEncoder.get(tokenizer_path, len)
         for batch in batches:
             text = batch.column("text")
             n_bytes = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
