@@ -156,15 +156,40 @@ def mixtures(counts: np.ndarray, model: LanguageModel, penalty: float = PENALTY)
     return out
 
 
-def _features_of(texts: list[bytes], model: LanguageModel, lookup: np.ndarray) -> np.ndarray:
-    size = len(model.features)
-    counts = np.zeros((len(texts), size + 1), dtype=np.float32)
-    for i, raw in enumerate(texts):
-        if raw:
-            for start in range(0, len(raw), 1 << 22):  # whole texts, in bounded parts
-                found = lookup[grams(raw[start : start + (1 << 22)])]
-                counts[i] += np.bincount(found, minlength=size + 1)
-    return counts[:, :size]
+class FeatureCounter:
+    """Counts a model's n-grams in folded texts.
+
+    Bytes that occur in no feature share one code, so the tables over code pairs and
+    triples are small.
+    """
+
+    def __init__(self, features: np.ndarray):
+        self.size = n = len(features)
+        kinds, used = features >> 24, np.zeros(256, dtype=bool)
+        for shift in range(3):
+            used[((features >> 8 * shift) & 0xFF)[kinds > shift]] = True
+        self.code = np.where(used, np.cumsum(used), 0).astype(np.int32)
+        self.base = int(used.sum()) + 1
+        self.tables = []
+        for k in (1, 2, 3):
+            at = np.flatnonzero(kinds == k)
+            place = np.zeros(len(at), dtype=np.int64)
+            for shift in range(k - 1, -1, -1):
+                place = place * self.base + self.code[(features[at] >> 8 * shift) & 0xFF]
+            table = np.full(self.base**k, n, dtype=np.uint16)
+            table[place] = at
+            self.tables.append(table)
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        counts = np.zeros((len(texts), self.size + 1), dtype=np.float32)
+        for i, raw in enumerate(texts):
+            for start in range(0, len(raw), 1 << 21):  # whole texts, in bounded parts
+                b = self.code[np.frombuffer(b" " + raw[start : start + (1 << 21)] + b" ", dtype=np.uint8)]
+                two = b[:-1] * self.base + b[1:]
+                three = two[:-1] * self.base + b[2:]
+                for table, at in zip(self.tables, (b, two, three)):
+                    counts[i] += np.bincount(table[at], minlength=self.size + 1)
+        return counts[:, : self.size]
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -181,15 +206,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double, languages array<struct<lang:string,share:double>>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = broadcast.value
-        lookup = np.full(1 << 26, len(model.features), dtype=np.uint16)
-        lookup[model.features] = np.arange(len(model.features), dtype=np.uint16)
+        count = FeatureCounter(model.features)
         names = model.languages
         for texts in batches:
             rows = [(UNDETERMINED, 0.0, [])] * len(texts)
             known = [i for i, t in enumerate(texts) if names and has_letter(t)]
             for a in range(0, len(known), 256):
                 part = known[a : a + 256]
-                counts = _features_of([fold(texts.iloc[i]) for i in part], model, lookup)
+                counts = count([fold(texts.iloc[i]) for i in part])
                 some = counts.sum(axis=1) > 0
                 share = np.zeros((len(part), len(names)), dtype=np.float32)
                 if some.any():
