@@ -8,12 +8,14 @@ distance. Factor 1 is exact; smaller factors prune more and may lose neighbours.
 
 Equal vectors are indexed once, with the k + 1 smallest of their ids: with ties going to
 the smaller id, no other copy can be among the k nearest of any query. Queries go to all
-shards in blocks, so that a task holds one tree and one block of queries.
+shards in blocks; a task meets the shards of its part one after the other, carries the
+best distances along for pruning, and passes on k rows a query however many shards it met.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from quillet.llm.common import stored
 
 SHARD_ROWS = 2048
-QUERY_ROWS = 2048
+QUERY_ROWS = 1024
+#: Tasks that share a block's shards; each passes its k best on, whatever the shards.
+PARTS = 8
 LEAF = 32
 #: Slack for rounding in pruning and in local ranking.
 SLACK = 1e-7
@@ -55,7 +59,8 @@ class VantageTree:
 
     def __init__(self, vectors: np.ndarray, stored_tree: dict[str, np.ndarray] | None = None):
         norms = (vectors**2).sum(axis=1)
-        self.points = np.hstack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]])
+        self.top = norms.max()
+        self.points = np.hstack([vectors, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
         if stored_tree is None:
             self._nodes: list[tuple] = []
             self._radii: list[float] = []
@@ -85,12 +90,16 @@ class VantageTree:
             self._radii.append(distance[by[half - 1]])
         return len(self._nodes) - 1
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, rows) of the k nearest of each query; row -1 where there are fewer."""
+    def search(self, queries: np.ndarray, k: int, factor: float, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, rows) of the k nearest of each query; row -1 where there are fewer.
+
+        ``reach`` bounds each query's distance from the start: what is known already.
+        """
         self.q = np.hstack([queries, np.zeros((len(queries), 1))])
         self.square = (self.q**2).sum(axis=1)
         self.best = np.full((len(queries), k), np.inf)
         self.rows = np.full((len(queries), k), -1)
+        self.reach = np.full(len(queries), np.inf) if reach is None else reach
         self._visit(len(self.nodes) - 1, np.arange(len(queries)), k, factor)
         return self.best, self.rows
 
@@ -115,7 +124,7 @@ class VantageTree:
         near = away <= radius
         self._visit(inside, at[near], k, factor)
         self._visit(outside, at[~near], k, factor)
-        reach = factor * self.best[at].max(axis=1) + SLACK
+        reach = factor * np.minimum(self.best[at].max(axis=1), self.reach[at]) + SLACK
         self._visit(outside, at[near & (radius - away <= reach)], k, factor)
         self._visit(inside, at[~near & (away - radius <= reach)], k, factor)
 
@@ -140,27 +149,61 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": rows["dim"].iloc[:1], "block": rows["block"].iloc[:1], "asked": [raw]})
 
 
-def _search(k: int, factor: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        index, asked = np.load(io.BytesIO(rows["packed"].iloc[0])), np.load(io.BytesIO(rows["asked"].iloc[0]))
+class _Found:
+    """The k best candidates of each query of a block over the shards seen so far."""
+
+    def __init__(self, raw: bytes, k: int):
+        asked = np.load(io.BytesIO(raw))
+        self.queries, self.ids, self.k = asked["vectors"], asked["ids"], k
+        self.score = np.full((len(self.ids), k), -np.inf)
+        self.vec = np.full((len(self.ids), k), -1, dtype=np.int64)
+        self.square = (self.queries**2).sum(axis=1)
+
+    def meet(self, raw: bytes, factor: float) -> None:
+        index = np.load(io.BytesIO(raw))
         vectors, ids, counts = index["vectors"], index["ids"], index["counts"]
         ends = np.cumsum(counts)
-        queries, query_ids = asked["vectors"], asked["ids"]
+        tree = VantageTree(vectors, index)
+        # the k-th best score so far as a distance in this shard's space
+        worst = self.score.min(axis=1)
+        reach = np.sqrt(np.maximum(self.square + tree.top - 2 * np.where(np.isfinite(worst), worst, 0), 0))
+        reach[~np.isfinite(worst)] = np.inf
         # one more than k, as the query's own vector may be among them, and a few for
         # distances that rounding makes equal; exact scores settle the order
-        tree = VantageTree(vectors, index)
-        _, found = tree.search(queries, min(k + 5, len(vectors)), factor)
-        out = []
-        for q in range(len(queries)):
-            rows_q = found[q][found[q] >= 0]
-            owners = np.repeat(rows_q, counts[rows_q])
-            own_ids = np.concatenate([ids[ends[r] - counts[r] : ends[r]] for r in rows_q])
-            keep = own_ids != query_ids[q]
-            owners, own_ids = owners[keep], own_ids[keep]
-            score = inner_products(np.broadcast_to(queries[q], (len(owners), queries.shape[1])), vectors[owners])
-            order = np.lexsort((own_ids, -score))[:k]
-            out.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": own_ids[order], "score": score[order]}))
-        return pd.concat(out, ignore_index=True)
+        _, found = tree.search(self.queries, min(self.k + 5, len(vectors)), factor, reach)
+        for q in range(len(self.ids)):
+            rows = found[q][found[q] >= 0]
+            if not len(rows):
+                continue
+            owners = np.repeat(rows, counts[rows])
+            own = np.concatenate([ids[ends[r] - counts[r] : ends[r]] for r in rows])
+            keep = own != self.ids[q]
+            owners, own = owners[keep], own[keep]
+            score = inner_products(np.broadcast_to(self.queries[q], (len(owners), self.queries.shape[1])), vectors[owners])
+            score, own = np.concatenate([self.score[q], score]), np.concatenate([self.vec[q], own])
+            order = np.lexsort((own, -score))[: self.k]
+            self.score[q], self.vec[q] = score[order], own[order]
+
+    def rows(self) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": np.repeat(self.ids, self.k), "vec_id": self.vec.ravel(), "score": self.score.ravel()})
+        return out[np.isfinite(out["score"])]
+
+
+def _search(k: int, factor: float):
+    """Meets the shards of each (dim, block, part), which come one after the other, and
+    yields the k best of each query of the block: holds one tree and one block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, found = None, None
+        for batch in batches:
+            for dim, block, part, packed, asked in zip(*(batch[c] for c in ("dim", "block", "part", "packed", "asked"))):
+                if at != (dim, block, part):
+                    if found is not None:
+                        yield found.rows()
+                    at, found = (dim, block, part), _Found(asked, k)
+                found.meet(packed, factor)
+        if found is not None:
+            yield found.rows()
 
     return run
 
@@ -194,8 +237,11 @@ def nearest(table: DataFrame, is_query, k: int = 20, factor: float = 1.0, shard_
     )
     # every block meets every shard of its length: a stated query set against all rows
     spread = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = index.join(spread, ["dim", "shard"])
-    local = pairs.groupBy("dim", "shard", "block").applyInPandas(_search(k, factor), "query_id long, vec_id long, score double")
+    pairs = index.join(spread, ["dim", "shard"]).withColumn("part", F.pmod("shard", F.lit(PARTS)))
+    ordered = pairs.repartition("dim", "block", "part").sortWithinPartitions("dim", "block", "part", "shard")
+    local = ordered.select("dim", "block", "part", "packed", "asked").mapInPandas(
+        _search(k, factor), "query_id long, vec_id long, score double"
+    )
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.distinct().withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
