@@ -109,3 +109,26 @@ def latest_only(rows: DataFrame) -> DataFrame:
     """The newest row of each session in a batch: what a one-place queue would hold."""
     rest = [c for c in rows.columns if c not in ("session",)]
     return rows.groupBy("session").agg(F.max_by(F.struct(*rest), "pos").alias("_l")).select("session", "_l.*")
+
+
+def outside_blocked(spans: DataFrame, blocked: DataFrame, key: str) -> DataFrame:
+    """Spans (key, start, end) that overlap no blocked span of the same key."""
+    b = blocked.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    hit = (F.col(key) == F.col("_k")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
+    return spans.join(b, hit, "left_anti")
+
+
+def greedy_spans(ranked: Column) -> Column:
+    """Spans (start, end, ...) of an array in order of rank, each kept unless it overlaps
+    a kept one: the array form of greedy non-overlap selection."""
+    return F.aggregate(
+        ranked, F.slice(ranked, 1, 0),
+        lambda kept, s: F.when(
+            F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept
+        ).otherwise(F.concat(kept, F.array(s))),
+    )
+
+
+def top_per_group(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("_n", n).where(F.col("_n") <= k).drop("_n")

@@ -1,0 +1 @@
+"""Structured Streaming operators of the refinement service."""
