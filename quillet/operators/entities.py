@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.text import casefold, strip
+from quillet.sources.store import shared_table
 
 ENTITY = "entity_id long, canonical_text string, entity_type string, domain string, normalization_policy string, priority int, enabled boolean, source string"
 ALIAS = "alias_id long, entity_id long, alias string"
@@ -71,8 +72,6 @@ def upsert(entities: DataFrame, aliases: DataFrame, incoming: DataFrame) -> tupl
     top = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0)).alias("top"))
     fresh = known.where("entity_id is null").drop("entity_id")
     # ids follow the order of the keys; a merge holds at most a dictionary of new rows
-    from pyspark.sql import Window
-
     numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy(*keys))).join(F.broadcast(top)).withColumn("entity_id", F.col("top") + F.col("n"))
     merged = known.where("entity_id is not null").unionByName(numbered.drop("n", "top")).withColumn("enabled", F.lit(True))
     columns = entities.columns
@@ -110,6 +109,10 @@ class EntityStore:
     def spark(self) -> SparkSession:
         return self.entities.sparkSession
 
+    def settled(self) -> "EntityStore":
+        """The same tables, stored: the plans of changes don't pile up."""
+        return EntityStore(shared_table(self.entities.coalesce(1), "entities"), shared_table(self.aliases.coalesce(1), "aliases"))
+
     def _require(self, entity_id: int):
         found = self.entities.where(F.col("entity_id") == entity_id).limit(1).collect()
         if not found:
@@ -122,7 +125,7 @@ class EntityStore:
             raise EntityError("an entity needs a canonical text and a known policy")
         row = [(canonical_text, entity_type, domain, normalization_policy, priority, source, list(aliases), 0)]
         kind = "canonical_text string, entity_type string, domain string, normalization_policy string, priority int, source string, aliases array<string>, pos int"
-        return EntityStore(*upsert(self.entities, self.aliases, self.spark.createDataFrame(row, kind)))
+        return EntityStore(*upsert(self.entities, self.aliases, self.spark.createDataFrame(row, kind))).settled()
 
     def update(self, entity_id: int, **fields) -> "EntityStore":
         """Change fields by id; ``enabled`` stays, ``aliases`` are replaced if given."""
@@ -135,19 +138,19 @@ class EntityStore:
         changed = self.spark.createDataFrame([tuple(row[c] for c in self.entities.columns)], self.entities.schema)
         out = replace(self, entities=self.entities.where(F.col("entity_id") != entity_id).unionByName(changed))
         if aliases is None:
-            return out
+            return out.settled()
         high = self.aliases.agg(F.coalesce(F.max("alias_id"), F.lit(0))).first()[0]
         tidy = [a for a in dict.fromkeys(x.strip() for x in aliases) if a and a != row["canonical_text"]]
         mine = self.spark.createDataFrame([(high + 1 + i, entity_id, a) for i, a in enumerate(tidy)], ALIAS)
-        return replace(out, aliases=self.aliases.where(F.col("entity_id") != entity_id).unionByName(mine))
+        return replace(out, aliases=self.aliases.where(F.col("entity_id") != entity_id).unionByName(mine)).settled()
 
     def enable(self, entity_id: int, enabled: bool = True) -> "EntityStore":
         self._require(entity_id)
-        return replace(self, entities=set_enabled(self.entities, entity_id, enabled))
+        return replace(self, entities=set_enabled(self.entities, entity_id, enabled)).settled()
 
     def remove(self, entity_id: int) -> "EntityStore":
         self._require(entity_id)
-        return EntityStore(*delete(self.entities, self.aliases, entity_id))
+        return EntityStore(*delete(self.entities, self.aliases, entity_id)).settled()
 
     def view(self, domain: str | None = None, enabled_only: bool = True) -> DataFrame:
         return entity_view(self.entities, self.aliases, domain, enabled_only).orderBy(*view_order())
