@@ -120,7 +120,9 @@ def qc_until_target(rows: DataFrame, batch: int = 2 * SETTINGS.concurrency) -> D
 
 
 def distribution(records: DataFrame) -> DataFrame:
-    """(dimension, value, count) of scene, language and is_fragment, and the total."""
+    """(dimension, value, count) of scene, language and is_fragment, and the total.
+
+    An empty table has no rows, not even a total."""
     keyed = records.select(
         F.coalesce("scene", F.lit("unknown")).alias("scene"), F.coalesce("language", F.lit("unknown")).alias("language"),
         F.initcap(F.coalesce("is_fragment", F.lit(False)).cast("string")).alias("is_fragment"),

@@ -24,7 +24,9 @@ IDLE_MS = 20 * 60 * 1000
 
 def stateful(events: DataFrame, schema: str, load: Callable[[str | None], object], handle: Callable[[object, list[dict]], Iterable[dict]], mode: str = "append") -> DataFrame:
     """Groups events by ``session`` and runs ``handle(state, rows in order)`` on each
-    micro-batch's rows; ``load`` makes the state from its JSON, ``dump`` writes it."""
+    micro-batch's rows; ``load`` makes the state from its JSON, ``dump`` writes it. With
+    a column ``ts``, which must have a watermark, idle sessions expire."""
+    timed = "ts" in events.columns
     columns = [part.split(" ")[0].strip() for part in schema.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,12 +37,11 @@ def stateful(events: DataFrame, schema: str, load: Callable[[str | None], object
         rows = pd.concat(batches).sort_values("seq", kind="stable").to_dict("records")
         out = [{"session": key[0], **r} for r in handle(state, rows)]
         group.update((state.dump(),))
-        watermark = group.getCurrentWatermarkMs()
-        if watermark > 0:
+        if timed and (watermark := group.getCurrentWatermarkMs()) > 0:
             group.setTimeoutTimestamp(watermark + IDLE_MS)
         yield pd.DataFrame(out, columns=columns)
 
-    timeout = GroupStateTimeout.EventTimeTimeout if "ts" in events.columns else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
     return events.groupBy("session").applyInPandasWithState(run, schema, "state string", mode, timeout)
 
 
