@@ -1,3 +1,3 @@
 """Query plans over the driver's tables; importing this package registers them."""
 
-from quillet.plans import evaluation_queries, record_queries, text_queries  # noqa: F401
+from quillet.plans import evaluation_queries, record_queries, source_queries, text_queries  # noqa: F401
