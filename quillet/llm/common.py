@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,10 +47,24 @@ def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> Dat
     writer = df.write.option("compression", "zstd")
     if partitions:
         writer = writer.partitionBy(*partitions)
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of fewer rows for what runs in this context: whole texts are long,
+    and a batch is held several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str):
     """Within this context ``stored`` writes to a folder of its own; what the last context
@@ -80,7 +95,7 @@ def ascii_lower(text: Column) -> Column:
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 2**64)
-_SLAB = 1 << 22
+_SLAB = 1 << 21
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers: dict[str, np.ndarray] = {}

@@ -17,7 +17,7 @@ from itertools import chain
 from quillet.llm.common import environment_threads
 
 _LOOSE = re.compile(r" (?:\s|\Z)")
-CACHE_UNITS = 400_000
+CACHE_UNITS = 150_000
 LONG_UNIT = 512
 
 

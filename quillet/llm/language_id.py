@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,27 +204,32 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, languages array<struct<lang:string,share:double>>")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = broadcast.value
         count = FeatureCounter(model.features)
         names = model.languages
-        for texts in batches:
-            rows = [(UNDETERMINED, 0.0, [])] * len(texts)
-            known = [i for i, t in enumerate(texts) if names and has_letter(t)]
-            for a in range(0, len(known), 256):
-                part = known[a : a + 256]
-                counts = count([fold(texts.iloc[i]) for i in part])
+        kind = pa.struct({"lang_pred": pa.string(), "score": pa.float64(), "languages": pa.list_(pa.struct({"lang": pa.string(), "share": pa.float64()}))})
+        for batch in batches:
+            rows: list[tuple] = []
+            for a in range(0, len(batch), 256):
+                texts = batch.slice(a, 256).to_pylist()
+                part = [(UNDETERMINED, 0.0, [])] * len(texts)
+                known = [i for i, t in enumerate(texts) if names and has_letter(t)]
+                counts = count([fold(texts[i]) for i in known])
                 some = counts.sum(axis=1) > 0
-                share = np.zeros((len(part), len(names)), dtype=np.float32)
+                share = np.zeros((len(known), len(names)), dtype=np.float32)
                 if some.any():
                     share[some] = mixtures(counts[some], model)
-                for i, s, ok in zip(part, share, some):
+                for i, s, ok in zip(known, share, some):
                     order = np.argsort(-s, kind="stable")
                     best = int(order[0])
-                    found = [{"lang": names[j], "share": float(s[j])} for j in order if s[j] > 0]
-                    rows[i] = (names[best], float(min(1.0, s[best])) if ok else 0.0, found)
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "languages"])
+                    found = [(names[j], float(s[j])) for j in order if s[j] > 0]
+                    part[i] = (names[best], float(min(1.0, s[best])) if ok else 0.0, found)
+                rows += part
+            yield pa.array(
+                [{"lang_pred": p, "score": s, "languages": [{"lang": x, "share": y} for x, y in f]} for p, s, f in rows], kind
+            )
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "languages")]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
