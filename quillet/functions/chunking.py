@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,6 +81,30 @@ def join_parts(parts) -> str:
     return "".join(out)
 
 
+def first_loop(text: str) -> str | None:
+    """The phrase of 8 to 80 characters that the text repeats three times in a row, first
+    by place, then shortest; line ends are in none.
+
+    Short texts are searched by pattern, long ones by comparing the text with itself at
+    each distance, which is linear for each of the 73 lengths.
+    """
+    if len(text) < 400:
+        found = _LOOP.search(text)
+        return found[1] if found else None
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    best = None
+    for p in range(8, 81):
+        same = (codes[:-p] == codes[p:]) & (codes[:-p] != 10)
+        # ends of runs of equal places: a run of 2p means three times in a row
+        breaks = np.flatnonzero(~same)
+        starts = np.concatenate(([0], breaks + 1))
+        lengths = np.concatenate((breaks, [len(same)])) - starts
+        long = np.flatnonzero(lengths >= 2 * p)
+        if len(long) and (best is None or starts[long[0]] < best[0]):
+            best = (int(starts[long[0]]), p)
+    return None if best is None else text[best[0] : best[0] + best[1]]
+
+
 def guard_reasons(raw: str, refined: str) -> list[str]:
     """Why a refined text must not replace its source; empty if it may."""
     raw, refined = raw.strip(), refined.strip()
@@ -89,8 +114,8 @@ def guard_reasons(raw: str, refined: str) -> list[str]:
     before, out = count(raw), []
     if any(n >= 3 and len(s) >= 8 and n > before[s] for s, n in count(refined).items()):
         out.append("repeated_sentence")
-    loop = _LOOP.search(refined)
-    if loop and loop[1] not in raw:
+    # what is part of the source can't repeat a phrase that the source lacks
+    if refined not in raw and (phrase := first_loop(refined)) and phrase not in raw:
         out.append("repeated_phrase")
     if len(raw) >= 16 and len(refined) < 0.65 * len(raw):
         if len(raw) >= 24 or matching_ratio(raw, refined) < 0.35:

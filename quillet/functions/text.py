@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode-aware ``strip`` and ``split`` take it, as a Java character class.
 SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+#: The same characters one by one.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 CJK = r"㐀-䶿一-鿿"
 # Sentence ends and soft breaks of the chunker.
 SENTENCE_END = ".!?。！？"
@@ -17,7 +22,8 @@ KEPT = {"light": "，。！？,.!?：:", "medium": "，。！？,.!?", "heavy":
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Trims white space at both ends; looks at the ends only, however long the text."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse(c: Column) -> Column:

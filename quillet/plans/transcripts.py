@@ -110,7 +110,7 @@ class TranscriptPipeline:
         total = total or self.settings.total
         judged = records.withColumn("passed", rc.rule_reason(F.col("input"), F.col("refined_text")).isNull())
         kept = rc.qc_until_target(rc.targets(judged, total)).where("outcome = 'passed'")
-        ordered = kept.withColumn("_o", F.struct("scene", "pos"))
+        ordered = kept.withColumn("_o", F.concat("scene", F.lit("\0"), F.lpad(F.col("pos").cast("string"), 20, "0")))
         unique = dedup.deduplicate(ordered.select(F.col("_o").alias("pos"), casefold(F.col("refined_text")).alias("text")), self.settings.dedup_threshold)
         return ordered.join(unique.select(F.col("pos").alias("_o")), "_o", "left_semi").drop("_o")
 

@@ -140,3 +140,22 @@ def test_empty_records(spark):
     none = spark.createDataFrame([], "scene string, language string, is_fragment boolean")
     assert rc.distribution(none).collect() == []
     assert not any(r.warned for r in rc.drift(none).collect())
+
+
+def test_loops_in_long_texts():
+    rng = random.Random(4)
+    pattern = ck._LOOP
+    for _ in range(30):
+        text = "".join(rng.choices("ab\n", weights=(5, 5, 1), k=450))
+        if rng.random() < 0.7:
+            phrase = "".join(rng.choices("abcdefgh", k=rng.randint(8, 60)))
+            at = rng.randrange(len(text))
+            text = text[:at] + phrase * 3 + text[at:]
+        found = pattern.search(text)
+        assert ck.first_loop(text) == (found[1] if found else None)
+
+
+def test_strip(spark):
+    texts = [" \u3000a b\u00a0\x1f\n", "", "\u2028", "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    assert [r[0] for r in rows.select(tx.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
