@@ -69,19 +69,19 @@ def upsert(entities: DataFrame, aliases: DataFrame, incoming: DataFrame) -> tupl
     rest = [c for c in given.columns if c not in (*keys, "pos")]
     given = given.groupBy(*keys).agg(F.max_by(F.struct(*rest), "pos").alias("g")).select(*keys, "g.*")
     known = given.join(entities.select("entity_id", *keys), keys, "left")
-    top = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0)).alias("top"))
+    top = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0))).first()[0]
     fresh = known.where("entity_id is null").drop("entity_id")
     # ids follow the order of the keys; a merge holds at most a dictionary of new rows
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy(*keys))).join(F.broadcast(top)).withColumn("entity_id", F.col("top") + F.col("n"))
-    merged = known.where("entity_id is not null").unionByName(numbered.drop("n", "top")).withColumn("enabled", F.lit(True))
+    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy(*keys))).withColumn("entity_id", F.col("n") + F.lit(top))
+    merged = known.where("entity_id is not null").unionByName(numbered.drop("n")).withColumn("enabled", F.lit(True))
     columns = entities.columns
     kept = entities.join(merged.select("entity_id"), "entity_id", "left_anti")
     new_entities = kept.select(columns).unionByName(merged.select(columns))
-    high = aliases.agg(F.coalesce(F.max("alias_id"), F.lit(0)).alias("high"))
+    high = aliases.agg(F.coalesce(F.max("alias_id"), F.lit(0))).first()[0]
     listed = merged.select("entity_id", F.posexplode(tidy_aliases(F.col("aliases"), F.col("canonical_text"))).alias("at", "alias"))
-    listed = listed.withColumn("n", F.row_number().over(Window.orderBy("entity_id", "at"))).join(F.broadcast(high))
+    listed = listed.withColumn("n", F.row_number().over(Window.orderBy("entity_id", "at")))
     new_aliases = aliases.join(merged.select("entity_id"), "entity_id", "left_anti").select(aliases.columns).unionByName(
-        listed.select((F.col("high") + F.col("n")).alias("alias_id"), "entity_id", "alias")
+        listed.select((F.col("n") + F.lit(high)).alias("alias_id"), "entity_id", "alias")
     )
     return new_entities, new_aliases
 

@@ -139,10 +139,9 @@ def drift(records: DataFrame, limit: float = SETTINGS.drift) -> DataFrame:
     """(scene, target, actual, warned): configured scenes against their share of records."""
     spark = records.sparkSession
     wanted = spark.createDataFrame([(k, r) for k, (r, _) in SCENES.items()], "scene string, target double")
-    counts = records.groupBy("scene").count()
-    total = records.agg(F.count("*").alias("total"))
-    # both sides have a row for each configured scene at most
-    joined = wanted.join(counts, "scene", "left").join(F.broadcast(total))
+    everything = Window.partitionBy()  # over one row a scene
+    counts = records.groupBy("scene").count().withColumn("total", F.sum("count").over(everything))
+    joined = wanted.join(counts, "scene", "left").withColumn("total", F.coalesce(F.max("total").over(everything), F.lit(0)))
     actual = F.when(F.col("total") > 0, F.coalesce("count", F.lit(0)) / F.col("total")).otherwise(F.lit(0.0))
     out = joined.select("scene", "target", actual.alias("actual"), "total")
     return out.select("scene", "target", "actual", ((F.col("total") > 0) & (F.abs(F.col("actual") - F.col("target")) > limit)).alias("warned"))
