@@ -5,7 +5,8 @@ text; groups that alone reach the average of what is left come first and take a
 each. The ordered sizes of the rest are summed into ``2**BIN_BITS`` hash ranges, each of
 which holds whole groups, so what the driver sees is bounded however many documents
 there are. Over these ordered sizes the smallest feasible capacity is found by binary
-search with a greedy check, and the shards are cut there.
+search with a greedy check. The shards are cut within that capacity, each at the bound
+nearest to an equal share of what is left.
 
 Only DataFrame functions are used on the data; one shuffle sums group sizes and one
 numbers the slots, both of narrow rows.
@@ -53,7 +54,32 @@ def minimax_cuts(sizes: list[int], parts: int) -> list[int]:
             high = middle
         else:
             low = middle + 1
-    return greedy_cuts(prefix, max(low, 1))
+    return level_cuts(prefix, low, parts)
+
+
+def level_cuts(prefix: list[int], capacity: int, parts: int) -> list[int]:
+    """Ends of ``parts`` parts within the capacity, each as near as can be to an equal
+    share of what is left, so that the last part does not get a mere remainder."""
+    n = len(prefix)
+    need = [0] * (n + 1)  # parts that a greedy filling of the groups from i on takes
+    for i in range(n - 1, -1, -1):
+        base = prefix[i - 1] if i else 0
+        need[i] = 1 + need[bisect_right(prefix, base + capacity)]
+    cuts, start, base = [], 0, 0
+    for left in range(parts, 0, -1):
+        if start == n:
+            break
+        share = base + (prefix[-1] - base) / left
+        last = bisect_right(prefix, base + capacity)
+        end = min(bisect_right(prefix, share), last)
+        if end < last and prefix[end] - share < share - (prefix[end - 1] if end else 0):
+            end += 1
+        end = max(end, start + 1)
+        while need[end] > left - 1:
+            end += 1
+        cuts.append(end)
+        start, base = end, prefix[end - 1]
+    return cuts
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
