@@ -11,7 +11,7 @@ from quillet.functions import text as tx
 from quillet.operators import dedup, entities as en, segments as sg, windows as wn
 from quillet.operators.masking import PLACEHOLDER, SPAN, Entity, Protector, Surfaces, rule_spans
 from quillet.operators.matching import Matcher
-from quillet.plans.base import SQL_RECORDS, records, sql_collapse, sql_strip, table
+from quillet.plans.base import sql_collapse, sql_strip, table
 from quillet.plans.evaluation_queries import literal, sql_expected
 from quillet.registry import query
 

@@ -86,7 +86,7 @@ EVENTS = "session string, seq long, event string, text string"
 def run_stream(spark, tmp_path, rows, schema, build, batches=2):
     source = tmp_path / "in"
     for i in range(batches):
-        spark.createDataFrame(rows[i::batches] if False else rows[len(rows) * i // batches : len(rows) * (i + 1) // batches], schema).coalesce(1).write.mode("append").json(str(source))
+        spark.createDataFrame(rows[len(rows) * i // batches : len(rows) * (i + 1) // batches], schema).coalesce(1).write.mode("append").json(str(source))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
     q = build(stream).writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
