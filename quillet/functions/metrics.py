@@ -108,11 +108,6 @@ def sample_rate(errors: Column, units: Column) -> Column:
     return F.when(units != 0, errors / units).when(errors == 0, 0.0).otherwise(1.0)
 
 
-def corpus_rate(errors: Column, units: Column) -> Column:
-    """Micro rate over sums: 0 without units."""
-    return F.when(F.sum(units) > 0, F.sum(errors) / F.sum(units)).otherwise(0.0)
-
-
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, of strings; two empty strings are equal."""
     longest = F.greatest(F.length(a), F.length(b))

@@ -139,3 +139,19 @@ def test_registered_queries_have_oracles_that_exist():
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert len(rows) == 16 and sum(r.records for r in rows) > 0
+
+
+def test_replies_and_judging():
+    from quillet.functions import replies as rp
+    from quillet.operators import judging as jd
+
+    assert rp.parse_reply('x [1] {"a": 2}') == [1] and rp.parse_reply("```\n{}\n```") == {}
+    with pytest.raises(ValueError):
+        rp.parse_reply("nothing {")
+    assert rp.judge_identity("m", {}, {}) == "m" and len(rp.judge_identity("m", {"t": 1}, {})) == 18
+    assert rp.endpoint("http://a/", "/health") == rp.endpoint("http://a/health", "/health") == "http://a/health"
+    asked = [{"id": "q1", "n": 2}]
+    assert jd.read_answers('{"answers": [{"id": "q1", "option_index": 1}]}', asked) == [("q1", 1)]
+    for bad in ("no", '{"answers": []}', '{"answers": [{"id": "q1", "option_index": 2}]}', '{"answers": [{"id": "q1", "option_index": true}]}'):
+        with pytest.raises(ev.DataError):
+            jd.read_answers(bad, asked)
