@@ -12,7 +12,12 @@ SCENE_NAMES = sorted(SCENES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver. documents that come as fewer pieces than there are cores (one
+    small file of one row group) are dealt out, as all work on their texts is heavy; a
+    large table has more pieces than that and is read as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def scene_of(key: Column) -> Column:
