@@ -5,11 +5,16 @@ fingerprints. The commonest ``HEAD`` words are broadcast, rarer ones meet their
 one shuffle, so frequent words never gather in a task.
 
 Network. A GRU reads the previous token; the output softmax is factored into classes of
-words of similar frequency and words within the class. All words outside of the
-vocabulary form one more class, within which a word has its smoothed corpus probability,
-so the model gives every text a probability. Training is truncated backpropagation
-through windows of a bounded sample of training documents (``SAMPLE_DOCS`` documents,
-``STEPS`` windows of ``WINDOW`` tokens in ``STREAMS`` streams) with Adam.
+words of similar frequency and words within the class. The words outside of the
+vocabulary are dealt over ``REST`` more classes by fingerprint; each class is read and
+predicted as a token, and within it a word has its smoothed corpus probability, so the
+model gives every text a probability and every word is context.
+
+Training is truncated backpropagation with Adam. ``STEPS`` windows of a sample of
+documents give the weights to begin with. From these every task then reads all of its
+training documents, whole and once each, and the tasks' weights are averaged by their
+tokens. They are summed in a fixed order, but how the input is cut into tasks moves the
+weights a little.
 
 Scoring. Documents are laid into parallel streams; the state is carried from window to
 window and set to zero where a document begins, so the log-likelihood is that of the
@@ -24,21 +29,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import lowered, slabs, stored, word_fingerprints
+from quillet.llm.common import lowered, slabs, small_batches, stored, word_fingerprints
 
 END = np.uint64(0x5DEECE66D1234567)
 HEAD = 1 << 17
 VOCABULARY = 1024
 CLASS_WORDS = 32
+#: Classes of the words outside of the vocabulary, a power of two.
+REST = 32
 HIDDEN = 16
 SAMPLE_DOCS = 1024
 STEPS = 800
 WINDOW = 32
 STREAMS = 64
 POOL_TOKENS = 1 << 21
+#: The pass over all documents: tokens laid out at a time, most streams, learning rate,
+#: and rows of weights held by a task that sums them.
+PASS_TOKENS = 1 << 20
+PASS_STREAMS = 256
+PASS_RATE = 0.003
+SUM_ROWS = 16
+SUM_TASKS = 8
 SMOOTH = 0.1
 
 
@@ -60,29 +75,29 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Network:
     """GRU with class-factored softmax; arrays are float32.
 
-    Tokens are 0 .. size - 1 for the vocabulary, most frequent first, and ``size`` for
-    all other words, whose class is the last one.
+    Tokens are 0 .. size - 1 for the vocabulary, most frequent first, and size .. size +
+    rest - 1 for all other words, each a class of its own after those of the vocabulary.
     """
 
     NAMES = ("emb", "wx", "wh", "b", "wc", "bc", "wo", "bo")
 
-    def __init__(self, size: int, hidden: int = HIDDEN, seed: int = 7, arrays: dict | None = None):
-        self.size, self.hidden = size, hidden
+    def __init__(self, size: int, hidden: int = HIDDEN, seed: int = 7, arrays: dict | None = None, rest: int = 1):
+        self.size, self.hidden, self.rest = size, hidden, rest
         self.classes = -(-size // CLASS_WORDS)
         if arrays is None:
             rng = np.random.default_rng(seed)
             normal = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
             h = hidden
             arrays = dict(
-                emb=normal(size + 1, h), wx=normal(h, 3 * h), wh=normal(h, 3 * h), b=np.zeros(3 * h, np.float32),
-                wc=normal(h, self.classes + 1), bc=np.zeros(self.classes + 1, np.float32),
+                emb=normal(size + rest, h), wx=normal(h, 3 * h), wh=normal(h, 3 * h), b=np.zeros(3 * h, np.float32),
+                wc=normal(h, self.classes + rest), bc=np.zeros(self.classes + rest, np.float32),
                 wo=normal(size, h), bo=np.zeros(size, np.float32),
             )
         self.p = {k: arrays[k] for k in self.NAMES}
         self.end_token = 0
 
     def class_of(self, tokens: np.ndarray) -> np.ndarray:
-        return np.where(tokens < self.size, tokens // CLASS_WORDS, self.classes)
+        return np.where(tokens < self.size, tokens // CLASS_WORDS, tokens - self.size + self.classes)
 
     def step(self, h: np.ndarray, gx: np.ndarray) -> tuple:
         n = self.hidden
@@ -129,8 +144,9 @@ class Network:
                     ds[at] += d @ p["wo"][part]
         return out if grad is None else (out, ds)
 
-    def window_gradient(self, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray):
-        """Truncated backpropagation through one window (steps x streams)."""
+    def window_gradient(self, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray, real: np.ndarray | None = None):
+        """Truncated backpropagation through one window (steps x streams); targets where
+        ``real`` is false are padding and count for nothing."""
         p, n, steps = self.p, self.hidden, len(inputs)
         table = p["emb"] @ p["wx"] + p["b"]
         trace, states = [], []
@@ -140,7 +156,12 @@ class Network:
             trace.append((before, *gates))
             states.append(h)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        out, ds = self.log_probs(np.concatenate(states), targets.ravel(), grad)
+        if real is None or real.all():
+            out, ds = self.log_probs(np.concatenate(states), targets.ravel(), grad)
+        else:
+            at = np.flatnonzero(real)
+            ds = np.zeros((targets.size, n), h.dtype)
+            out, ds[at] = self.log_probs(np.concatenate(states)[at], targets.ravel()[at], grad)
         ds = ds.reshape(steps, -1, n)
         gates_in = np.empty((steps, inputs.shape[1], 3 * n), np.float32)
         dh = np.zeros_like(h)
@@ -154,10 +175,12 @@ class Network:
             du = np.hstack([dr, dz, dc * r])
             grad["wh"] += before.T @ du
             dh = (dh * z + du @ p["wh"].T) * keep[t][:, None]
-        flat = gates_in.reshape(-1, 3 * n)
-        grad["wx"] += p["emb"][inputs.ravel()].T @ flat
-        grad["b"] += flat.sum(axis=0)
-        np.add.at(grad["emb"], inputs.ravel(), flat @ p["wx"].T)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        tokens, starts = np.unique(inputs.ravel()[order], return_index=True)
+        by_token = np.add.reduceat(gates_in.reshape(-1, 3 * n)[order], starts, axis=0)
+        grad["wx"] += p["emb"][tokens].T @ by_token
+        grad["b"] += by_token.sum(axis=0)
+        grad["emb"][tokens] += by_token @ p["wx"].T
         return out.mean(), grad, h
 
     def train(self, sequence: np.ndarray, begins: np.ndarray, steps: int = STEPS) -> list[float]:
@@ -168,8 +191,7 @@ class Network:
         grid = sequence[: length * streams].reshape(streams, length).T
         fresh = begins[: length * streams].reshape(streams, length).T.copy()
         fresh[0] = True
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        h, at, history = np.zeros((streams, self.hidden), np.float32), 0, []
+        adam, h, at, history = Adam(self.p), np.zeros((streams, self.hidden), np.float32), 0, []
         end = self.end_token
         for i in range(1, steps + 1):
             if at >= length:
@@ -179,23 +201,26 @@ class Network:
             value, grad, h = self.window_gradient(inputs, targets, keep.astype(np.float32), h)
             at += WINDOW
             history.append(float(value))
-            rate = 0.02 * min(1, i / 20) * (1 - 0.9 * i / steps)
-            scale = 1 / targets.size
-            for k, g in grad.items():
-                g *= scale
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                self.p[k] -= rate * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-8)
+            adam.step(grad, 0.02 * min(1, i / 20) * (1 - 0.9 * i / steps), targets.size)
         return history
 
-    def score(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log-probability (natural) of each document; tokens lie one document after the
-        other. Long documents come first and each goes to the shortest stream."""
-        out = np.zeros(len(lengths))
-        if not len(tokens):
-            return out
+    def train_documents(self, tokens: np.ndarray, lengths: np.ndarray, adam: "Adam") -> None:
+        """Adam over all windows of whole documents, laid out as for scores: every token
+        is learnt once. Few tokens go into fewer streams, for more steps."""
+        grid, owner, fresh = self._streams(tokens, lengths, min(PASS_STREAMS, max(1, int(lengths.sum()) // (128 * WINDOW))))
+        h, last = np.zeros((grid.shape[1], self.hidden), np.float32), np.full(grid.shape[1], self.end_token)
+        for a in range(0, len(grid), WINDOW):
+            targets, keep, real = grid[a : a + WINDOW], ~fresh[a : a + WINDOW], owner[a : a + WINDOW] >= 0
+            inputs = np.where(keep, np.vstack([last, targets[:-1]]), self.end_token)
+            _, grad, h = self.window_gradient(inputs, targets, keep.astype(np.float32), h, real)
+            last = targets[-1]
+            adam.step(grad, PASS_RATE * min(1, (adam.steps + 1) / 20), int(real.sum()))
+
+    def _streams(self, tokens: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, document or -1, whether a document begins) of each step and stream.
+        Long documents come first and each goes to the shortest stream."""
         order = np.argsort(-lengths, kind="stable")
-        streams = int(max(1, min(512, lengths.sum() // lengths.max())))
+        streams = int(max(1, min(most, lengths.sum() // lengths.max())))
         load = np.zeros(streams, dtype=np.int64)
         parts: list[list[int]] = [[] for _ in range(streams)]
         heap = [(0, s) for s in range(streams)]
@@ -217,6 +242,16 @@ class Network:
                 owner[t : t + n, s] = doc
                 fresh[t + 1 : t + n, s] = False
                 t += n
+        return grid, owner, fresh
+
+    def score(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Log-probability (natural) of each document; tokens lie one document after the
+        other."""
+        out = np.zeros(len(lengths))
+        if not len(tokens):
+            return out
+        grid, owner, fresh = self._streams(tokens, lengths, 512)
+        steps, streams = grid.shape
         table = self.p["emb"] @ self.p["wx"] + self.p["b"]
         h = np.zeros((streams, self.hidden), np.float32)
         last = np.full(streams, self.end_token, dtype=np.int32)
@@ -237,17 +272,35 @@ class Network:
 
     def dump(self) -> bytes:
         raw = io.BytesIO()
-        np.savez(raw, size=self.size, hidden=self.hidden, end=self.end_token, **self.p)
+        np.savez(raw, size=self.size, hidden=self.hidden, rest=self.rest, end=self.end_token, **self.p)
         return raw.getvalue()
 
     @classmethod
     def load(cls, raw: bytes) -> "Network":
         arrays = np.load(io.BytesIO(raw))
-        net = cls(int(arrays["size"]), int(arrays["hidden"]), arrays=arrays)
+        net = cls(int(arrays["size"]), int(arrays["hidden"]), arrays=arrays, rest=int(arrays["rest"]))
         net.end_token = int(arrays["end"])
         return net
 
 
+class Adam:
+    """Adam's moments for the arrays ``p``, which its steps change."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.steps = p, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def step(self, grad: dict[str, np.ndarray], rate: float, size: int) -> None:
+        """``grad`` is a sum over ``size`` tokens."""
+        self.steps += 1
+        i, first, second, scale = self.steps, self.first, self.second, 1 / size
+        for k, g in grad.items():
+            g *= scale
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.01 * (g * g - second[k])
+            self.p[k] -= rate * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-8)
+
+
 class Lookup:
     """Finds the place of fingerprints in a sorted array."""
 
@@ -262,6 +315,13 @@ class Lookup:
         return at, self.words[at] == asked
 
 
+def _network_ids(tokens: np.ndarray, vocab: Lookup, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token of the network, whether in the vocabulary) of each word."""
+    at, found = vocab(tokens)
+    other = size + (tokens & np.uint64(REST - 1)).astype(np.int64)
+    return (np.where(found, ids[at], other) if len(ids) else other), found
+
+
 def _commonest(counts: DataFrame, most: int) -> DataFrame:
     """The words whose count is above a bound that at most ``most`` words exceed, and the
     end. The bound comes from a histogram of logarithmic steps, a few thousand rows, so
@@ -286,12 +346,11 @@ def _fit(words: np.ndarray, ids: np.ndarray, size: int, steps: int):
         lookup, sequence, begins = Lookup(words), [], []
         for a, b in slabs(texts):
             tokens, counts = _tokens(texts[a:b])
-            at, found = lookup(tokens)
-            sequence.append(np.where(found, ids[at], size))
+            sequence.append(_network_ids(tokens, lookup, ids, size)[0])
             first = np.zeros(len(tokens), dtype=bool)
             first[np.cumsum(counts) - counts] = True
             begins.append(first)
-        net = Network(size)
+        net = Network(size, rest=REST)
         net.end_token = int(ids[lookup(np.array([END]))[0][0]])
         net.train(np.concatenate(sequence).astype(np.int64), np.concatenate(begins), steps)
         return pd.DataFrame({"model": [net.dump()]})
@@ -299,6 +358,66 @@ def _fit(words: np.ndarray, ids: np.ndarray, size: int, steps: int):
     return run
 
 
+def _pass(shared):
+    """Trains the network on all documents of a task and returns its weights, times the
+    task's tokens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, ids, model = shared.value
+        net, vocab, seen = Network.load(model), Lookup(words), 0
+        adam, pool, size = Adam(net.p), [], 0
+
+        def learn():
+            net.train_documents(np.concatenate([p[0] for p in pool]), np.concatenate([p[1] for p in pool]), adam)
+            pool.clear()
+
+        for batch in batches:
+            texts = [lowered(t) for t in batch["text"]]
+            for a, b in slabs(texts):
+                tokens, counts = _tokens(texts[a:b])
+                pool.append((_network_ids(tokens, vocab, ids, net.size)[0].astype(np.int32), counts))
+                size, seen = size + len(tokens), seen + len(tokens)
+                if size > PASS_TOKENS:
+                    learn()
+                    size = 0
+        if pool:
+            learn()
+        if seen:
+            flat = np.concatenate([net.p[k].ravel() for k in net.NAMES]).astype(np.float64) * seen
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "tokens": [seen], "weights": [flat.tobytes()]})
+
+    return run
+
+
+def _sum_weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    part, tokens, total = 0, 0, None
+    for batch in batches:
+        for p, n, raw in zip(batch["part"], batch["tokens"], batch["weights"]):
+            flat = np.frombuffer(raw)
+            part, tokens, total = (p, n, flat.copy()) if total is None else (part, tokens + n, total + flat)
+    if total is not None:
+        yield pd.DataFrame({"part": [part], "tokens": [tokens], "weights": [total.tobytes()]})
+
+
+def _learn_all(training: DataFrame, words: np.ndarray, ids: np.ndarray, model: bytes) -> bytes:
+    """The mean of the weights that the tasks reach from ``model`` over all training
+    documents. A few tasks sum them; the driver gets a row of each of these."""
+    spark = training.sparkSession
+    schema = "part long, tokens long, weights binary"
+    reached = stored(training.select("text").mapInPandas(_pass(spark.sparkContext.broadcast((words, ids, model))), schema), "lm-pass")
+    dealt = reached.repartition(SUM_TASKS, "part").sortWithinPartitions("part")
+    with small_batches(spark, SUM_ROWS):
+        sums = sorted(dealt.mapInPandas(_sum_weights, schema).collect(), key=lambda r: r["part"])
+    if not sums:
+        return model
+    net, at = Network.load(model), 0
+    flat = np.sum([np.frombuffer(r["weights"]) for r in sums], axis=0) / sum(r["tokens"] for r in sums)
+    for k in net.NAMES:
+        net.p[k] = flat[at : at + net.p[k].size].reshape(net.p[k].shape).astype(np.float32)
+        at += net.p[k].size
+    return net.dump()
+
+
 def score_documents(docs: DataFrame, held_out, head: int = HEAD, vocabulary: int = VOCABULARY, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -325,9 +444,11 @@ def score_documents(docs: DataFrame, held_out, head: int = HEAD, vocabulary: int
         wanted = np.append(wanted[: vocabulary - 1], END)
     by = np.argsort(wanted, kind="stable")
     vocab_words, vocab_ids = wanted[by], np.arange(len(wanted))[by]
-    at, found = Lookup(words)(vocab_words)
-    rest = total - int(head_counts[at[found]].sum()) if len(wanted) else 0
-    rest_words = distinct - int(found.sum()) if len(wanted) else 0
+    # tokens and words of each class of the rest
+    rest_total, rest_words = np.zeros(REST), np.zeros(REST)
+    outside = counts.where(~F.col("word").isin(wanted.view(np.int64).tolist()))
+    for r in outside.groupBy(F.col("word").bitwiseAND(F.lit(REST - 1)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        rest_total[r["k"]], rest_words[r["k"]] = r["n"], r["words"]
 
     model = None
     if total:
@@ -341,18 +462,22 @@ def score_documents(docs: DataFrame, held_out, head: int = HEAD, vocabulary: int
         fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(_fit(vocab_words, vocab_ids, len(wanted), steps), "model binary").collect()
         model = fitted[0]["model"] if fitted else None
     if model is None:
-        net = Network(max(1, len(wanted)))
+        net = Network(max(1, len(wanted)), rest=REST)
+        if total:  # texts are null, each an end alone
+            net.end_token = int(vocab_ids[Lookup(vocab_words)(np.array([END]))[0][0]])
         model = net.dump()
+    if total:
+        model = _learn_all(training, vocab_words, vocab_ids, model)
     shared = spark.sparkContext.broadcast((words, head_counts, vocab_words, vocab_ids, model))
     base_total = total + SMOOTH * (distinct + 1)
-    rest_total = rest + SMOOTH * (rest_words + 1)
+    rest_total += SMOOTH * (rest_words + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, head_counts, vocab_words, vocab_ids, model = shared.value
         net = Network.load(model)
         common, vocab = Lookup(words), Lookup(vocab_words)
         base_log = np.log10((head_counts + SMOOTH) / base_total)
-        rest_log = np.log10((head_counts + SMOOTH) / rest_total)
+        rest_log = np.log10((head_counts + SMOOTH) / rest_total[(words & np.uint64(REST - 1)).astype(np.int64)])
         pool: list[tuple] = []
 
         def flush():
@@ -377,8 +502,7 @@ def score_documents(docs: DataFrame, held_out, head: int = HEAD, vocabulary: int
                 owner = np.repeat(np.arange(b - a), counts)
                 sums = lambda v, w: np.bincount(owner[w], weights=v, minlength=b - a)
                 at, found = common(tokens)
-                place, inside = vocab(tokens)
-                ids = np.where(inside, vocab_ids[place] if len(vocab_ids) else 0, net.size if len(vocab_ids) else 0)
+                ids, inside = _network_ids(tokens, vocab, vocab_ids, net.size)
                 middle = found & ~inside
                 rare = ~found & ~inside
                 # a word of the vocabulary may be outside the head (the end in a tiny head)
@@ -401,9 +525,10 @@ def score_documents(docs: DataFrame, held_out, head: int = HEAD, vocabulary: int
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     asked = scored.select("row", F.explode("rare").alias("word"))
     n = F.coalesce(F.col("n"), F.lit(0))
+    of_class = F.array(*[F.lit(float(x)) for x in rest_total])[F.col("word").bitwiseAND(F.lit(REST - 1)).cast("int")]
     met = asked.join(counts, "word", "left").groupBy("row").agg(
         F.count("n").alias("more_known"), F.sum(F.log10((n + SMOOTH) / F.lit(base_total))).alias("more_base"),
-        F.sum(F.log10((n + SMOOTH) / F.lit(rest_total))).alias("more_score"),
+        F.sum(F.log10((n + SMOOTH) / of_class)).alias("more_score"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return scored.join(met, "row", "left").select(
