@@ -5,9 +5,13 @@ vectors of a shard the same norm, so the triangle inequality holds. A node keeps
 vantage point and the median distance to it; a subtree is left when the triangle
 inequality shows that it holds nothing nearer than ``factor`` times the k-th best
 distance. Factor 1 is exact; smaller factors prune more and may lose neighbours.
+Distances only prune, with a slack for their rounding; leaves rank by the inner products
+themselves, ties by the smallest id. Shards hold vectors of similar size, so that a few
+large ones cannot blur the distances of all others.
 
 Equal vectors are indexed once, with the k + 1 smallest of their ids: with ties going to
-the smaller id, no other copy can be among the k nearest of any query. Queries go to all
+the smaller id, no other copy can be among the k nearest of any query, and k vectors that
+hold an id besides the query's own are enough of each shard. Queries go to all
 shards in blocks; a task meets the shards of its part one after the other, carries the
 best distances along for pruning, and passes on k rows a query however many shards it met.
 """
@@ -29,8 +33,10 @@ QUERY_ROWS = 1024
 #: Tasks that share a block's shards; each passes its k best on, whatever the shards.
 PARTS = 8
 LEAF = 32
-#: Slack for rounding in pruning and in local ranking.
-SLACK = 1e-7
+#: Stands for no id, after all others.
+NONE = np.iinfo(np.int64).max
+#: Powers of two of the largest component that vectors of one shard span.
+BAND = 8
 
 
 def usable_vectors(table: DataFrame) -> DataFrame:
@@ -58,9 +64,12 @@ class VantageTree:
     """
 
     def __init__(self, vectors: np.ndarray, stored_tree: dict[str, np.ndarray] | None = None):
-        norms = (vectors**2).sum(axis=1)
+        # the geometry is that of vectors divided by the largest component
+        self.vectors, self.unit = vectors, np.abs(vectors).max()
+        scaled = vectors / self.unit
+        norms = (scaled**2).sum(axis=1)
         self.top = norms.max()
-        self.points = np.hstack([vectors, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
+        self.points = np.hstack([scaled, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
         if stored_tree is None:
             self._nodes: list[tuple] = []
             self._radii: list[float] = []
@@ -90,41 +99,75 @@ class VantageTree:
             self._radii.append(distance[by[half - 1]])
         return len(self._nodes) - 1
 
-    def search(self, queries: np.ndarray, k: int, factor: float, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, rows) of the k nearest of each query; row -1 where there are fewer.
+    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float, known: np.ndarray) -> np.ndarray:
+        """Rows of the k largest inner products of each query, -1 where there are fewer.
 
-        ``reach`` bounds each query's distance from the start: what is known already.
+        ``ids`` has the two smallest ids of each row, ``own`` the queries' ids: a row
+        counts with its smallest id that is not the query's own, ties go to the smaller
+        one, and a row without any is none. ``known`` is a score that k other ids have.
         """
-        self.q = np.hstack([queries, np.zeros((len(queries), 1))])
+        self.queries, self.own, self.ids, self.known = queries, own, ids, known
+        # queries of like size share the vectors' unit; others have their own, as only the
+        # direction of a query matters
+        largest = np.abs(queries).max(axis=1)
+        self.part = np.where(np.abs(np.log2(largest) - np.log2(self.unit)) <= BAND, self.unit, largest)
+        self.q = np.hstack([queries / self.part[:, None], np.zeros((len(queries), 1))])
         self.square = (self.q**2).sum(axis=1)
-        self.best = np.full((len(queries), k), np.inf)
+        # a squared distance is off by a few roundings of the squared norms
+        rounding = 4 * np.sqrt(np.finfo(float).eps * (queries.shape[1] + 4))
+        self.slack = rounding * (np.sqrt(self.square) + np.sqrt(self.top))
+        self.blur = 4 * queries.shape[1] ** 2 * np.finfo(float).eps * largest * self.unit + np.finfo(float).tiny
+        self.best = np.full((len(queries), k), -np.inf)
+        self.names = np.full((len(queries), k), NONE)
         self.rows = np.full((len(queries), k), -1)
-        self.reach = np.full(len(queries), np.inf) if reach is None else reach
         self._visit(len(self.nodes) - 1, np.arange(len(queries)), k, factor)
-        return self.best, self.rows
+        return self.rows
 
     def _distances(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
         p = self.points[rows]
         return np.sqrt(np.maximum(self.square[at][:, None] + (p**2).sum(axis=1) - 2 * self.q[at] @ p.T, 0))
 
+    def _reach(self, at: np.ndarray, factor: float) -> np.ndarray:
+        """The distance beyond which nothing can be among the k best."""
+        worst = np.maximum(self.best[at].min(axis=1), self.known[at]) / self.part[at] / self.unit
+        reach = np.sqrt(np.maximum(self.square[at] + self.top - 2 * np.where(np.isfinite(worst), worst, 0), 0))
+        return np.where(np.isfinite(worst), factor * reach + self.slack[at], np.inf)
+
+    def _meet(self, at: np.ndarray, rows: np.ndarray, k: int) -> None:
+        # a fast product, off by its rounding at most, screens the queries
+        worst = np.maximum(self.best[at].min(axis=1), self.known[at])
+        at = at[~((self.queries[at] @ self.vectors[rows].T).max(axis=1) + self.blur[at] < worst)]
+        if not len(at):
+            return
+        score = np.zeros((len(at), len(rows)))
+        for d in range(self.vectors.shape[1]):
+            score += self.queries[at, d][:, None] * self.vectors[rows, d]
+        first, second = self.ids[rows].T
+        names = np.where(first == self.own[at][:, None], second, first)
+        score[names == NONE] = -np.inf
+        some = score.max(axis=1) >= np.maximum(self.best[at].min(axis=1), self.known[at])
+        at = at[some]
+        if not len(at):
+            return
+        score, names = np.hstack([self.best[at], score[some]]), np.hstack([self.names[at], names[some]])
+        held = np.hstack([self.rows[at], np.broadcast_to(rows, (len(at), len(rows)))])
+        held = np.where(np.isneginf(score), -1, held)
+        keep = np.lexsort((names, -score), axis=-1)[:, :k]
+        self.best[at], self.names[at], self.rows[at] = (np.take_along_axis(x, keep, axis=1) for x in (score, names, held))
+
     def _visit(self, node: int, at: np.ndarray, k: int, factor: float) -> None:
         if not len(at):
             return
         vantage, inside, outside, begin, end = self.nodes[node]
         if vantage < 0:
-            rows = self.order[begin:end]
-            both = np.hstack([self.best[at], self._distances(at, rows)])
-            names = np.hstack([self.rows[at], np.broadcast_to(rows, (len(at), len(rows)))])
-            keep = np.argpartition(both, k - 1, axis=1)[:, :k]
-            self.best[at] = np.take_along_axis(both, keep, axis=1)
-            self.rows[at] = np.take_along_axis(names, keep, axis=1)
+            self._meet(at, self.order[begin:end], k)
             return
         radius = self.radii[node]
         away = self._distances(at, np.array([vantage]))[:, 0]
         near = away <= radius
         self._visit(inside, at[near], k, factor)
         self._visit(outside, at[~near], k, factor)
-        reach = factor * np.minimum(self.best[at].max(axis=1), self.reach[at]) + SLACK
+        reach = self._reach(at, factor)
         self._visit(outside, at[near & (radius - away <= reach)], k, factor)
         self._visit(inside, at[~near & (away - radius <= reach)], k, factor)
 
@@ -157,20 +200,16 @@ class _Found:
         self.queries, self.ids, self.k = asked["vectors"], asked["ids"], k
         self.score = np.full((len(self.ids), k), -np.inf)
         self.vec = np.full((len(self.ids), k), -1, dtype=np.int64)
-        self.square = (self.queries**2).sum(axis=1)
 
     def meet(self, raw: bytes, factor: float) -> None:
         index = np.load(io.BytesIO(raw))
         vectors, ids, counts = index["vectors"], index["ids"], index["counts"]
         ends = np.cumsum(counts)
-        tree = VantageTree(vectors, index)
-        # the k-th best score so far as a distance in this shard's space
-        worst = self.score.min(axis=1)
-        reach = np.sqrt(np.maximum(self.square + tree.top - 2 * np.where(np.isfinite(worst), worst, 0), 0))
-        reach[~np.isfinite(worst)] = np.inf
-        # one more than k, as the query's own vector may be among them, and a few for
-        # distances that rounding makes equal; exact scores settle the order
-        _, found = tree.search(self.queries, min(self.k + 5, len(vectors)), factor, reach)
+        two = np.full((len(vectors), 2), NONE)
+        two[:, 0] = ids[ends - counts]
+        two[counts > 1, 1] = ids[(ends - counts)[counts > 1] + 1]
+        # a few more than k: a factor below 1 loses less when it prunes by a farther one
+        found = VantageTree(vectors, index).search(self.queries, self.ids, two, self.k + 5, factor, self.score.min(axis=1))
         for q in range(len(self.ids)):
             rows = found[q][found[q] >= 0]
             if not len(rows):
@@ -186,7 +225,7 @@ class _Found:
 
     def rows(self) -> pd.DataFrame:
         out = pd.DataFrame({"query_id": np.repeat(self.ids, self.k), "vec_id": self.vec.ravel(), "score": self.score.ravel()})
-        return out[np.isfinite(out["score"])]
+        return out[~np.isneginf(out["score"])]
 
 
 def _search(k: int, factor: float):
@@ -224,9 +263,21 @@ def nearest(table: DataFrame, is_query, k: int = 20, factor: float = 1.0, shard_
         copies.groupBy("dim", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "distinct-vectors"
     )
     asked = vectors.where(is_query)
-    shards, blocks = (max(1, -(-df.count() // n)) for df, n in ((distinct, shard_rows), (asked, query_rows)))
+    blocks = max(1, -(-asked.count() // query_rows))
+    # vectors of similar size share shards, the largest first: a bounded number of bands
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    distinct = distinct.withColumn("band", F.round(F.log2(largest) / BAND).cast("int"))
+    shards, first_shard, dealt = 0, [], []
+    for r in sorted(distinct.groupBy("band").count().collect(), key=lambda r: -r["band"]):
+        n = -(-r["count"] // shard_rows)
+        first_shard += [F.lit(r["band"]), F.lit(shards)]
+        dealt += [F.lit(r["band"]), F.lit(n)]
+        shards += n
+    if not shards:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = stored(
-        distinct.withColumn("first", F.col("ids")[0]).withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int"))
+        distinct.withColumn("first", F.col("ids")[0])
+        .withColumn("shard", (F.create_map(*first_shard)[F.col("band")] + F.pmod(F.xxhash64("first"), F.create_map(*dealt)[F.col("band")])).cast("int"))
         .groupBy("dim", "shard").applyInPandas(_index, "dim int, shard int, packed binary"),
         "vector-index",
     )
