@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -34,20 +35,48 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_folders = ["quillet"]
+class _Place(threading.local):
+    """Folders of this thread: what ``stored`` writes to, and the scratch folder left last."""
 
+    def __init__(self):
+        self.folders: list[str] = []
+        self.left: str | None = None
 
-def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
+
+_place = _Place()
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where, files = _hadoop_path(spark, path)
+    files.delete(where, True)
+
+
+def session_dir(spark: SparkSession) -> str:
+    """Folder of this application in the shared folder; it is removed when its driver ends."""
+    path = f"{work_dir(spark)}/quillet-{spark.sparkContext.applicationId}"
+    where, files = _hadoop_path(spark, path)
+    if not files.exists(where):
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame, name: str, partitions: list[str] | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and return a reader of it.
 
     This cuts the lineage: a lost executor costs its running tasks only.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{_folders[-1]}/{name}-{uuid.uuid4().hex}"
+    path = f"{_place.folders[-1] if _place.folders else session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partitions:
         writer = writer.partitionBy(*partitions)
-    with small_batches(spark):
+    with small_batches(spark, batch_rows):
         writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,18 +95,19 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
 
 
 @contextmanager
-def scratch(spark: SparkSession, name: str):
-    """Within this context ``stored`` writes to a folder of its own; what the last context
-    of the same name has left is deleted first. For steps whose results are written before
-    the next one begins."""
-    path = f"{work_dir(spark)}/{name}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _folders.append(name)
+def scratch(spark: SparkSession):
+    """Within this context ``stored`` writes to a new folder; the folder that the last such
+    context of this thread has left is deleted first. For steps whose results are written
+    before the next one begins. Runs of other threads and applications have folders of
+    their own, and what is left goes with the application's folder."""
+    if _place.left:
+        delete_folder(spark, _place.left)
+    _place.left = f"{session_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _place.folders.append(_place.left)
     try:
         yield
     finally:
-        _folders.pop()
+        _place.folders.pop()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
