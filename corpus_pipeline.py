@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model is learnt from the labelled documents themselves (a bounded sample). Where
     none is labelled no language is known, and documents with letters stay too.
     """
-    with scratch(spark, SCRATCH):
+    with scratch(spark):
         model = learn(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -40,21 +40,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one of the smallest id."""
-    with scratch(spark, SCRATCH):
+    with scratch(spark):
         dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with passages of the benchmark stay."""
-    with scratch(spark, SCRATCH):
+    with scratch(spark):
         judged = contamination(docs, table(spark, sf_dir, "benchmark"))
     return judged.where(~F.col("contamination.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences of all documents that are left, with their token ids."""
-    with scratch(spark, SCRATCH):
+    with scratch(spark):
         return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
