@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from quillet.llm.common import stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. ``edges`` holds (u, v) with v < u.
+#: A node with more than 1 / HUB of the links is a hub; there are fewer than 2 * HUB of them.
+HUB = 1024
+
+
+def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
+    """One star step over ``count`` edges (u, v) with v < u.
 
     Large star: every larger neighbour of u is tied to u's smallest neighbour (or u).
     Small star: u and its smaller neighbours are tied to the smallest of them.
-    The minimum is a partial aggregate and the join may be split where skewed, so a
-    hub with very many neighbours is never held by one task.
+    The minimum is a partial aggregate. Links of hubs, which are few by definition, meet
+    it by broadcast where they lie; only those of other nodes are dealt out by node.
     """
+    links = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    low = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+    hubs = F.broadcast(low.where(F.col("degree") * HUB > count).select("u", "m"))
+    others = links.join(hubs, "u", "left_anti").join(low.select("u", "m"), "u")
+    met = links.join(hubs, "u").select("u", "v", "m").unionByName(others.select("u", "v", "m"))
     if large:
-        links = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = links.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        tied = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = tied.unionByName(low.select("u", F.col("m").alias("v")))
+        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
     return out.where("v < u").distinct()
 
 
@@ -46,7 +51,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     for k in range(max_rounds):
         if not before[0]:
             break
-        pairs = stored(_star(_star(pairs, True), False), f"{name}-{k + 1}")
+        pairs = stored(_star(_star(pairs, True, before[0]), False, before[0]), f"{name}-{k + 1}")
         after = state(pairs)
         if after == before:
             break

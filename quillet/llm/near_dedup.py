@@ -14,12 +14,12 @@ with probability (1 - 0.75**5)**51 = 1e-6; above it far less.
 
 Verification without pair rows. Equal sets collapse first, so copies are one row. Then
 each bucket compares its members with one leader; components of the exact links follow.
-Buckets whose members are all in one component are settled. The rest are joined into
-clusters of documents that share an unsettled bucket, and a cluster is compared in pairs
-of blocks of bounded bytes: a task holds two blocks, counts the intersections of their
-full sets, skips what is connected already, and returns only links that join components,
-so its output never exceeds its documents. Links are confirmed on the full shingle sets
-of the whole texts (as 64-bit fingerprints).
+Buckets whose members are all in one component are settled. Each of the rest, one of
+those with the same members, is compared in pairs of blocks of bounded bytes: a task holds
+two blocks of a bucket, counts the intersections of their full sets, skips what is
+connected already, and returns only links that join components, so its output never
+exceeds its documents. Links are confirmed on the full shingle sets of the whole texts (as
+64-bit fingerprints).
 """
 
 from __future__ import annotations
@@ -166,8 +166,8 @@ def near_duplicates(docs: DataFrame, bands: int = 51, rows: int = 5, num: int =
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names.
     Documents are linked when den * intersection >= num * union of their shingle sets.
     Null, empty and blank texts have no shingles: they are linked with nothing and kept.
-    Equal texts are always linked. A repeated doc_id is one node, and each of its rows
-    is returned. A null doc_id takes no part: its component is null and it is kept.
+    Equal texts are always linked. A repeated doc_id is one node: the links of all its
+    texts are its links, and each of its rows is returned. A null doc_id takes no part: its component is null and it is kept.
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -205,34 +205,38 @@ def near_duplicates(docs: DataFrame, bands: int = 51, rows: int = 5, num: int =
 
     # what one leader did not settle: buckets that still hold several components
     labelled = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", "leader", F.coalesce("component", "rep").alias("component")
+        "bucket", "rep", F.coalesce("component", "rep").alias("component")
     )
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "rep").cast("decimal(38,0)"))
     unsettled = labelled.groupBy("bucket").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
-    ).where("lo < hi and size > 2").select("bucket")
-    members = stored(labelled.join(unsettled, "bucket").select("leader", "rep", "component").distinct(), "unsettled")
-    clusters = connected_components(members.select("leader", "rep"), "clusters").toDF("rep", "cluster")
-    held = members.select("rep", "component").distinct().join(clusters, "rep")
-    held = stored(held.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), "clustered")
-    blocks = held.groupBy("cluster").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), mark(1).alias("m1"), mark(2).alias("m2")
+    ).where("lo < hi and size > 2").groupBy("m1", "m2", "size").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = labelled.join(unsettled, "bucket").distinct()
+    held = stored(members.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), "unsettled")
+    blocks = held.groupBy("bucket").agg(
         F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).cast("int").alias("blocks")
     )
-    placed = held.join(blocks, "cluster").withColumn(
+    placed = held.join(blocks, "bucket").withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "rep", "component", "block", "text",
     )
-    more = placed.groupBy("cluster", "i", "j").applyInPandas(_compare_blocks(num, den), "a long, b long")
-    links = links.unionByName(stored(more, "links-2"))
-    final = connected_components(links, "labels-2")
-
-    resolved = reps.select("k1", "k2", "n_shingles", "rep").join(
-        final.withColumnRenamed("node", "rep"), "rep", "left"
-    ).select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    same_id = features.select("doc_id", "n_shingles", "k1", "k2").join(resolved, ["k1", "k2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return same_id.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    more = placed.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(num, den), "a long, b long")
+    # a doc_id of several texts ties their sets together
+    keys = F.struct("n_shingles", "k1", "k2")
+    several = features.where("doc_id is not null").groupBy("doc_id").agg(F.min(keys).alias("lo"), F.max(keys).alias("hi")).where("lo <> hi")
+    ties = sets.join(several.select("doc_id"), "doc_id", "left_semi").join(reps, ["k1", "k2", "n_shingles"])
+    links = links.unionByName(stored(more, "links-2")).unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    final = connected_components(links, "labels-2").withColumnRenamed("node", "rep")
+
+    resolved = reps.select("k1", "k2", "n_shingles", "rep").join(final, "rep", "left").select(
+        "k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id")
     )
+    with_set = sets.join(resolved, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
+    # without shingles a document is alone, unless other rows of its doc_id are not
+    bare = features.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles").join(
+        final.withColumnRenamed("rep", "doc_id"), "doc_id", "left"
+    ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return with_set.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

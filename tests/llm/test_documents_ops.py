@@ -96,6 +96,15 @@ def test_near_duplicates_chain_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
 
 
+def test_repeated_ids_of_different_texts_are_one_node(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "p q r s t u v")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, None), (7, c), (2, ""), (2, c), (None, c)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [
+        (-1, -1, True), (2, 2, True), (2, 2, True), (3, 3, True), (5, 3, False), (5, 3, False), (7, 2, False), (9, 3, False), (9, 3, False),
+    ]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     path = public_tokenizers.path("byte_bpe_50k.json")
