@@ -124,16 +124,22 @@ class _Forest:
         return x != y
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shingle set of each text, as bytes."""
+    for batch in batches:
+        texts = [lowered(x) for x in batch["text"]]
+        sets = []
+        for a, b in slabs(texts):
+            sets += shingle_sets(texts[a:b])
+        yield pd.DataFrame({"rep": batch["rep"].array, "grams": [s.tobytes() for s in sets]})
+
+
 def _compare_blocks(num: int, den: int):
     """Links between the documents of two blocks that join different components."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        rows = rows.drop_duplicates(["rep", "text"]).reset_index(drop=True)
-        texts = [lowered(t) for t in rows["text"]]
-        sets: list[np.ndarray] = []
-        for a, b in slabs(texts):
-            sets += shingle_sets(texts[a:b])
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["grams"]]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         mark = np.zeros(len(ids) and ids.max() + 1, dtype=bool)
@@ -211,24 +217,28 @@ def near_duplicates(docs: DataFrame, bands: int = 51, rows: int = 5, num: int =
     unsettled = labelled.groupBy("bucket").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), mark(1).alias("m1"), mark(2).alias("m2")
     ).where("lo < hi and size > 2").groupBy("m1", "m2", "size").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = labelled.join(unsettled, "bucket").distinct()
-    held = stored(members.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), "unsettled")
-    blocks = held.groupBy("bucket").agg(
-        F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).cast("int").alias("blocks")
-    )
+    members = stored(labelled.join(unsettled, "bucket").distinct(), "unsettled")
+    # their sets are made once, however many buckets they are in
+    wanted = texts.withColumnRenamed("doc_id", "rep").join(members.select("rep").distinct(), "rep", "left_semi")
+    grams = stored(wanted.select("rep", "text").mapInPandas(_sets, "rep long, grams binary").where("octet_length(grams) > 0"), "sets")
+    held = members.join(grams, "rep")
+    weighed = members.join(grams.select("rep", F.octet_length("grams").alias("bytes")), "rep")
+    blocks = weighed.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
     placed = held.join(blocks, "bucket").withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "rep", "component", "block", "text",
+        "rep", "component", "block", "grams",
     )
     more = placed.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(num, den), "a long, b long")
     # a doc_id of several texts ties their sets together
     keys = F.struct("n_shingles", "k1", "k2")
     several = features.where("doc_id is not null").groupBy("doc_id").agg(F.min(keys).alias("lo"), F.max(keys).alias("hi")).where("lo <> hi")
     ties = sets.join(several.select("doc_id"), "doc_id", "left_semi").join(reps, ["k1", "k2", "n_shingles"])
-    links = links.unionByName(stored(more, "links-2")).unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    # what is connected already goes on as stars
+    stars = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = stars.unionByName(stored(more, "links-2")).unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     final = connected_components(links, "labels-2").withColumnRenamed("node", "rep")
 
     resolved = reps.select("k1", "k2", "n_shingles", "rep").join(final, "rep", "left").select(
