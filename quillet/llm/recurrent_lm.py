@@ -323,18 +323,20 @@ def _network_ids(tokens: np.ndarray, vocab: Lookup, ids: np.ndarray, size: int)
 
 
 def _commonest(counts: DataFrame, most: int) -> DataFrame:
-    """The words whose count is above a bound that at most ``most`` words exceed, and the
-    end. The bound comes from a histogram of logarithmic steps, a few thousand rows, so
-    no task and no driver ever sees more than the result."""
+    """The ``most`` words of the largest counts, ties in order of the fingerprints, and the
+    end. A histogram of logarithmic steps, a few thousand rows, tells the step in which
+    the last of them lies, so only that step is ordered and no task and no driver ever
+    sees more than the result."""
     step = F.floor(F.log2("n") * 64).cast("int")
     steps = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
-    held, bound = 0, 1 << 30
+    end = F.col("word") == int(END.view(np.int64))
+    held = 0
     for at, size in steps:
+        if held + size > most:
+            last = counts.where((step == at) & ~end).orderBy(F.desc("n"), "word").limit(most - held)
+            return counts.where((step > at) | end).unionByName(last)
         held += size
-        if held > most:
-            break
-        bound = at
-    return counts.where((step >= bound) | (F.col("word") == int(END.view(np.int64))))
+    return counts
 
 
 def _fit(words: np.ndarray, ids: np.ndarray, size: int, steps: int):
