@@ -88,13 +88,11 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, features: int = F
         "doc_id", "lang", F.xxhash64("doc_id", "lang").alias("key")
     )
     # a hash range of each language that holds about four times its sample goes to the ranking
-    sizes = ids.groupBy("lang").count().limit(MAX_LANGUAGES + 1)
+    sizes = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("count"))
     ids = ids.join(F.broadcast(sizes), "lang").where(F.pmod("key", F.lit(1 << 40)) < share * (1 << 40)).drop("count")
     chosen = ids.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample_docs)
     chosen = stored(chosen.select("doc_id", "lang").distinct(), "language-sample")
-    if chosen.select("lang").distinct().count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # at most sample_docs * MAX_LANGUAGES pairs of a number and a short string
     sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     counts = sample.select("lang", "text").mapInPandas(_count_grams, "lang string, gram int, n long")

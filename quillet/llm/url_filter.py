@@ -63,7 +63,7 @@ _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url) of the canonical links and meta redirects in ``html``.
+    """(from_url, to_url) of all canonical links and meta redirects in ``html``.
 
     Relative targets are resolved against the page's URL. Pages without one give none.
     """
@@ -71,7 +71,7 @@ def page_edges(pages: DataFrame) -> DataFrame:
     folder = F.regexp_extract("url", r"\A([^:/?#]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     scheme = F.regexp_extract("url", r"\A([^:/?#]*:)", 1)
     targets = pages.where("url is not null and html is not null").select(
-        "url", F.explode(F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))).alias("href")
+        "url", F.explode(F.concat(*[F.regexp_extract_all("html", F.lit(x), F.lit(1)) for x in (_CANONICAL, _REFRESH)])).alias("href")
     ).where("href <> ''")
     to = (
         F.when(F.col("href").contains("://"), F.col("href"))
@@ -112,6 +112,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
         F.max((F.col("action") == "block").cast("int")).alias("blocks"), F.max((F.col("action") == "allow").cast("int")).alias("allows")
     ).where("blocks = 1 and coalesce(allows, 0) = 0").select("component")
     blocked = components.join(decided, "component").select("node", F.lit(True).alias("alias_blocked"))
-    out = judged.join(blocked, "node", "left")
+    # pages without a node meet nothing, so they are not dealt out by it
+    out = judged.where("node is not null").join(blocked, "node", "left").unionByName(
+        judged.where("node is null").withColumn("alias_blocked", F.lit(None).cast("boolean"))
+    )
     verdict = F.coalesce(F.col("r.action"), F.when(F.col("alias_blocked"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
