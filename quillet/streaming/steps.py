@@ -6,6 +6,7 @@ and takes one event at a time; time is event time in milliseconds, so replays ag
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from dataclasses import asdict, dataclass, field
@@ -183,49 +184,56 @@ class MemoryState(_State):
     min_confidence: float = 0.8
     entries: dict[str, dict] = field(default_factory=dict)
 
-    def _expire(self, now: float) -> None:
-        self.entries = {k: e for k, e in self.entries.items() if e["trust_level"] == VERIFIED or now - e["last_seen_ms"] <= self.ttl_ms}
+    def _alive(self, now: float) -> dict[str, dict]:
+        idle = lambda e: e["trust_level"] != VERIFIED and e["last_seen_ms"] + self.ttl_ms < now
+        self.entries = {k: e for k, e in self.entries.items() if not idle(e)}
+        return self.entries
+
+    def _trust(self, e: dict) -> str:
+        """Trust that the counts of an entry give; verified ones keep theirs."""
+        mean = mean_confidence(e)
+        confirmed = mean is not None and mean >= self.min_confidence
+        repeated = {ACCEPTED: confirmed and min(e["occurrence_count"], e["confidence_count"]) >= self.promote_after,
+                    OBSERVED: e["occurrence_count"] > 1}
+        earned = [level for level, reached in repeated.items() if reached]
+        return VERIFIED if e["trust_level"] == VERIFIED else (earned or [e["trust_level"]])[0]
+
+    def _shed(self) -> None:
+        """Drop what exceeds the capacity: verified entries last, accepted ones before
+        them, and of equal trust what was seen least lately, then least often."""
+        order = {VERIFIED: 2, ACCEPTED: 1}
+        worth = lambda k: (order.get(self.entries[k]["trust_level"], 0), self.entries[k]["last_seen_ms"], self.entries[k]["occurrence_count"])
+        for k in heapq.nsmallest(len(self.entries) - self.capacity, self.entries, key=worth):
+            del self.entries[k]
 
     def observe(self, canonical: str, now: float, entity_type: str = "TERM", aliases=(), confidence: float | None = None,
                 observation_id: str | None = None, verified: bool = False, source: str = "asr") -> dict:
-        canonical = canonical.strip()
-        if not canonical:
-            raise ValueError("an observation needs a canonical text")
-        if confidence is not None and not 0 <= confidence <= 1:
-            raise ValueError("confidence must be between 0 and 1")
-        self._expire(now)
-        e = self.entries.setdefault(canonical, {
-            "canonical_text": canonical, "entity_type": entity_type, "aliases": [], "first_seen_ms": now, "last_seen_ms": now,
-            "occurrence_count": 0, "confidence_sum": 0.0, "confidence_count": 0, "observation_ids": [], "trust_level": PROVISIONAL, "source": source,
-        })
-        e["last_seen_ms"] = now
-        e["occurrence_count"] += 1
-        e["aliases"] = sorted({*e["aliases"], *(a.strip() for a in aliases if a.strip())})
-        if observation_id is not None and observation_id not in e["observation_ids"]:
-            e["observation_ids"].append(observation_id)
-            if confidence is not None:
-                e["confidence_sum"] += confidence
-                e["confidence_count"] += 1
-        if verified:
-            e["trust_level"] = VERIFIED
-        elif e["trust_level"] != VERIFIED:
-            enough = min(e["occurrence_count"], e["confidence_count"]) >= self.promote_after
-            if enough and e["confidence_sum"] / e["confidence_count"] >= self.min_confidence:
-                e["trust_level"] = ACCEPTED
-            elif e["occurrence_count"] > 1:
-                e["trust_level"] = OBSERVED
-        while len(self.entries) > self.capacity:
-            open_ = [x for x in self.entries.values() if x["trust_level"] != VERIFIED] or list(self.entries.values())
-            gone = min(open_, key=lambda x: (x["trust_level"] == ACCEPTED, x["last_seen_ms"], x["occurrence_count"]))
-            del self.entries[gone["canonical_text"]]
+        """Count one more sight of an entity. Every call counts as an occurrence, but a
+        confidence only with an observation id that is new to the entry; type and source
+        stay as first seen."""
+        name = canonical.strip()
+        if not name or not 0 <= (confidence or 0) <= 1:
+            raise ValueError("an observation needs a canonical text and a confidence between 0 and 1, if any")
+        blank = dict(canonical_text=name, entity_type=entity_type, aliases=[], first_seen_ms=now, last_seen_ms=now, occurrence_count=0,
+                     confidence_sum=0.0, confidence_count=0, observation_ids=[], trust_level=PROVISIONAL, source=source)
+        e = self._alive(now).get(name, blank)
+        fresh = [] if observation_id is None or observation_id in e["observation_ids"] else [observation_id]
+        given = [confidence] if fresh and confidence is not None else []
+        e |= {
+            "last_seen_ms": now, "occurrence_count": e["occurrence_count"] + 1, "observation_ids": e["observation_ids"] + fresh,
+            "confidence_sum": e["confidence_sum"] + sum(given), "confidence_count": e["confidence_count"] + len(given),
+            "aliases": sorted(set(e["aliases"]).union(filter(None, map(str.strip, aliases)))),
+        }
+        e["trust_level"] = VERIFIED if verified else self._trust(e)
+        self.entries[name] = e
+        self._shed()
         return e
 
     def trusted(self, now: float) -> list[dict]:
         return [e for e in self.snapshot(now) if e["trust_level"] in (ACCEPTED, VERIFIED)]
 
     def snapshot(self, now: float) -> list[dict]:
-        self._expire(now)
-        return list(self.entries.values())
+        return list(self._alive(now).values())
 
 
 def mean_confidence(entry: dict) -> float | None:
