@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillet.functions.text import blank_to_null, hash_rank, hash_unit, length_bucket, strip
 from quillet.settings import DEFAULT_RATIO, SCENES, SHORT_SCENES, SETTINGS
 
+#: Ranges that the rows of a key are numbered in.
+PIECES = 64
+
 
 def min_length(scene: Column) -> Column:
     return F.when(scene.startswith("english_"), 6).when(scene.isin(*SHORT_SCENES), 8).otherwise(10)
@@ -93,11 +96,49 @@ def targets(scenes: DataFrame, total: int, least: int = 1) -> DataFrame:
     return scenes.withColumn("ratio", ratio).withColumn("target", F.greatest(F.lit(least), (F.lit(total) * ratio).cast("int")))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, by: Column | None = None, running: str | None = None, pieces: int = PIECES) -> DataFrame:
+    """``rows`` with ``name``: the number, from 1, of each row among those of equal ``keys``
+    in the given ``order``, and ``name``_size, how many these are.
+
+    No task sorts all rows of a key: ``order[0]`` is cut at sampled quantiles into at most
+    ``pieces`` ranges, rows are counted in each (key, range), and numbered within it on top
+    of the rows of the ranges before. ``by`` tells ranges from ``order[0]`` otherwise.
+    With ``running``, ``name``_before is the sum of that column over the rows before.
+    """
+    first = F.col(order[0])
+    if by is None:
+        # a quantile sketch: its size does not grow with the rows
+        cuts = rows.agg(F.percentile_approx(first, [k / pieces for k in range(1, pieces)], 100 * pieces)).first()[0] or []
+        cuts = sorted(set(cuts))
+        by = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: first > c)) if cuts else F.lit(0)
+    piece = f"_{name}_piece"
+    ranged = rows.withColumn(piece, by)
+    summed = F.coalesce(F.sum(running), F.lit(0)) if running else F.lit(0)
+    counts = ranged.groupBy(*keys, piece).agg(F.count("*").alias("_n"), summed.alias("_s"))
+    every = Window.partitionBy(*keys)  # of at most ``pieces`` rows a key
+    before = every.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *[F.col(k).alias(f"_{name}_{k}") for k in keys], F.col(piece).alias(f"_{name}_at"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_{name}_first"), F.sum("_n").over(every).alias(f"{name}_size"),
+        F.coalesce(F.sum("_s").over(before), F.lit(0)).alias(f"_{name}_sum"),
+    )
+    met = F.col(piece) == F.col(f"_{name}_at")
+    for k in keys:
+        met &= F.col(k).eqNullSafe(F.col(f"_{name}_{k}"))
+    within = Window.partitionBy(*keys, piece).orderBy(*order)
+    out = ranged.withColumn(name, F.row_number().over(within))
+    if running:
+        earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(f"{name}_before", F.coalesce(F.sum(running).over(earlier), F.lit(0)))
+    out = out.join(offsets, met).withColumn(name, (F.col(name) + F.col(f"_{name}_first")).cast("long"))
+    if running:
+        out = out.withColumn(f"{name}_before", F.col(f"{name}_before") + F.col(f"_{name}_sum"))
+    return out.drop(piece, f"_{name}_first", f"_{name}_sum", f"_{name}_at", *[f"_{name}_{k}" for k in keys])
+
+
 def take_per_scene(rows: DataFrame, total: int) -> DataFrame:
     """The first ``target`` rows of each scene in order of ``pos``."""
-    wanted = targets(rows, total)
-    by_scene = Window.partitionBy("scene").orderBy("pos")
-    return wanted.withColumn("n", F.row_number().over(by_scene)).where("n <= target").drop("n")
+    return numbered(targets(rows, total), ["scene"], ["pos"], "n").where("n <= target").drop("n", "n_size")
 
 
 def qc_until_target(rows: DataFrame, batch: int = 2 * SETTINGS.concurrency) -> DataFrame:
@@ -107,16 +148,13 @@ def qc_until_target(rows: DataFrame, batch: int = 2 * SETTINGS.concurrency) -> D
     order until ``target`` have passed: ``outcome`` is passed, rejected, ``checked`` (in
     the last batch, after the row that met the target) or unseen.
     """
-    before = Window.partitionBy("scene").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    by_scene = Window.partitionBy("scene")
-    counted = rows.withColumn("n", F.row_number().over(Window.partitionBy("scene").orderBy("pos"))).withColumn(
-        "passed_before", F.coalesce(F.sum(F.col("passed").cast("int")).over(before), F.lit(0))
-    )
-    open_ = F.col("passed_before") < F.col("target")
-    counted = counted.withColumn("last", F.max(F.when(open_, F.col("n"))).over(by_scene))
+    counted = numbered(rows.withColumn("_passed", F.col("passed").cast("int")), ["scene"], ["pos"], "n", running="_passed")
+    open_ = F.col("n_before") < F.col("target")
+    last = counted.where(open_).groupBy(F.col("scene").alias("_scene")).agg(F.max("n").alias("last"))
+    counted = counted.join(last, F.col("scene").eqNullSafe(F.col("_scene")), "left")
     seen = F.ceil(F.col("last") / batch) * batch
     outcome = F.when(open_, F.when(F.col("passed"), "passed").otherwise("rejected")).when(F.col("n") <= seen, "checked").otherwise("unseen")
-    return counted.withColumn("outcome", outcome).drop("n", "passed_before", "last")
+    return counted.withColumn("outcome", outcome).drop("n", "n_before", "n_size", "last", "_passed", "_scene")
 
 
 def distribution(records: DataFrame) -> DataFrame:
@@ -156,13 +194,11 @@ def coverage(records: DataFrame, total: int) -> DataFrame:
 def stratified_split(rows: DataFrame, ratio: float = SETTINGS.validation_ratio, seed: int = SETTINGS.shuffle_seed) -> DataFrame:
     """``split`` train or val: within (scene, length bucket of input) the first
     ``int(size * ratio)`` rows of a repeatable shuffle, one at least from 5 rows on."""
-    strata = rows.withColumn("bucket", length_bucket(F.col("input")))
-    by = Window.partitionBy("scene", "bucket")
-    size = F.count("*").over(by)
-    n = (size * ratio).cast("int")
-    n = F.when((size >= 5) & (n == 0), 1).otherwise(n)
-    rank = F.row_number().over(by.orderBy(hash_rank(seed, F.col("id")), "id"))
-    return strata.withColumn("split", F.when(rank <= n, "val").otherwise("train"))
+    strata = rows.withColumn("bucket", length_bucket(F.col("input"))).withColumn("_key", hash_rank(seed, F.col("id")))
+    ranked = numbered(strata, ["scene", "bucket"], ["_key", "id"], "_rank", by=F.conv(F.substring("_key", 1, 2), 16, 10).cast("int"))
+    n = (F.col("_rank_size") * ratio).cast("int")
+    n = F.when((F.col("_rank_size") >= 5) & (n == 0), 1).otherwise(n)
+    return ranked.withColumn("split", F.when(F.col("_rank") <= n, "val").otherwise("train")).drop("_key", "_rank", "_rank_size")
 
 
 def random_split(rows: DataFrame, ratio: float = SETTINGS.validation_ratio, seed: int = SETTINGS.shuffle_seed) -> DataFrame:

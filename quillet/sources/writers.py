@@ -26,13 +26,15 @@ def append_log(df: DataFrame, path: str) -> None:
 def write_report(spark: SparkSession, path: str, report: dict) -> None:
     """A small JSON value in one file, replaced as a whole: written aside, then renamed."""
     where, fs = _fs(spark, path)
-    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    files, gateway = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    aside = files.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     stream = fs.create(aside, True)
     stream.write(bytearray((json.dumps(report, ensure_ascii=False, indent=2) + "\n").encode()))
     stream.close()
-    fs.delete(where, False)
-    if not fs.rename(aside, where):
-        raise OSError(f"cannot replace {path}")
+    kind = getattr(files, "Options$Rename")
+    how = gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE  # the old report stands until the new one takes its place
+    files.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, where, how)
 
 
 def report_rows(df: DataFrame, most: int = 10_000) -> list[dict]:
