@@ -111,70 +111,83 @@ class Network:
         """Natural log-probabilities of the tokens (of their class alone, if outside the
         vocabulary); with ``grad``, adds the gradients of their negative sum to it and
         returns those of the states too."""
-        p, rows = self.p, np.arange(len(tokens))
-        cls = self.class_of(tokens)
-        logits = states @ p["wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        out = logits[rows, cls] - np.log(total)
-        if grad is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grad["wc"] += states.T @ d
-            grad["bc"] += d.sum(axis=0)
-            ds = d @ p["wc"].T
+        p, cls = self.p, self.class_of(tokens)
+        out = np.empty(len(tokens), states.dtype)
+        ds = np.empty_like(states) if grad is not None else None
+
+        def softmax(at, weights, bias, local, to_weights, to_bias, first: bool) -> None:
+            # one column a token, so that the sums run over whole rows
+            s = states[at]
+            x = weights @ s.T
+            x += bias[:, None]
+            x -= x.max(axis=0)
+            columns = np.arange(x.shape[1])
+            value = x[local, columns]
+            np.exp(x, out=x)
+            total = x.sum(axis=0)
+            value -= np.log(total)
+            out[at] = value if first else out[at] + value
+            if grad is not None:
+                x /= total
+                x[local, columns] -= 1
+                to_weights += x @ s
+                to_bias += x.sum(axis=1)
+                back = (weights.T @ x).T
+                ds[at] = back if first else ds[at] + back
+
+        wc = np.ascontiguousarray(p["wc"].T)
+        to_wc = np.zeros_like(wc)
+        for a in range(0, len(tokens), 2048):
+            softmax(slice(a, a + 2048), wc, p["bc"], cls[a : a + 2048], to_wc, grad and grad["bc"], True)
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for k in range(self.classes):
             at = order[ends[k] : ends[k + 1]]
             if len(at):
                 part = slice(k * CLASS_WORDS, min(self.size, (k + 1) * CLASS_WORDS))
-                s, local = states[at], tokens[at] - k * CLASS_WORDS
-                inner = s @ p["wo"][part].T + p["bo"][part]
-                inner -= inner.max(axis=1, keepdims=True)
-                e = np.exp(inner)
-                total = e.sum(axis=1)
-                out[at] += inner[np.arange(len(at)), local] - np.log(total)
-                if grad is not None:
-                    d = e / total[:, None]
-                    d[np.arange(len(at)), local] -= 1
-                    grad["wo"][part] += d.T @ s
-                    grad["bo"][part] += d.sum(axis=0)
-                    ds[at] += d @ p["wo"][part]
-        return out if grad is None else (out, ds)
+                to = (grad["wo"][part], grad["bo"][part]) if grad else (None, None)
+                softmax(at, p["wo"][part], p["bo"][part], tokens[at] - k * CLASS_WORDS, *to, False)
+        if grad is None:
+            return out
+        grad["wc"] += to_wc.T
+        return out, ds
 
     def window_gradient(self, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray, real: np.ndarray | None = None):
         """Truncated backpropagation through one window (steps x streams); targets where
         ``real`` is false are padding and count for nothing."""
         p, n, steps = self.p, self.hidden, len(inputs)
         table = p["emb"] @ p["wx"] + p["b"]
-        trace, states = [], []
+        before, c, u = (np.empty((steps, len(h), n), h.dtype) for _ in range(3))
+        r, z, states = (np.empty_like(c) for _ in range(3))
         for t in range(steps):
-            before = h * keep[t][:, None]
-            h, *gates = self.step(before, table[inputs[t]])
-            trace.append((before, *gates))
-            states.append(h)
+            np.multiply(h, keep[t][:, None], out=before[t])
+            h, r[t], z[t], c[t], u[t] = self.step(before[t], table[inputs[t]])
+            states[t] = h
+        states = states.reshape(-1, n)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         if real is None or real.all():
-            out, ds = self.log_probs(np.concatenate(states), targets.ravel(), grad)
+            out, ds = self.log_probs(states, targets.ravel(), grad)
         else:
             at = np.flatnonzero(real)
             ds = np.zeros((targets.size, n), h.dtype)
-            out, ds[at] = self.log_probs(np.concatenate(states)[at], targets.ravel()[at], grad)
+            out, ds[at] = self.log_probs(states[at], targets.ravel()[at], grad)
         ds = ds.reshape(steps, -1, n)
+        # what the gradient of a state is multiplied by on its way to each gate
+        to_c = (1 - z) * (1 - c * c)
+        to_z, to_r = (before - c) * z * (1 - z), to_c * u * r * (1 - r)
         gates_in = np.empty((steps, inputs.shape[1], 3 * n), np.float32)
-        dh = np.zeros_like(h)
+        back = np.empty_like(gates_in)
+        dh, wh = np.zeros_like(h), np.ascontiguousarray(p["wh"].T)
         for t in range(steps - 1, -1, -1):
-            before, r, z, c, u = trace[t]
             dh = dh + ds[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            gates_in[t] = np.hstack([dr, dz, dc])
-            du = np.hstack([dr, dz, dc * r])
-            grad["wh"] += before.T @ du
-            dh = (dh * z + du @ p["wh"].T) * keep[t][:, None]
+            into = gates_in[t]
+            np.multiply(dh, to_r[t], out=into[:, :n])
+            np.multiply(dh, to_z[t], out=into[:, n : 2 * n])
+            np.multiply(dh, to_c[t], out=into[:, 2 * n :])
+            back[t] = into
+            back[t, :, 2 * n :] *= r[t]
+            dh = (dh * z[t] + back[t] @ wh) * keep[t][:, None]
+        grad["wh"] += before.reshape(-1, n).T @ back.reshape(-1, 3 * n)
         order = np.argsort(inputs.ravel(), kind="stable")
         tokens, starts = np.unique(inputs.ravel()[order], return_index=True)
         by_token = np.add.reduceat(gates_in.reshape(-1, 3 * n)[order], starts, axis=0)
