@@ -9,10 +9,12 @@
    words of one occurrence on one diagonal (document, item, position minus offset).
    Intersecting the moved lists leaves the diagonals on which the rarest terms agree.
 4. On these diagonals the words are compared exactly, which gives the matched windows.
+   Only texts of documents with a diagonal are shuffled for it: a broadcast filter of at
+   most ``SLOTS`` hashes of their ids lets the others stay where they are read.
 
-Only DataFrame functions are used. What is broadcast is derived from the benchmark
-alone, and only while it holds at most ``BROADCAST_WORDS`` words; beyond that the joins
-are left to Spark.
+Only DataFrame functions are used. What else is broadcast is derived from the benchmark
+alone, and only while it holds at most ``BROADCAST_WORDS`` words and item ids; beyond
+that the joins are left to Spark.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 ANCHORS = 2
 BROADCAST_WORDS = 1_000_000
+SLOTS = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -65,7 +68,7 @@ class Benchmark:
             ),
             "passages",
         )
-        total = self.passages.agg(F.sum("size")).first()[0] or 0
+        total = self.passages.agg(F.sum(F.col("size") + F.size("items"))).first()[0] or 0
         self.bounded = total <= BROADCAST_WORDS
         self.terms = self.passages.select("key", "window", "size", F.posexplode("passage").alias("off", "word")).select(
             "key", "window", "size", "off", F.xxhash64("word").alias("term")
@@ -123,16 +126,16 @@ def _hits(doc_words: Column, d: Column) -> Column:
     return F.when(length >= d["window"], F.transform(positions, lambda p: p + low + d["delta"]))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """``docs`` with a struct ``contamination`` of n_words, n_hit, items and contaminated.
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, name: str = "contamination") -> DataFrame:
+    """``docs`` with a struct ``name`` of n_words, n_hit, items and contaminated.
 
     A window is ``window`` consecutive words of an item, or all of its words if it has
-    fewer. A document word inside an occurrence of a window is hit; ``items`` lists, as
+    fewer. A document word inside any occurrence of a window is hit; ``items`` lists, as
     strings in order, the items with occurring windows; a document is contaminated if
     n_hit > 0 and share * n_hit >= n_words. Null and empty texts have no words. Every
     input row is returned once with all its columns, repeated rows and rows of a
-    repeated or null doc_id included (a null doc_id is never hit). Empty tables give
-    empty results.
+    repeated or null doc_id included (a null doc_id is never hit). A column of ``docs``
+    that is called ``name`` is replaced. Empty tables give empty results.
     """
     benchmark = Benchmark(items, window)
     vocabulary = benchmark.small(benchmark.terms.select("term").distinct())
@@ -140,32 +143,39 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     found = diagonals(postings, benchmark).join(
         benchmark.small(benchmark.passages.select("key", "passage", "items", "size", "window")), "key"
     )
-    spots = found.groupBy(F.col("doc_id").alias("_doc")).agg(
+    spots = stored(found.groupBy(F.col("doc_id").alias("_doc")).agg(
         F.collect_list(F.struct("delta", "passage", "items", "size", "window")).alias("_spots")
-    )
+    ), "spots")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    slots = F.broadcast(spots.select(slot("_doc").alias("_slot")).distinct())
+    # columns get names of their own, so that none can clash and unused ones can be pruned
+    columns = [c for c in docs.columns if c != name]
     carried = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text")
-    )
-    joined = carried.join(spots, F.col("_id") == F.col("_doc"), "left").select("_row", words(F.col("_text")).alias("_words"), "_spots")
-    tried = joined.withColumn(
-        "_tried", F.when(F.col("_spots").isNotNull(), F.filter(
-            F.transform("_spots", lambda d: F.struct(_hits(F.col("_words"), d).alias("hits"), d["items"].alias("items"))),
-            lambda t: F.size(F.coalesce(t["hits"], F.array().cast("array<int>"))) > 0,
-        ))
+        *[F.col(f"`{c}`").alias(f"_column{i}") for i, c in enumerate(columns)],
+        F.col("doc_id").alias("_id"), F.col("text").alias("_text"), slot("doc_id").alias("_slot"),
     )
+    clear = carried.join(slots, "_slot", "left_anti").withColumn("_spots", F.lit(None).cast(spots.schema["_spots"].dataType))
+    maybe = carried.join(slots, "_slot", "left_semi").join(
+        spots.hint("merge"), F.col("_id") == F.col("_doc"), "left"  # spots grow with the documents and unpack to much more than they are stored in
+    ).drop("_doc")
     no_ids = F.array().cast("array<string>")
-    measured = tried.select(
-        "_row",
-        F.size("_words").cast("long").alias("n_words"),
-        F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("_tried", lambda t: t["hits"])))), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(
-            "_tried", lambda t: F.transform(t["items"], lambda i: i.cast("string")))))), no_ids).alias("items"),
-    )
-    result = F.struct(
-        "n_words", F.greatest("n_hit", F.lit(0)).alias("n_hit"), "items",
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    plain = [F.col(f"_column{i}").alias(c) for i, c in enumerate(columns)]
+
+    def measured(rows: DataFrame, n_hit: Column, ids: Column) -> DataFrame:
+        counted = rows.select("*", F.size("_words").cast("long").alias("_n_words"), n_hit.alias("_n_hit"), ids.alias("_items"))
+        bad = (F.col("_n_hit") > 0) & (share * F.col("_n_hit") >= F.col("_n_words"))
+        result = F.struct(F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.col("_items").alias("items"), bad.alias("contaminated"))
+        return counted.select(*plain, result.alias(name))
+
+    tried = maybe.withColumn("_words", words(F.col("_text"))).withColumn("_tried", F.coalesce(F.filter(
+        F.transform("_spots", lambda d: F.struct(_hits(F.col("_words"), d).alias("hits"), d["items"].alias("items"))),
+        lambda t: F.size(F.coalesce(t["hits"], F.array().cast("array<int>"))) > 0,
+    ), F.array().cast("array<struct<hits:array<int>,items:array<string>>>")))
+    hits = F.size(F.array_distinct(F.flatten(F.transform("_tried", lambda t: t["hits"])))).cast("long")
+    hit_items = F.array_sort(F.array_distinct(F.flatten(F.transform("_tried", lambda t: F.transform(t["items"], lambda i: i.cast("string"))))))
+    return measured(tried, hits, hit_items).unionByName(
+        measured(clear.withColumn("_words", words(F.col("_text"))), F.lit(0).cast("long"), no_ids)
     )
-    return measured.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "contamination"], result.alias("contamination"))
 
 
 def proximity_matches(postings: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
