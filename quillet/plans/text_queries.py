@@ -11,7 +11,7 @@ from quillet.functions import text as tx
 from quillet.operators import dedup, entities as en, segments as sg, windows as wn
 from quillet.operators.masking import PLACEHOLDER, SPAN, Entity, Protector, Surfaces, rule_spans
 from quillet.operators.matching import Matcher
-from quillet.plans.base import sql_collapse, sql_strip, table
+from quillet.plans.base import SQL_SPACE, sql_collapse, sql_strip, table
 from quillet.plans.evaluation_queries import literal, sql_expected
 from quillet.registry import query
 
@@ -324,7 +324,24 @@ def x05(spark, sf_dir):
     return literal(spark, sf_dir, [x for x, _ in CJK]).select("doc_id", tx.normalize_cjk(F.col("x")).alias("result"))
 
 
-@query("x01_chunks")
+@query("x01_chunks", rf"""
+WITH RECURSIVE t AS (SELECT doc_id, {sql_strip('text')} AS t FROM documents WHERE text IS NOT NULL),
+c(doc_id, k, b, chunk) AS (
+  SELECT doc_id, 0, 0, NULL::VARCHAR FROM t
+  UNION ALL
+  SELECT doc_id, k + 1, b + n, substr(w, 1, n) FROM (
+    SELECT doc_id, k, b, w, CASE WHEN sentence <> '' AND length(sentence) <= 80 THEN length(sentence)
+      WHEN length(w) <= 80 THEN length(w) WHEN soft <> '' THEN length(soft) ELSE 80 END AS n
+    FROM (
+      SELECT doc_id, k, b, w, regexp_extract(w, '^[^{tx.SENTENCE_END}]*[{tx.SENTENCE_END}]{SQL_SPACE}*') AS sentence,
+        regexp_extract(substr(w, 1, 80), '^(?s:.*)[{tx.SOFT_BREAK}]{SQL_SPACE}*') AS soft
+      FROM (SELECT c.doc_id, k, b, substr(t, b + 1, 81) AS w FROM c JOIN t USING (doc_id) WHERE b < length(t))
+    )
+  )
+), p AS (SELECT doc_id, k, {sql_strip('chunk')} AS chunk FROM c WHERE k > 0)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS index, length(chunk)::INT AS chars, md5(chunk) AS chunk_md5
+FROM p WHERE chunk <> ''
+""")
 def x01(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ck.chunks_column(F.col("text"))).alias("index", "chunk"))
     return docs.select("doc_id", "index", F.length("chunk").alias("chars"), F.md5("chunk").alias("chunk_md5"))
@@ -447,7 +464,18 @@ def j12(spark, sf_dir):
     return listed.select(F.col("session").alias("conv_id"), wn.shared_prefix(F.col("r"), plan).alias("shared"))
 
 
-@query("t13_greedy_spans")
+@query("t13_greedy_spans", """
+WITH RECURSIVE s AS (
+  SELECT conv_id, list_sort(list({'rank': -length(text), 's': turn * 10, 'e': turn * 10 + length(text) % 25})) AS l FROM conversations GROUP BY conv_id
+), r AS (
+  SELECT conv_id, l, 0 AS k, []::STRUCT(s BIGINT, e BIGINT)[] AS kept FROM s
+  UNION ALL
+  SELECT conv_id, l, k + 1, CASE WHEN len(list_filter(kept, lambda x: x.s < l[k + 1].e AND l[k + 1].s < x.e)) > 0 THEN kept
+    ELSE list_append(kept, {'s': l[k + 1].s, 'e': l[k + 1].e}) END
+  FROM r WHERE k < len(l)
+)
+SELECT conv_id, len(l)::INT AS spans, len(kept)::INT AS kept FROM r WHERE k = len(l)
+""")
 def t13(spark, sf_dir):
     s = F.struct((-F.length("text")).alias("rank"), (F.col("turn") * 10).cast("int").alias("start"), (F.col("turn") * 10 + F.length("text") % 25).cast("int").alias("end"))
     ranked = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(s)).alias("s"))
