@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillet.functions.text import casefold, strip
+from quillet.operators.records import numbered
 from quillet.sources.store import shared_table
 
 ENTITY = "entity_id long, canonical_text string, entity_type string, domain string, normalization_policy string, priority int, enabled boolean, source string"
 ALIAS = "alias_id long, entity_id long, alias string"
 POLICIES = ("normalize", "preserve")
+#: Entity ids whose aliases are numbered together.
+ID_RANGE = 4096
 
 
 class EntityError(ValueError):
@@ -71,15 +74,16 @@ def upsert(entities: DataFrame, aliases: DataFrame, incoming: DataFrame) -> tupl
     known = given.join(entities.select("entity_id", *keys), keys, "left")
     top = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0))).first()[0]
     fresh = known.where("entity_id is null").drop("entity_id")
-    # ids follow the order of the keys; a merge holds at most a dictionary of new rows
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy(*keys))).withColumn("entity_id", F.col("n") + F.lit(top))
-    merged = known.where("entity_id is not null").unionByName(numbered.drop("n")).withColumn("enabled", F.lit(True))
+    # ids follow the order of the keys; the first characters, whose order is that of the
+    # texts, cut them into ranges
+    new = numbered(fresh, [], keys, "n", by=F.ascii("canonical_text")).withColumn("entity_id", F.col("n") + F.lit(top))
+    merged = known.where("entity_id is not null").unionByName(new.drop("n", "n_size")).withColumn("enabled", F.lit(True))
     columns = entities.columns
     kept = entities.join(merged.select("entity_id"), "entity_id", "left_anti")
     new_entities = kept.select(columns).unionByName(merged.select(columns))
     high = aliases.agg(F.coalesce(F.max("alias_id"), F.lit(0))).first()[0]
     listed = merged.select("entity_id", F.posexplode(tidy_aliases(F.col("aliases"), F.col("canonical_text"))).alias("at", "alias"))
-    listed = listed.withColumn("n", F.row_number().over(Window.orderBy("entity_id", "at")))
+    listed = numbered(listed, [], ["entity_id", "at"], "n", by=F.floor(F.col("entity_id") / ID_RANGE))
     new_aliases = aliases.join(merged.select("entity_id"), "entity_id", "left_anti").select(aliases.columns).unionByName(
         listed.select((F.col("n") + F.lit(high)).alias("alias_id"), "entity_id", "alias")
     )
@@ -111,7 +115,7 @@ class EntityStore:
 
     def settled(self) -> "EntityStore":
         """The same tables, stored: the plans of changes don't pile up."""
-        return EntityStore(shared_table(self.entities.coalesce(1), "entities"), shared_table(self.aliases.coalesce(1), "aliases"))
+        return EntityStore(shared_table(self.entities, "entities"), shared_table(self.aliases, "aliases"))
 
     def _require(self, entity_id: int):
         found = self.entities.where(F.col("entity_id") == entity_id).limit(1).collect()

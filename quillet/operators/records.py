@@ -122,7 +122,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, by:
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_{name}_first"), F.sum("_n").over(every).alias(f"{name}_size"),
         F.coalesce(F.sum("_s").over(before), F.lit(0)).alias(f"_{name}_sum"),
     )
-    met = F.col(piece) == F.col(f"_{name}_at")
+    met = F.col(piece).eqNullSafe(F.col(f"_{name}_at"))
     for k in keys:
         met &= F.col(k).eqNullSafe(F.col(f"_{name}_{k}"))
     within = Window.partitionBy(*keys, piece).orderBy(*order)
