@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions.metrics import text_metrics
 from quillet.functions.text import blank_to_null, strip
+from quillet.sources.store import shared_table
 
 CATEGORIES = ("content", "format", "filter", "rephrase")
 NO_OUTPUT = "ASR output is empty or unsuccessful"
@@ -111,6 +112,7 @@ def rubric_questions(rubric: DataFrame) -> DataFrame:
         "sample_id", "n", field("id").alias("question_id"), field("category").alias("category"),
         field("question").alias("question"), field("evidence").alias("evidence"), parse_options(options).alias("options"),
     )
+    out = shared_table(out, "questions")  # the replies are read once, not for each check
     checks = F.col("question_id").isNull() | ~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False)) | F.col("question").isNull()
     bad = out.where(checks | F.col("evidence").isNull() | F.col("options").isNull()).limit(1).collect()
     if bad:
@@ -147,7 +149,7 @@ def score_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
     An answer for an unknown question, a missing answer and an index out of range raise.
     """
-    joined = questions.join(answers, ["sample_id", "question_id"], "full")
+    joined = shared_table(questions.join(answers, ["sample_id", "question_id"], "full"), "answered")
     picked = F.get("options", F.col("option_index"))
     bad = joined.where(F.col("options").isNull() | F.col("option_index").isNull() | (F.col("option_index") < 0) | picked.isNull()).limit(1).collect()
     if bad:
