@@ -2,11 +2,13 @@
 
 Documents of equal text form an atomic group. Groups are ordered by a 60-bit hash of the
 text; groups that alone reach the average of what is left come first and take a shard
-each. The ordered sizes of the rest are summed into ``2**BIN_BITS`` hash ranges, each of
-which holds whole groups, so what the driver sees is bounded however many documents
-there are. Over these ordered sizes the smallest feasible capacity is found by binary
-search with a greedy check. The shards are cut within that capacity, each at the bound
-nearest to an equal share of what is left.
+each. The ordered sizes of the rest are summed into ``2**BIN_BITS`` hash ranges of whole
+groups. Over these the smallest feasible capacity is found by binary search with a greedy
+check. Ranges of several groups in which a cut may lie are then split, ``SPLIT_CELLS`` at
+a time, until every place of a cut is a single group: the capacity is the smallest over
+the ordered groups, while the driver sees range sums only, a bounded number each time.
+The shards are cut within that capacity, each at the bound nearest to an equal share of
+what is left.
 
 Only DataFrame functions are used on the data; one shuffle sums group sizes and one
 numbers the slots, both of narrow rows.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from itertools import accumulate
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +26,10 @@ from pyspark.sql import functions as F
 from quillet.llm.common import stored
 
 ROW_BYTES = 8
+KEY_BITS = 60
 BIN_BITS = 16
+SPLIT_BITS = 6
+SPLIT_CELLS = 1024
 SLOT_BUCKETS = 512
 
 
@@ -47,6 +53,11 @@ def minimax_cuts(sizes: list[int], parts: int) -> list[int]:
     if not sizes:
         return []
     prefix = list(accumulate(sizes))
+    return level_cuts(prefix, smallest_capacity(sizes, prefix, parts), parts)
+
+
+def smallest_capacity(sizes: list[int], prefix: list[int], parts: int) -> int:
+    """The smallest largest sum of ``parts`` contiguous parts."""
     low, high = max(max(sizes), -(-prefix[-1] // parts), 1), prefix[-1]
     while low < high:
         middle = (low + high) // 2
@@ -54,7 +65,7 @@ def minimax_cuts(sizes: list[int], parts: int) -> list[int]:
             high = middle
         else:
             low = middle + 1
-    return level_cuts(prefix, low, parts)
+    return low
 
 
 def level_cuts(prefix: list[int], capacity: int, parts: int) -> list[int]:
@@ -82,6 +93,58 @@ def level_cuts(prefix: list[int], capacity: int, parts: int) -> list[int]:
     return cuts
 
 
+class Cell(NamedTuple):
+    """A range of 2**bits keys from ``first`` on, with the bytes and number of its groups."""
+
+    first: int
+    bits: int
+    bytes: int
+    groups: int
+
+
+def open_cells(cells: list[Cell], parts: int) -> list[int]:
+    """Numbers of the cells of several groups in which a greedy cut of the groups, at their
+    smallest capacity, may lie. Where there are none, cuts between cells are as good as
+    cuts between groups.
+
+    Moving a cut to the end of its cell adds at most that cell to a part. So the capacity of
+    the groups is less than that of the cells by no more than the largest cell with a cut.
+    """
+    prefix = list(accumulate(c.bytes for c in cells))
+    high = smallest_capacity([c.bytes for c in cells], prefix, parts)
+    found = [i for i, c in enumerate(cells) if c.groups > 1]
+    while found:
+        low = max(high - max(cells[i].bytes for i in found), -(-prefix[-1] // parts))
+        places, begin, end = set(), 0, 0
+        for _ in range(parts - 1):
+            # the cut lies in or after cell ``begin`` at the lower capacity, in or before ``end`` at the upper one
+            begin = bisect_right(prefix, (prefix[begin - 1] if begin else 0) + low)
+            end = min(bisect_right(prefix, (prefix[end - 1] if end else 0) + high) + 1, len(cells))
+            places.update(range(begin, end))
+        fewer = [i for i in found if i in places]
+        if len(fewer) == len(found):
+            break
+        found = fewer
+    return found
+
+
+def group_cells(groups: DataFrame, parts: int) -> list[Cell]:
+    """Cells in order of their keys, split until none is open; ``groups`` has key and bytes."""
+
+    def summed(rows: DataFrame, bits: int) -> list[Cell]:
+        sums = rows.groupBy(F.shiftright("key", bits).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("groups"))
+        return [Cell(r["cell"] << bits, bits, r["bytes"], r["groups"]) for r in sums.collect()]
+
+    cells = sorted(summed(groups, KEY_BITS - BIN_BITS))
+    while still := open_cells(cells, parts) if cells else []:
+        bits = max(cells[i].bits for i in still)
+        wide = sorted((i for i in still if cells[i].bits == bits), key=lambda i: -cells[i].bytes)[:SPLIT_CELLS]
+        inside = groups.where(F.shiftright("key", bits).isin([cells[i].first >> bits for i in wide]))
+        gone = set(wide)
+        cells = sorted([c for i, c in enumerate(cells) if i not in gone] + summed(inside, max(bits - SPLIT_BITS, 0)))
+    return cells
+
+
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot.
 
@@ -105,15 +168,13 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         alone.append(row["key"])
         total -= row["bytes"]
         left -= 1
-    shift = 60 - BIN_BITS
     light = groups.where(~F.col("key").isin(alone)) if alone else groups
-    bins = light.groupBy(F.shiftright("key", shift).alias("bin")).agg(F.sum("bytes").alias("bytes")).orderBy("bin").collect()
-    cuts = minimax_cuts([b["bytes"] for b in bins], left)
-    bounds = [bins[c]["bin"] for c in cuts[:-1]]
+    cells = group_cells(light, left)
+    cuts = minimax_cuts([c.bytes for c in cells], left)
 
     shard = F.lit(len(alone))
-    for bound in bounds:
-        shard = shard + (F.shiftright("key", shift) >= bound).cast("int")
+    for cut in cuts[:-1]:
+        shard = shard + (F.col("key") >= cells[cut].first).cast("int")
     for number, key in enumerate(alone):
         shard = F.when(F.col("key") == key, number).otherwise(shard)
     placed = stored(

@@ -17,6 +17,7 @@ from quillet.llm.language_id import identify, learn
 from quillet.llm.near_dedup import near_duplicates
 from quillet.llm.packing import crc_of_ids, pack, piece_lengths
 from quillet.llm.recurrent_lm import score_documents
+from quillet.llm import sharding
 from quillet.llm.sharding import group_hash, minimax_cuts, shard_documents
 from quillet.llm.token_counts import token_counts
 
@@ -240,6 +241,29 @@ def test_sharding_keeps_groups_and_balances(spark, docs):
     assert len(load) == 24 and max(light) < 1.15 * min(light)
 
 
+@pytest.mark.parametrize("bins, cells", [(2, 3), (16, 1024)])
+def test_shards_have_the_smallest_capacity_of_groups(spark, monkeypatch, bins, cells):
+    """Also where ranges hold many groups of very different sizes and few are split at a time."""
+    monkeypatch.setattr(sharding, "BIN_BITS", bins)
+    monkeypatch.setattr(sharding, "SPLIT_CELLS", cells)
+    rng = random.Random(bins)
+    rows = [(i, "".join(rng.choices("abcdef ", k=int(rng.paretovariate(0.8)) % 900))) for i in range(700)] + [(None, None), (3, "")]
+    rows += [(1000 + i, "copy " * 9) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {(r.key, r.bytes) for r in table.groupBy(group_hash(F.col("text")).alias("key")).agg(
+        F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 8).alias("bytes")).collect()}
+    for parts in (2, 5, 9):
+        assert all(size * parts < sum(b for _, b in groups) for _, size in groups)
+        sizes = [b for _, b in sorted(groups)]
+        best = [0] + [math.inf] * len(sizes)
+        for _ in range(parts):
+            best = [0] + [min(max(best[s], sum(sizes[s:e])) for s in range(e)) for e in range(1, len(sizes) + 1)]
+        load = Counter()
+        for r in shard_documents(table, parts).collect():
+            load[r.shard] += r.size
+        assert max(load.values()) == best[-1]
+
+
 def test_language_id_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
