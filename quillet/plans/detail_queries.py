@@ -18,7 +18,7 @@ from quillet.plans.text_queries import DICTIONARY, store
 from quillet.operators import entities as en
 from quillet.registry import query
 from quillet.sources import readers
-from quillet.sources.store import shared_folder
+from quillet.sources.store import application_folder
 from quillet.streaming import sessions as ss
 from quillet.streaming import steps
 
@@ -59,7 +59,7 @@ def s04(spark, sf_dir):
     """benchmark written as one rubric file and read back."""
     qa = F.array(F.struct(F.lit("q1").alias("id"), F.lit("content").alias("category"), F.lit("?").alias("question"), F.lit("e").alias("evidence"), F.lit("yes（1），no（0）").alias("options")))
     item = F.struct(F.concat(F.lit("b"), "item_id").alias("source_record_id"), F.lit("success").alias("status"), F.col("text").alias("clean"), qa.alias("qa"))
-    path = f"{shared_folder(spark)}/quillet-core/rubric-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/rubric-{uuid.uuid4().hex}"
     # the benchmark is one bounded file in this format
     table(spark, sf_dir, "benchmark").agg(F.collect_list(item).alias("items")).coalesce(1).write.json(path)
     back = readers.read_rubric(spark, path)

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillet.operators import records as rc
+from quillet.operators.entities import entity_view
 from quillet.plans.base import SCENE_NAMES, SQL_RECORDS, records, scene_of, sql_scene, table
 from quillet.plans.evaluation_queries import literal, sql_expected
 from quillet.plans.record_queries import SQL_UNIT
 from quillet.plans.transcripts import TranscriptPipeline
 from quillet.registry import query
 from quillet.sources import readers, writers
-from quillet.sources.store import shared_folder
+from quillet.sources.store import application_folder
 
 
 def _folder(spark, name):
-    return f"{shared_folder(spark)}/quillet-core/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 CONVERSATION = "conv_id long, turn long, role string, text string"
@@ -135,3 +136,44 @@ def u06(spark, sf_dir):
     seeds = records(spark, sf_dir).select("id", "pos", "scene", "language", F.col("input").alias("seed"))
     out = TranscriptPipeline(spark, seed=7).simulate(seeds)
     return out.groupBy("scene").agg(F.count("*").alias("records"), F.count_if(F.col("asr_mode") == "passthrough").alias("passthrough"))
+
+
+PROMPTS = {"zh": ("base", "write"), "en": ("english", "write in English"), "de": ("german", None)}
+
+
+@query("s09_prompts", """
+SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE 'base' END AS system,
+  CASE lang WHEN 'en' THEN 'write in English' ELSE 'write' END AS user FROM documents
+""")
+def s09(spark, sf_dir):
+    """The prompt of each document's language from a prompt file, else the Chinese one."""
+    path = _folder(spark, "prompts")
+    writers.write_report(spark, path, {
+        "_about": "prompts by language",
+        "system_prompts": {"_note": "", **{k: s for k, (s, _) in PROMPTS.items()}}, "user_template": {k: u for k, (_, u) in PROMPTS.items()},
+    })
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("key"))
+    return readers.prompt_for(readers.read_prompts(spark, path), docs).select("doc_id", "system", "user")
+
+
+@query("s10_dictionary_file", """
+SELECT n_nationkey + 1 AS entity_id, n_name AS canonical_text, n_regionkey::INT AS priority,
+  lower(n_name) || CASE WHEN n_regionkey = 1 THEN '' ELSE ',' || r_name END AS aliases
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0
+""")
+def s10(spark, sf_dir):
+    """nation as a dictionary, written as one SQLite file and read back: the enabled entities with their aliases."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    key = (F.col("n_nationkey") + 1).cast("long")
+    entities = nation.select(
+        key.alias("entity_id"), F.col("n_name").alias("canonical_text"), F.lit("TERM").alias("entity_type"), F.lit("general").alias("domain"),
+        F.lit("normalize").alias("normalization_policy"), F.col("n_regionkey").cast("int").alias("priority"),
+        (F.col("n_nationkey") % 3 != 0).alias("enabled"), F.lit("user").alias("source"),
+    )
+    lower = nation.select((key * 2).alias("alias_id"), key.alias("entity_id"), F.lower("n_name").alias("alias"))
+    wide = nation.where("n_regionkey <> 1").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    aliases = lower.unionByName(wide.select((key * 2 + 1).alias("alias_id"), key.alias("entity_id"), F.col("r_name").alias("alias")))
+    path = _folder(spark, "dictionary")
+    writers.write_dictionary(spark, path, entities, aliases)
+    view = entity_view(*readers.read_dictionary(spark, path), "general")
+    return view.select("entity_id", "canonical_text", "priority", F.array_join("aliases", ",").alias("aliases"))

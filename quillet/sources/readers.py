@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import sqlite3
 import wave
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillet.operators.entities import ALIAS, ENTITY
+
 SAMPLE_RATE = 16_000
 WINDOW = 512
 
@@ -145,6 +148,75 @@ def pcm_samples(raw: Column) -> Column:
     return decode(raw)
 
 
+#: The tables of a dictionary file and their columns.
+DICTIONARY_TABLES = {
+    "entities": ("protected_entities", "id, canonical_text, entity_type, domain, normalization_policy, priority, enabled, source"),
+    "aliases": ("entity_aliases", "id, entity_id, alias"),
+}
+FETCH_ROWS = 4096
+
+
+def read_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and aliases of SQLite dictionary files, as ``EntityStore`` holds them.
+
+    Each file is opened in the task that reads it and handed on in blocks of rows. A file
+    without the tables fails the job; an empty table has no rows.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def rows_of(kind: str, schema: str) -> DataFrame:
+        name, columns = DICTIONARY_TABLES[kind]
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for content in batch["content"]:
+                    data = bytearray(content)
+                    data[18:20] = b"\x01\x01"  # a copy in memory has no write-ahead log
+                    db = sqlite3.connect(":memory:")
+                    db.deserialize(bytes(data))
+                    found = db.execute(f"SELECT {columns} FROM {name}")
+                    while block := found.fetchmany(FETCH_ROWS):
+                        frame = pd.DataFrame(block, columns=names)
+                        if "enabled" in names:
+                            frame["enabled"] = frame["enabled"].astype(bool)
+                        yield frame
+                    db.close()
+
+        return files.mapInPandas(run, schema)
+
+    return rows_of("entities", ENTITY), rows_of("aliases", ALIAS)
+
+
+def read_prompts(spark: SparkSession, path: str, section: str | None = None) -> DataFrame:
+    """(key, system, user) of a prompt file, without keys that begin with an underscore.
+
+    With ``section`` the file maps it to {key: {system, user_template}}; without, the file
+    has the maps system_prompts and user_template, each by key. What a key lacks is null.
+    """
+    shown = ~F.col("key").startswith("_")
+    if section is not None:
+        config = read_json(spark, path, f"`{section}` map<string,variant>")
+        part = lambda name: F.try_variant_get("value", f"$.{name}", "string")
+        return config.select(F.explode(section)).where(shown).select("key", part("system").alias("system"), part("user_template").alias("user"))
+    config = read_json(spark, path, "system_prompts map<string,string>, user_template map<string,string>")
+    keys = F.array_union(*[F.coalesce(F.map_keys(c), F.array().cast("array<string>")) for c in ("system_prompts", "user_template")])
+    rows = config.select("system_prompts", "user_template", F.explode(keys).alias("key")).where(shown)
+    return rows.select("key", F.try_element_at("system_prompts", "key").alias("system"), F.try_element_at("user_template", "key").alias("user"))
+
+
+def prompt_for(prompts: DataFrame, wanted: DataFrame, fallback: str = "zh") -> DataFrame:
+    """``wanted``, which has a column key, with the system and user prompt of its key, each
+    else that of ``fallback``, else an empty text."""
+    spare = prompts.where(F.col("key") == fallback).agg(F.first("system").alias("_system"), F.first("user").alias("_user"))
+    # one row of fallback texts, as an aggregate without keys gives
+    joined = wanted.join(prompts, "key", "left").join(F.broadcast(spare), F.lit(True), "left")
+    return joined.select(
+        *wanted.columns,
+        F.coalesce("system", "_system", F.lit("")).alias("system"), F.coalesce("user", "_user", F.lit("")).alias("user"),
+    )
+
+
 def visible_config(values: dict) -> dict:
     """A configuration without the keys that begin with an underscore, at any depth."""
     return {k: visible_config(v) if isinstance(v, dict) else v for k, v in values.items() if not k.startswith("_")}

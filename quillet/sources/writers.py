@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import sqlite3
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillet.sources.readers import DICTIONARY_TABLES
+
 
 def _fs(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -45,6 +48,21 @@ def report_rows(df: DataFrame, most: int = 10_000) -> list[dict]:
     return [r.asDict(recursive=True) for r in rows]
 
 
+def write_dictionary(spark: SparkSession, path: str, entities: DataFrame, aliases: DataFrame, most: int = 100_000) -> None:
+    """Both tables of a dictionary as one new SQLite file; more than ``most`` rows raise."""
+    db = sqlite3.connect(":memory:")
+    for df, (name, columns) in ((entities, DICTIONARY_TABLES["entities"]), (aliases, DICTIONARY_TABLES["aliases"])):
+        db.execute(f"CREATE TABLE {name} ({columns})")
+        rows = [tuple(r.values()) for r in report_rows(df, most)]
+        db.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(df.columns))})", rows)
+    db.commit()
+    where, fs = _fs(spark, path)
+    stream = fs.create(where, False)
+    stream.write(bytearray(db.serialize()))
+    stream.close()
+    db.close()
+
+
 def export_sft(split: DataFrame, path: str) -> None:
     """``split`` (conversations, split) as JSON lines, one folder for train and val."""
     split.select("split", "conversations").write.mode("overwrite").partitionBy("split").json(path)

@@ -3,6 +3,7 @@
 import asyncio
 import io
 import json
+import sqlite3
 import struct
 import wave
 
@@ -155,3 +156,40 @@ def test_replies_and_judging():
     for bad in ("no", '{"answers": []}', '{"answers": [{"id": "q1", "option_index": 2}]}', '{"answers": [{"id": "q1", "option_index": true}]}'):
         with pytest.raises(ev.DataError):
             jd.read_answers(bad, asked)
+
+
+def test_dictionary_file(spark, tmp_path):
+    from quillet.operators.entities import EntityStore
+
+    path = tmp_path / "words.sqlite3"
+    db = sqlite3.connect(path)
+    db.execute("PRAGMA journal_mode = WAL")
+    db.execute("CREATE TABLE protected_entities (id INTEGER, canonical_text, entity_type, domain, normalization_policy, priority INTEGER, enabled INTEGER, source, created_at)")
+    db.execute("CREATE TABLE entity_aliases (id INTEGER, entity_id INTEGER, alias)")
+    store = EntityStore(*rd.read_dictionary(spark, str(path)))
+    db.commit()
+    db.close()
+    assert store.view().count() == 0
+    db = sqlite3.connect(path)
+    db.executemany("INSERT INTO protected_entities VALUES (?, ?, 'TERM', ?, 'normalize', ?, ?, 'user', '')", [
+        (1, "鬼灵门", "general", 5, 1), (2, "Alpha", "games", 9, 1), (3, "Beta", "games", 0, 0), (4, "Gamma", "films", 0, 1)])
+    db.executemany("INSERT INTO entity_aliases VALUES (?, ?, ?)", [(2, 1, "贵灵门"), (1, 1, "鬼林门"), (3, 3, "b")])
+    db.commit()
+    db.close()
+    store = EntityStore(*rd.read_dictionary(spark, str(path)))
+    assert [(r.entity_id, r.aliases) for r in store.view("games").collect()] == [(2, []), (1, ["鬼林门", "贵灵门"])]
+    assert store.add("Delta", domain="films").get("Delta", "films").entity_id == 5
+    assert store.get("Beta", "games").enabled is False
+
+
+def test_prompts(spark, tmp_path):
+    path = tmp_path / "clean.json"
+    path.write_text(json.dumps({"_about": "x", "system_prompts": {"_n": "-", "zh": "Z", "en": "E"}, "user_template": {"zh": "u", "ja": "j"}}))
+    prompts = rd.read_prompts(spark, str(path))
+    assert {tuple(r) for r in prompts.collect()} == {("zh", "Z", "u"), ("en", "E", None), ("ja", None, "j")}
+    wanted = spark.createDataFrame([(1, "en"), (2, "fr"), (3, "ja"), (4, None)], "id int, key string")
+    assert {tuple(r) for r in rd.prompt_for(prompts, wanted).collect()} == {(1, "en", "E", "u"), (2, "fr", "Z", "u"), (3, "ja", "Z", "j"), (4, None, "Z", "u")}
+    assert {r.system for r in rd.prompt_for(prompts, wanted, "none").where("id = 2").collect()} == {""}
+    path = tmp_path / "seed.json"
+    path.write_text(json.dumps({"seeds": {"_note": "text", "a": {"system": "s", "user_template": "t"}}}))
+    assert [tuple(r) for r in rd.read_prompts(spark, str(path), "seeds").collect()] == [("a", "s", "t")]
