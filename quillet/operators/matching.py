@@ -9,7 +9,7 @@ scored. Scores weigh phonetic and character similarity, length, domain and prior
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -116,6 +116,16 @@ class _Surface:
     units: str
     sounds: tuple[str, ...]
 
+    def __post_init__(self):
+        self.unit_counts = Counter(self.units)
+        self.sound_counts = Counter(self.sounds)
+
+
+def closest(counts: Counter, a, b) -> float:
+    """What ``closeness(a, b)`` is at most: only what both hold can stay. ``counts``: of b."""
+    longest = max(len(a), len(b))
+    return 1 - (longest - sum(min(a.count(x), n) for x, n in counts.items())) / longest if longest else 1.0
+
 
 @dataclass
 class Matcher:
@@ -159,15 +169,22 @@ class Matcher:
                             out.add((begin, begin + length, number))
         return out
 
-    def _scores(self, chars: str, sounds: tuple[str, ...], s: _Surface) -> tuple[float, ...]:
+    def _final(self, n: int, s: _Surface, char: float, sound: float) -> tuple[float, ...]:
         c, e = self.config, s.entity
-        char, sound = closeness(chars, s.units), closeness(sounds, s.sounds)
-        length = 1 - abs(len(chars) - len(s.units)) / max(len(chars), len(s.units))
+        length = 1 - abs(n - len(s.units)) / max(n, len(s.units))
         domain = 1.0 if e.domain == self.domain else 0.8
         priority = min(20, max(0, e.priority)) / 20
         final = c.pinyin_weight * sound + c.character_weight * char + c.length_weight * length + c.domain_weight * domain + c.priority_weight * priority
         return char, sound, length, domain, priority, final
 
+    def _scores(self, chars: str, sounds: tuple[str, ...], s: _Surface) -> tuple[float, ...]:
+        return self._final(len(chars), s, closeness(chars, s.units), closeness(sounds, s.sounds))
+
+    def _may_pass(self, chars: str, sounds: tuple[str, ...], s: _Surface) -> bool:
+        """Whether the score can reach that of a hint; no distance is computed."""
+        char, sound = closest(s.unit_counts, chars, s.units), closest(s.sound_counts, sounds, s.sounds)
+        return self._final(len(chars), s, char, sound)[-1] >= self.config.hint_score
+
     def _decide(self, s: _Surface, sound: float, final: float, margin: float, allow_auto: bool) -> tuple[str, list[str]]:
         c, kind, n = self.config, s.entity.entity_type.upper(), len(s.units)
         checks = {
@@ -199,7 +216,15 @@ class Matcher:
             if len(chars) < 2:
                 continue
             sounds = self.sounds(chars)
+            by_span = defaultdict(list)
             for begin, end, number in self._candidates(chars, sounds):
+                by_span[begin, end].append(number)
+            # a span without a surface that can reach a hint has no match; the others need all scores for their margin
+            hopeful = [
+                (begin, end, number) for (begin, end), numbers in by_span.items()
+                if any(self._may_pass(chars[begin:end], sounds[begin:end], self._surfaces[n]) for n in numbers) for number in numbers
+            ]
+            for begin, end, number in hopeful:
                 start, stop = places[begin], places[end - 1] + 1
                 s = self._surfaces[number]
                 if any(start < b and a < stop for a, b in blocked) or text[start:stop].casefold() == s.text.casefold():

@@ -292,15 +292,15 @@ def g17(spark, sf_dir):
 
 @query("j09_fuzzy_matches")
 def j09(spark, sf_dir):
-    """Fuzzy matches of the dictionary in the benchmark texts."""
+    """Fuzzy matches of the dictionary in the documents."""
     @F.pandas_udf("array<struct<start:int,end:int,observed:string,canonical:string,final_score:double,decision:string>>")
     def match(texts: pd.Series) -> pd.Series:
         m = Matcher(DICTIONARY, mode="hint")
         keep = ("start", "end", "observed", "canonical", "final_score", "decision")
         return texts.map(lambda t: [{k: getattr(x, k) for k in keep} for x in m.match(t or "")])
 
-    found = table(spark, sf_dir, "benchmark").select("item_id", F.explode(match("text")).alias("m"))
-    return found.select("item_id", "m.*")
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(match("text")).alias("m"))
+    return found.select("doc_id", "m.*")
 
 
 GUARD = [
