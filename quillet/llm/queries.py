@@ -14,8 +14,11 @@ from quillet.llm.decontamination import contamination
 from quillet.llm.language_id import identify, learn
 from quillet.llm.near_dedup import near_duplicates
 from quillet.llm.packing import pack
+from quillet.llm.piece_codec import encode_documents
 from quillet.llm.recurrent_lm import score_documents
 from quillet.llm.sharding import shard_documents
+from quillet.llm.source_divergence import divergence
+from quillet.llm.spelling import group_spellings, word_counts
 from quillet.llm.token_counts import token_counts
 from quillet.llm.url_filter import Rule, judge_urls
 from quillet.llm.vector_search import nearest
@@ -190,6 +193,74 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+
+
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLE_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, coalesce(n, 0)::HUGEINT AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, sum(n) OVER (PARTITION BY lang, term) AS m,
+  1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source))::HUGEINT AS p FROM f),
+q AS (SELECT *, 1 + (1000000000 * (m + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * (SELECT count(*) FROM k WHERE k.lang = p.lang))::HUGEINT AS q FROM p),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+), terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM q WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms QUALIFY rank <= 10
+"""
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(word_counts(table(spark, sf_dir, "documents")))
+
+
+#: The checksum is taken over bytes by its table, which is made from the polynomial.
+ORACLE_OP12 = r"""
+WITH RECURSIVE tab(b, k, c) AS (
+  SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM tab WHERE k < 8
+), crc AS (SELECT list(c ORDER BY b) AS l FROM tab WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents
+), seen AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) AS n FROM runs WHERE length(run) > 5 GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id || ':' || run, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))),
+    lambda a, b: xor(l[xor(a, b) % 256 + 1], a // 256)), 4294967295::BIGINT) AS h
+  FROM seen, crc
+), spoilt AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h
+), w AS (SELECT word, sum(n)::BIGINT AS n FROM spoilt WHERE length(word) > 5 GROUP BY word HAVING sum(n) > 4),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM w, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.less = w.word
+  UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.less = w.word
+), b AS (SELECT word, other, n AS other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM w LEFT JOIN b USING (word)),
+r(word, reached, next) AS (SELECT word, word, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.next = f.word)
+SELECT f.word, form, reached AS root, n, n_near, form_n FROM f JOIN r ON f.word = r.word AND r.next IS NULL
+"""
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES["op1_benchmark_decontamination"] = op1_benchmark_decontamination
 ORACLES["op1_benchmark_decontamination"] = ORACLE_OP1
 QUERIES["op2_token_counts"] = op2_token_counts
@@ -206,3 +277,8 @@ ORACLES["op8_minhash_near_dedup"] = ORACLE_OP8
 QUERIES["op9_lm_scoring"] = op9_lm_scoring
 QUERIES["op10_chat_formatting"] = op10_chat_formatting
 ORACLES["op10_chat_formatting"] = ORACLE_OP10
+QUERIES["op11_source_divergence"] = op11_source_divergence
+ORACLES["op11_source_divergence"] = ORACLE_OP11
+QUERIES["op12_spelling_variants"] = op12_spelling_variants
+ORACLES["op12_spelling_variants"] = ORACLE_OP12
+QUERIES["op13_piece_codec"] = op13_piece_codec
