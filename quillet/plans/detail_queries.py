@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillet.functions import replies as rp
-from quillet.operators import evaluation as ev, judging as jd, masking as mk, segments as sg
-from quillet.operators.matching import Matcher, runs, units
+from quillet.operators import evaluation as ev, judging as jd, segments as sg
+from quillet.operators.matching import runs, units
 from quillet.plans.base import sql_strip, table
 from quillet.plans.evaluation_queries import SQL_MATCHED, literal, matched, rubric, sql_expected
 from quillet.plans.session_queries import turns
@@ -74,36 +74,6 @@ def s14(spark, sf_dir):
     return changed_text(e).groupBy("session").agg(F.count("*").alias("changes"))
 
 
-RESTORES = [("版本是ENTITY_000。预算是ENTITY_001万。", ""), ("__ENTITY_001__和__ENTITY_000__。", "placeholder_order_changed"), ("__ENTITY_000__", "placeholder_count:__ENTITY_001__:0"), ("", "empty_or_metadata_output"), ("ENTITY_000、ENTITY_001。", "entity_sentence_boundary_lost")]
-
-
-@query("e08_restore", sql_expected([r for _, r in RESTORES]))
-def e08(spark, sf_dir):
-    @F.pandas_udf("string")
-    def reasons(texts: pd.Series) -> pd.Series:
-        p = mk.Protector([]).protect("版本是2.0。预算是12.5万。")
-        return texts.map(lambda t: ",".join(mk.restore(t, p)[1]))
-
-    return literal(spark, sf_dir, [x for x, _ in RESTORES]).select("doc_id", reasons("x").alias("result"))
-
-
-@query("e09_e10_e11_audit", sql_expected(["Alpha|missing_ORG|use Alpha", "||plain", "Alpha|missing_ORG|Alpha Alpha"]))
-def e09(spark, sf_dir):
-    """Hints of the source, losses in an empty rewrite, and the source with its aliases replaced."""
-
-    @F.pandas_udf("string")
-    def show(texts: pd.Series) -> pd.Series:
-        p = mk.Protector([mk.Entity(1, "Alpha", "ORG", aliases=("aleph",))])
-
-        def one(t):
-            x = p.protect(t)
-            return "|".join((",".join(mk.hints(x)), ",".join(mk.audit("rewrite", x)), mk.normalize_aliases(t, x)[0]))
-
-        return texts.map(one)
-
-    return literal(spark, sf_dir, ["use aleph", "plain", "Aleph aleph"]).select("doc_id", show("x").alias("result"))
-
-
 @query("e12_e15_units", r"""SELECT item_id, length(regexp_replace(lower(replace(text, 'ß', 'ss')), '[\p{P}\p{Z}\s]', '', 'g')) AS units, len(list_filter(string_split_regex(text, '[。！？!?\n\r]'), lambda x: x <> '')) AS runs FROM benchmark""")
 def e12(spark, sf_dir):
     """Comparable characters and runs of each text; line ends are no units here."""
@@ -115,19 +85,6 @@ def e12(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", count("text").alias("c")).select("item_id", "c.*")
 
 
-DECISIONS = [("Alphe Beta test", "AUTO_NORMALIZE:AlphaBeta"), ("use AlphaBet", "AUTO_NORMALIZE:AlphaBeta"), ("Alpha Beta", "AUTO_NORMALIZE:AlphaBeta"), ("Gamma", "")]
-
-
-@query("e18_decisions", sql_expected([r for _, r in DECISIONS]))
-def e18(spark, sf_dir):
-    @F.pandas_udf("string")
-    def decide(texts: pd.Series) -> pd.Series:
-        m = Matcher([mk.Entity(1, "AlphaBeta")], mode="auto")
-        return texts.map(lambda t: ",".join(f"{x.decision}:{x.canonical}" for x in m.match(t, True)))
-
-    return literal(spark, sf_dir, [x for x, _ in DECISIONS]).select("doc_id", decide("x").alias("result"))
-
-
 @query("e02_update_entity", "SELECT n_nationkey::BIGINT AS entity_id, CASE WHEN n_nationkey = 4 THEN 99 ELSE n_nationkey % 3 END::INT AS priority FROM nation")
 def e02(spark, sf_dir):
     return store(spark, sf_dir).update(4, priority=99).entities.select("entity_id", "priority")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from quillet.functions import chunking as ck
 from quillet.functions import keywords as kw
 from quillet.functions import text as tx
 from quillet.operators import dedup, entities as en, segments as sg, windows as wn
-from quillet.operators.masking import PLACEHOLDER, SPAN, Entity, Protector, Surfaces, rule_spans
-from quillet.operators.matching import Matcher
+from quillet.operators.fuzzy import fuzzy_matches
+from quillet.operators.masking import Entity, Surfaces
+from quillet.operators.matching import units
 from quillet.plans.base import SQL_SPACE, sql_collapse, sql_strip, table
 from quillet.plans.evaluation_queries import literal, sql_expected
 from quillet.registry import query
@@ -246,34 +249,11 @@ def j08(spark, sf_dir):
     return found.groupBy("doc_id", "surface").agg(F.count("*").cast("int").alias("hits"))
 
 
-@query("e06_rule_spans")
-def e06(spark, sf_dir):
-    @F.pandas_udf(f"array<{SPAN}>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [s.row() for s in rule_spans(t or "")])
-
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(spans("text")).alias("s"))
-    return found.select("doc_id", "s.entity_type", "s.start", "s.end", "s.original")
-
-
 DICTIONARY = [
     Entity(1, "Thention", "TERM", aliases=("thtion", "hention")), Entity(2, "Éelle", "PROJECT", aliases=("elle la",)), Entity(3, "Kundach", "ORG", normalization_policy="preserve"),
 ]
 
 
-@query("e07_protect")
-def e07(spark, sf_dir):
-    @F.pandas_udf(f"struct<masked:string,spans:array<{SPAN}>>")
-    def protect(texts: pd.Series) -> pd.DataFrame:
-        p = Protector(DICTIONARY)
-        out = [p.protect(t or "") for t in texts]
-        return pd.DataFrame({"masked": [o.masked_text for o in out], "spans": [[s.row() for s in o.spans] for o in out]})
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", protect("text").alias("p"))
-    marks = F.regexp_extract_all("p.masked", F.lit(f"({PLACEHOLDER.pattern})"))
-    return docs.select("doc_id", F.md5("p.masked").alias("masked_md5"), F.size("p.spans").alias("spans"), F.size(marks).alias("markers"))
-
-
 @query("e21_refine_batch", f"SELECT doc_id AS id, md5({sql_strip('text')}) AS clean_md5, true AS accepted, 0 AS retries FROM documents")
 def e21(spark, sf_dir):
     """The batch flow with the identity refiner gives every stripped text back."""
@@ -290,17 +270,120 @@ def g17(spark, sf_dir):
     return out.select("id", F.md5("clean_text").alias("clean_md5"), "accepted", F.size("normalizations").alias("normalizations"))
 
 
-@query("j09_fuzzy_matches")
+def dictionary_view(spark, entities: list[Entity]):
+    """The entities as an entity view."""
+    columns = ("entity_id", "canonical_text", "entity_type", "domain", "normalization_policy", "priority", "aliases", "enabled")
+    schema = "entity_id long, canonical_text string, entity_type string, domain string, normalization_policy string, priority int, aliases array<string>, enabled boolean"
+    return spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in (getattr(e, c) for c in columns)) for e in entities], schema)
+
+
+# Letters that sound alike in the texts at hand; c has two sounds.
+SOUNDS = [("é", "e", 0), ("è", "e", 0), ("ê", "e", 0), ("c", "k", 0), ("c", "s", 1), ("q", "k", 0), ("y", "i", 0), ("z", "s", 0)]
+HOMOPHONES = [Entity(1, "mentecz", priority=3), Entity(2, "Zenquell", "PROJECT", aliases=("rekuell",)), Entity(3, "elliment", "ORG")]
+
+
+# single bytes that no comparable character has
+_CODES = "'" + "".join(map(chr, [*range(1, 9), *range(14, 27), *range(65, 91)])) + "'"
+
+
+def sql_matches(entities: list[Entity], sounds: list[tuple] = (), auto: bool = False) -> str:
+    """CTEs up to ``chosen``: matches by brute force over all windows of all runs. Letters
+    beyond ASCII are recoded to single bytes, as DuckDB's distance counts bytes."""
+    most = max((k for _, _, k in sounds), default=0) + 1
+    tables = [{c: s for k in range(r + 1) for c, s, x in sounds if x == k} for r in range(most)]
+    coded = lambda x: f"translate({x}, odd, left({_CODES}, length(odd)))"
+    ways = ", ".join(coded(f"translate(s, '{''.join(t)}', '{''.join(t.values())}')") for t in tables)
+    of = {c: [s for x, s, _ in sounds if x == c] for c, _, _ in sounds}
+    rows = []
+    for e in entities:
+        for number, surface in enumerate(e.surfaces):
+            plain = units(surface)[0]
+            readings = ", ".join(f"'{''.join(r)}'" for r in product(*(of.get(c, [c]) for c in plain)))
+            rows.append(f"({e.entity_id}, '{e.canonical_text}', '{e.entity_type}', '{e.normalization_policy}', {e.priority}, {number}, '{surface}', '{plain}', [{readings}])")
+    similar = lambda a, b: f"1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))"
+    bigrams = lambda x: f"list_transform(range(1, length({x})), lambda k: substr({x}, k, 2))"
+    decision, reasons = "'HINT_ONLY'", "''"
+    if auto:
+        checks = {
+            "entity_too_short": "n = 1 OR (su = b AND n < 4)", "preserve_policy": "policy <> 'normalize'", "entity_type_not_auto": "kind NOT IN ('TERM', 'PROJECT', 'MODEL')",
+            "high_risk_entity_type": "kind IN ('PERSON', 'ORG')", "pinyin_score_below_threshold": "sound < 0.88", "candidate_margin_too_small": "margin < 0.12",
+        }
+        failed = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{name}' END" for name, c in checks.items()) + ")"
+        decision, reasons = f"CASE WHEN {failed} = '' THEN 'AUTO_NORMALIZE' ELSE 'HINT_ONLY' END", f"CASE WHEN {failed} = '' THEN 'score_pass,margin_pass,final_event' ELSE {failed} END"
+    return rf"""WITH RECURSIVE ch AS (
+  SELECT doc_id, unnest(range(length(text))) AS place, unnest(string_split(text, '')) AS c FROM documents WHERE text <> ''
+), un AS (
+  SELECT doc_id, place, unnest(CASE WHEN c IN ('。', '！', '？', '!', '?', chr(10), chr(13)) THEN [chr(10)] WHEN c = 'ß' THEN ['s', 's'] WHEN regexp_matches(c, '[\p{{P}}\p{{Z}}]') THEN [] ELSE [lower(c)] END) AS u FROM ch
+), nr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i FROM un),
+rn AS (SELECT *, sum((u = chr(10))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM nr),
+codes AS (SELECT string_agg(DISTINCT u, '' ORDER BY u) AS odd FROM (SELECT u FROM un UNION SELECT unnest(string_split('éèêçàùüöäß', ''))) WHERE unicode(u) > 127),
+rs AS (SELECT doc_id, r, string_agg(u, '' ORDER BY i) AS s, list(place ORDER BY i) AS places FROM rn WHERE u <> chr(10) GROUP BY ALL),
+runs AS MATERIALIZED (SELECT doc_id, r, {coded("s")} AS c, places, [{ways}] AS said FROM rs, codes),
+su AS MATERIALIZED (
+  SELECT eid, canonical, kind, policy, prio, number, surface, su, list_transform(readings, lambda x: {coded("x")}) AS heard, {coded("su")} AS b, length(su) AS n, greatest(1, least(2, length(su) // 4)) AS slack
+  FROM (VALUES {", ".join(rows)}) v(eid, canonical, kind, policy, prio, number, surface, su, readings), codes
+), said AS (SELECT DISTINCT doc_id, r, unnest(said) AS h FROM runs),
+lengths AS (SELECT DISTINCT h AS heard, n, m FROM su, unnest(heard) t(h), unnest(range(greatest(2, n - slack), n + slack + 1)) v(m)),
+near AS (
+  SELECT DISTINCT doc_id, r, p, m FROM (SELECT doc_id, r, h, unnest(range(1, length(h))) AS p FROM said) w, lengths
+  WHERE p + m <= length(h) + 1 AND 4 * levenshtein(substr(h, p, m), heard) <= greatest(m, n)
+), wi AS (SELECT doc_id, r, p, m, places[p] AS a, places[p + m - 1] + 1 AS z FROM near JOIN runs USING (doc_id, r)),
+-- a letter of two units starts two windows of one span
+wide AS (
+  SELECT DISTINCT w.doc_id, w.r, q AS p, e - q + 1 AS m, a, z FROM wi w JOIN runs USING (doc_id, r), unnest(range(greatest(1, p - 1), p + 2)) t(q), unnest(range(p + m - 2, p + m + 1)) v(e)
+  WHERE e <= length(c) AND e > q AND places[q] = a AND places[e] + 1 = z
+), full_rows AS (
+  SELECT w.*, substr(c, w.p, w.m) AS x, list_transform(said, lambda h: substr(h, w.p, w.m)) AS xs, su.*, substr(d.text, a + 1, z - a) AS seen
+  FROM wide w JOIN runs USING (doc_id, r) JOIN documents d USING (doc_id), su WHERE abs(w.m - n) <= slack
+), al AS (
+  SELECT *, list_max(list_transform(xs, lambda x1: list_max(list_transform(heard, lambda h: {similar("x1", "h")})))) AS sound, {similar("x", "b")} AS written
+  FROM full_rows WHERE lower(seen) <> lower(surface) AND (list_has_any({bigrams("b")}, {bigrams("x")})
+    OR list_has_any(flatten(list_transform(heard, lambda h: {bigrams("h")})), flatten(list_transform(xs, lambda x1: {bigrams("x1")}))))
+), fi AS (
+  SELECT *, 0.55::DOUBLE * sound + 0.25::DOUBLE * written + 0.10::DOUBLE * (1 - abs(m - n)::DOUBLE / greatest(m, n)) + 0.08::DOUBLE * 1.0 + 0.02::DOUBLE * (least(20, greatest(0, prio)) / 20.0::DOUBLE) AS final FROM al
+), en AS (SELECT * FROM fi QUALIFY row_number() OVER (PARTITION BY doc_id, a, z, eid ORDER BY final DESC, number) = 1),
+rk AS (SELECT *, row_number() OVER w AS k, lead(final) OVER w AS second FROM en WINDOW w AS (PARTITION BY doc_id, a, z ORDER BY final DESC, prio DESC, eid)),
+ma AS (SELECT *, coalesce(final - second, 1.0) AS margin FROM rk WHERE k = 1 AND final >= 0.8),
+de AS (SELECT *, {decision} AS decision, {reasons} AS reasons FROM ma),
+tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY decision, final DESC, z - a DESC, prio DESC, eid, a) AS k2 FROM de QUALIFY k2 <= 20),
+li AS (SELECT doc_id, list({{'a': a, 'z': z}} ORDER BY k2) AS l FROM tp GROUP BY doc_id),
+gr AS (
+  SELECT doc_id, l, 0 AS n, []::INT[] AS kept FROM li
+  UNION ALL SELECT doc_id, l, n + 1, CASE WHEN len(list_filter(kept, lambda k: l[k].a < l[n + 1].z AND l[n + 1].a < l[k].z)) > 0 THEN kept ELSE list_append(kept, n + 1) END FROM gr WHERE n < len(l)
+), chosen AS (SELECT tp.* FROM tp JOIN gr ON gr.doc_id = tp.doc_id AND gr.n = len(gr.l) AND list_contains(kept, k2))
+"""
+
+
+SQL_MATCH_ROWS = "SELECT doc_id, a::INT AS start, z::INT AS \"end\", seen AS observed, canonical, round(final, 9) AS final_score, round(margin, 9) AS margin, decision FROM chosen"
+
+
+def _matches(spark, sf_dir, entities, sounds=None, **how):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    known = spark.createDataFrame(sounds, "character string, sound string, rank int") if sounds else None
+    return fuzzy_matches(docs, dictionary_view(spark, entities), sounds=known, **how).withColumnRenamed("id", "doc_id")
+
+
+def _match_rows(found):
+    return found.select("doc_id", "start", "end", "observed", "canonical", F.round("final_score", 9).alias("final_score"), F.round("margin", 9).alias("margin"), "decision")
+
+
+@query("j09_fuzzy_matches", sql_matches(DICTIONARY) + SQL_MATCH_ROWS)
 def j09(spark, sf_dir):
     """Fuzzy matches of the dictionary in the documents."""
-    @F.pandas_udf("array<struct<start:int,end:int,observed:string,canonical:string,final_score:double,decision:string>>")
-    def match(texts: pd.Series) -> pd.Series:
-        m = Matcher(DICTIONARY, mode="hint")
-        keep = ("start", "end", "observed", "canonical", "final_score", "decision")
-        return texts.map(lambda t: [{k: getattr(x, k) for k in keep} for x in m.match(t or "")])
-
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(match("text")).alias("m"))
-    return found.select("doc_id", "m.*")
+    return _match_rows(_matches(spark, sf_dir, DICTIONARY, mode="hint"))
+
+
+@query("e13_homophones", sql_matches(HOMOPHONES, SOUNDS) + SQL_MATCH_ROWS)
+def e13(spark, sf_dir):
+    """Matches by sound: letters of the table count as their sounds."""
+    return _match_rows(_matches(spark, sf_dir, HOMOPHONES, SOUNDS, mode="hint", allow_auto=True))
+
+
+@query("e17_e18_decisions", sql_matches(DICTIONARY, auto=True) + "SELECT doc_id, a::INT AS start, canonical, surface AS matched_surface, decision, reasons, round(second, 9) AS runner_up FROM chosen")
+def e18(spark, sf_dir):
+    """What is decided of each match, and why, with automatic normalisation allowed."""
+    found = _matches(spark, sf_dir, DICTIONARY, mode="auto", allow_auto=True)
+    return found.select("doc_id", "start", "canonical", "matched_surface", "decision", F.array_join("reasons", ",").alias("reasons"), F.round("runner_up_score", 9).alias("runner_up"))
 
 
 GUARD = [
