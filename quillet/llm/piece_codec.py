@@ -15,7 +15,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,11 @@ from quillet.llm.common import slabs
 
 SPACE = "▁"
 BATCH_BYTES = 2 << 20
-CACHE_UNITS = 150_000
-LONG_UNIT = 512
+CACHE_UNITS = 400_000
+LONG_UNIT = 128
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+NEVER = float("inf")
+CHECKED_TOGETHER = 32
 
 
 class MergeCoder:
@@ -52,27 +54,45 @@ class MergeCoder:
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         if not all(map(sp.is_byte, self.byte_ids)) or any(map(sp.is_unused, range(len(self.pieces)))):
             raise ValueError(f"{path}: only vocabularies with byte pieces and without unused pieces are supported")
+        # what an id stands for in a text; byte pieces stand for nothing by themselves
+        self.text_of = [None if i in self.byte_of else "" if sp.is_control(i) else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.end = sp.eos_id()
         self.units = self._cutter()
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.last: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
         self.checked = self.differing = 0
 
     def _cutter(self):
-        """Cuts a normalised text: before each run of spaces and around line ends, where
-        the vocabulary has no piece that holds both sides of the cut; else not at all."""
-        if any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.ids):
+        """Cuts a normalised text where no piece of the vocabulary holds both sides: before
+        each run of spaces, around line ends, and between Latin letters and other
+        characters; at fewer of these places, or none, if there are such pieces."""
+        plain = [p.lstrip(SPACE) for p in self.ids]
+        if any(SPACE in p or ("\n" in p and len(p) > 1) for p in plain):
             return lambda text: [text] if text else []
-        return re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
+        if any(re.search(f"[{LATIN}][^{LATIN}]|[^{LATIN}][{LATIN}]", p) for p in plain):
+            return re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
+        return re.compile(f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}\n]+|{SPACE}+|\n").findall
 
     def encode_unit(self, unit: str) -> list[int]:
-        """Ids of one unit by the agenda of adjacent pairs."""
-        symbols: list[str] = list(unit)
-        n = len(symbols)
-        if n == 1 or unit in ("", SPACE):
-            return self._emit(symbols)
+        """Ids of one unit by the agenda of adjacent pairs, which is a plain list of their
+        ranks for short units and a heap for long ones."""
+        if len(unit) > LONG_UNIT:
+            return self._encode_long(unit)
+        symbols, rank = list(unit), self.ranks.get
+        agenda = [rank(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while agenda and (best := min(agenda)) != NEVER:
+            at = agenda.index(best)  # the leftmost of equals
+            symbols[at] += symbols.pop(at + 1)
+            del agenda[at]
+            if at:
+                agenda[at - 1] = rank(symbols[at - 1] + symbols[at], NEVER)
+            if at < len(agenda):
+                agenda[at] = rank(symbols[at] + symbols[at + 1], NEVER)
+        return self._emit(symbols)
+
+    def _encode_long(self, unit: str) -> list[int]:
+        symbols, rank, n = list(unit), self.ranks.get, len(unit)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = self.ranks.get
         agenda = [(r, i, i + 1, both) for i in range(n - 1) if (r := rank(both := symbols[i] + symbols[i + 1])) is not None]
         heapify(agenda)
         while agenda:
@@ -89,62 +109,57 @@ class MergeCoder:
                     heappush(agenda, (r, left, follower, joined))
             if leader >= 0 and (r := rank(joined := symbols[leader] + both)) is not None:
                 heappush(agenda, (r, leader, left, joined))
-        return self._emit(symbols)
+        return self._emit([s for s in symbols if s])
 
     def _emit(self, symbols: list[str]) -> list[int]:
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                number = self.ids.get(s)
-                out += [self.byte_ids[b] for b in s.encode()] if number is None else [number]
-        return out
+        try:
+            return [self.ids[s] for s in symbols]
+        except KeyError:
+            return [i for s in symbols for i in ([self.ids[s]] if s in self.ids else [self.byte_ids[b] for b in s.encode()])]
 
     def decode(self, ids: list[int], prefix: bool = True) -> str:
         """Text of the ids; ``prefix``: the space that normalising puts first is taken off.
         Control ids stand for nothing, runs of byte pieces for the characters they encode."""
-        parts, raw = [], bytearray()
-        for i in ids:
-            if (b := self.byte_of.get(i)) is not None:
-                raw.append(b)
-                continue
-            if raw:
-                parts.append(raw.decode(errors="replace"))
-                raw.clear()
-            if not self.library.is_control(i):
-                parts.append(self.pieces[i].replace(SPACE, " "))
-        parts.append(raw.decode(errors="replace"))
+        parts = [self.text_of[i] for i in ids]
+        if None in parts:
+            raw = bytearray()
+            for k, (i, part) in enumerate(zip(ids, parts)):
+                if part is None:
+                    raw.append(self.byte_of[i])
+                    parts[k] = ""
+                if raw and (part is not None or k + 1 == len(ids)):
+                    parts[k] = raw.decode(errors="replace") + parts[k]
+                    raw.clear()
         text = "".join(parts)
         return text[1:] if prefix and text.startswith(" ") else text
 
-    def _agrees(self, fresh: dict[str, tuple[bytes, str]]) -> bool:
-        """Whether the library codes the units, strung together, in the same way. Where two
-        of them would not be cut apart, a line end stands between them."""
-        lead = [SPACE, "\n"]
-        ids = {u: self.encode_unit(u) for u in lead}
-        order = [*lead]
-        for u in fresh:
-            order += [u] if u[0] in (SPACE, "\n") and order[-1][-1] != SPACE else ["\n", u]
-        text = "".join(order).replace(SPACE, " ")[1:]
-        if self.library.normalize(text) != "".join(order):
+    def _agrees(self, fresh: dict[str, bytes]) -> bool:
+        """Whether the library codes the units, strung together, in the same way, and every
+        unit decodes to what it says. Where two of them would not be cut apart, a line end
+        stands between them."""
+        known = fresh | {u: array("i", self.encode_unit(u)).tobytes() for u in (SPACE, "\n")}
+        strings = []
+        for n, u in enumerate(fresh):
+            if n % CHECKED_TOGETHER == 0:
+                strings.append([SPACE, "\n"])
+            strings[-1] += [u] if u[0] in (SPACE, "\n") and strings[-1][-1][-1] != SPACE else ["\n", u]
+        texts = ["".join(units).replace(SPACE, " ")[1:] for units in strings]
+        if list(map(self.library.normalize, texts)) != ["".join(units) for units in strings]:
             return False
-        wanted = b"".join(fresh[u][0] if u in fresh else array("i", ids[u]).tobytes() for u in order)
-        coded = self.library.encode(text, num_threads=1)
-        decoded = "".join(fresh[u][1] if u in fresh else self.decode(ids[u], False) for u in order)
-        return array("i", coded).tobytes() == wanted and self.library.decode([*coded, self.end]) == decoded[1:]
-
-    def learn(self, units: list[list[str]]) -> dict[str, tuple[bytes, str]] | None:
-        """Lookup from every unit of a batch to its ids and text, or None if the library
-        codes the new ones otherwise."""
-        wanted = set(chain.from_iterable(units))
-        if len(self.known) > CACHE_UNITS:
-            self.known, self.last = {}, self.known
-        missing = wanted - self.known.keys()
-        again = missing & self.last.keys()
-        self.known.update((u, self.last[u]) for u in again)
+        coded = self.library.encode(texts, num_threads=1)
+        own = [b"".join([known[u] for u in units]) for units in strings]
+        decoded = self.library.decode([[*ids, self.end] for ids in coded])
+        return [array("i", ids).tobytes() for ids in coded] == own and list(map(self.decode, coded)) == texts == decoded
+
+    def learn(self, wanted: set[str]) -> dict[str, bytes] | None:
+        """Lookup from units to their ids, or None if the library codes the new ones
+        otherwise. What is known decodes to the unit itself, with spaces for its marks."""
         fresh = {}
-        for u in missing - again:
-            ids = self.encode_unit(u)
-            fresh[u] = array("i", ids).tobytes(), self.decode(ids, False)
+        for u in wanted:
+            if (ids := self.last.get(u)) is not None:
+                self.known[u] = ids
+            else:
+                fresh[u] = array("i", self.encode_unit(u)).tobytes()
         if not fresh:
             return self.known
         self.checked += len(fresh)
@@ -158,18 +173,16 @@ class MergeCoder:
     def code(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """32-bit ids, with an end id, and the decoded text of each text."""
         end = array("i", [self.end]).tobytes()
-        units = [self.units(self.library.normalize(t)) if t else [] for t in texts]
-        known = self.learn(units)
+        normal = [self.library.normalize(t) if t else "" for t in texts]
+        units = list(map(self.units, normal))
+        if len(self.known) > CACHE_UNITS:
+            self.known, self.last = {}, self.known
+        known = self.learn({u for us in units for u in us if u not in self.known})
         if known is None:
             coded = [self.library.encode(t, add_eos=True, num_threads=1) for t in texts]
             return [array("i", c).tobytes() for c in coded], [self.library.decode(c) for c in coded]
-        ids, decoded = [], []
-        for u in units:
-            pairs = [known[x] for x in u]
-            ids.append(b"".join([p[0] for p in pairs]) + end)
-            text = "".join([p[1] for p in pairs])
-            decoded.append(text[1:] if text.startswith(" ") else text)
-        return ids, decoded
+        ids = [b"".join([known[u] for u in us]) + end for us in units]
+        return ids, [t.replace(SPACE, " ").removeprefix(" ") for t in normal]
 
 
 def encode_documents(docs: DataFrame, model_path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
