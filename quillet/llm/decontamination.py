@@ -50,45 +50,51 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 class Benchmark:
-    """Test items as distinct passages: key, words, size, ids of the items that have them.
+    """Test items as distinct passages, each with those of its windows that no other place
+    of the benchmark has already: what is said again and again is looked for once.
 
-    Items without a word, with a null text or a null id are left out.
+    ``passages``: key, passage (its words), size, window, and parts, an array of (items,
+    starts): the kept windows' starts by the ids of the items that hold the window
+    anywhere. Items without a word, with a null text or a null id are left out.
     """
 
     def __init__(self, items: DataFrame, window: int = WINDOW, id_column: str = "item_id"):
-        self.window = window
         tokenised = items.where(F.col(id_column).isNotNull()).select(
-            F.col(id_column).alias("item_id"), words(F.col("text")).alias("passage")
+            F.col(id_column).cast("string").alias("item_id"), words(F.col("text")).alias("passage")
         )
         grouped = tokenised.where("size(passage) > 0").groupBy("passage").agg(F.collect_set("item_id").alias("items"))
-        self.passages = stored(
-            grouped.select(
-                F.sha2(F.to_json("passage"), 256).alias("key"), "passage", "items",
-                F.size("passage").alias("size"), F.least(F.size("passage"), F.lit(window)).alias("window"),
-            ),
-            "passages",
+        said = grouped.select(
+            F.sha2(F.to_json("passage"), 256).alias("key"), "passage", "items",
+            F.size("passage").alias("size"), F.least(F.size("passage"), F.lit(window)).alias("window"),
         )
-        total = self.passages.agg(F.sum(F.col("size") + F.size("items"))).first()[0] or 0
+        said = stored(said, "passages")
+        every = said.select("key", "passage", "window", "items", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("window"))).alias("start"))
+        every = every.select("key", "start", "items", F.sha2(F.to_json(F.slice("passage", F.col("start") + 1, F.col("window"))), 256).alias("said"))
+        kept = every.groupBy("said").agg(
+            F.min(F.struct("key", "start")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        )
+        parts = kept.groupBy("at.key", "items").agg(F.collect_list("at.start").alias("starts"))
+        parts = parts.groupBy("key").agg(F.collect_list(F.struct("items", "starts")).alias("parts"))
+        self.passages = stored(said.drop("items").join(parts, "key"), "windows")
+        total = self.passages.agg(F.sum(F.col("size") + F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["items"]) + F.size(p["starts"])))).first()[0] or 0
         self.bounded = total <= BROADCAST_WORDS
-        self.terms = self.passages.select("key", "window", "size", F.posexplode("passage").alias("off", "word")).select(
-            "key", "window", "size", "off", F.xxhash64("word").alias("term")
+        starts = self.passages.select("key", "passage", "window", F.explode(F.flatten(F.transform("parts", lambda p: p["starts"]))).alias("start"))
+        self.terms = starts.select("key", "window", "start", F.posexplode(F.slice("passage", F.col("start") + 1, F.col("window"))).alias("i", "word")).select(
+            "key", "window", "start", (F.col("start") + F.col("i")).alias("off"), F.xxhash64("word").alias("term")
         )
 
     def small(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.bounded else df
 
     def anchors(self, frequencies: DataFrame, count: int = ANCHORS) -> DataFrame:
-        """(key, off, term, need): the rarest positions of every window of every passage.
+        """(key, off, term, need): the rarest positions of every kept window.
 
         A window with a term that the corpus lacks can't occur and has none. ``need`` is
         how many anchors of a passage each of its windows holds at least.
         """
         known = self.terms.join(self.small(frequencies), "term", "left")
-        spans = known.withColumn(
-            "start", F.explode(F.sequence(F.greatest(F.col("off") - F.col("window") + 1, F.lit(0)), F.least("off", F.col("size") - F.col("window"))))
-        )
         by_window = Window.partitionBy("key", "start")
-        ranked = spans.withColumn("absent", F.max(F.col("count").isNull()).over(by_window)).where("not absent").withColumn(
+        ranked = known.withColumn("absent", F.max(F.col("count").isNull()).over(by_window)).where("not absent").withColumn(
             "rank", F.row_number().over(by_window.orderBy("count", "off"))
         )
         chosen = ranked.where(F.col("rank") <= count).select("key", "off", "term", "window").distinct()
@@ -108,22 +114,15 @@ def diagonals(postings: DataFrame, benchmark: Benchmark, count: int = ANCHORS) -
     )
 
 
-def _hits(doc_words: Column, d: Column) -> Column:
-    """Document positions (from 1) inside windows that match on the diagonal ``d``."""
-    low = F.greatest(F.lit(0), -d["delta"])
-    length = F.least(d["size"], F.size(doc_words) - d["delta"]) - low
-    same = F.zip_with(
-        F.slice(doc_words, d["delta"] + low + 1, F.greatest(length, F.lit(0))),
-        F.slice(d["passage"], low + 1, F.greatest(length, F.lit(0))),
-        lambda a, b: F.when(a == b, "1").otherwise("0"),
+def _begins(doc_words: Column, spot: Column, starts: Column) -> Column:
+    """Where in the document (from 0) the windows with these starts stand, on the spot's
+    diagonals; each window is compared word by word."""
+    w = spot["window"]
+    on = lambda d: F.transform(
+        F.filter(starts, lambda s: (d + s >= 0) & (d + s + w <= F.size(doc_words)) & (F.slice(doc_words, F.greatest(d + s, F.lit(0)) + 1, w) == F.slice(spot["passage"], s + 1, w))),
+        lambda s: d + s,
     )
-    line = F.array_join(same, "")
-    begins = F.filter(
-        F.sequence(F.lit(1), length - d["window"] + 1),
-        lambda s: F.substr(line, s, d["window"]) == F.repeat(F.lit("1"), d["window"]),
-    )
-    positions = F.flatten(F.transform(begins, lambda s: F.sequence(s, s + d["window"] - 1)))
-    return F.when(length >= d["window"], F.transform(positions, lambda p: p + low + d["delta"]))
+    return F.flatten(F.transform(spot["deltas"], on))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, name: str = "contamination") -> DataFrame:
@@ -134,27 +133,29 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     strings in order, the items with occurring windows; a document is contaminated if
     n_hit > 0 and share * n_hit >= n_words. Null and empty texts have no words. Every
     input row is returned once with all its columns, repeated rows and rows of a
-    repeated or null doc_id included (a null doc_id is never hit). A column of ``docs``
-    that is called ``name`` is replaced. Empty tables give empty results.
+    repeated or null doc_id included: texts are looked up by their doc_id, those without
+    one by a hash of the text, and as every place is compared word by word, keys that
+    happen to be equal change no result. A column of ``docs`` that is called ``name`` is
+    replaced. Empty tables give empty results.
     """
     benchmark = Benchmark(items, window)
     vocabulary = benchmark.small(benchmark.terms.select("term").distinct())
-    postings = build_index(docs, vocabulary)
-    found = diagonals(postings, benchmark).join(
-        benchmark.small(benchmark.passages.select("key", "passage", "items", "size", "window")), "key"
-    )
+    looked_up = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
+    postings = build_index(docs.select(looked_up.alias("doc_id"), "text"), vocabulary)
+    met = diagonals(postings, benchmark).groupBy("doc_id", "key").agg(F.collect_list("delta").alias("deltas"))
+    found = met.join(benchmark.small(benchmark.passages.select("key", "passage", "window", "parts")), "key")
     spots = stored(found.groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.collect_list(F.struct("delta", "passage", "items", "size", "window")).alias("_spots")
+        F.collect_list(F.struct("deltas", "passage", "window", "parts")).alias("_spots")
     ), "spots")
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-    slots = F.broadcast(spots.select(slot("_doc").alias("_slot")).distinct())
+    slot = lambda c: F.pmod(c, F.lit(SLOTS)).cast("int")
+    slots = F.broadcast(spots.select(slot(F.col("_doc")).alias("_slot")).distinct())
     # columns get names of their own, so that none can clash and unused ones can be pruned
     columns = [c for c in docs.columns if c != name]
     carried = docs.select(
         *[F.col(f"`{c}`").alias(f"_column{i}") for i, c in enumerate(columns)],
-        F.col("doc_id").alias("_id"), F.col("text").alias("_text"), slot("doc_id").alias("_slot"),
+        looked_up.alias("_id"), F.col("text").alias("_text"), slot(looked_up).alias("_slot"),
     )
-    clear = carried.join(slots, "_slot", "left_anti").withColumn("_spots", F.lit(None).cast(spots.schema["_spots"].dataType))
+    clear = carried.join(slots, "_slot", "left_anti")
     maybe = carried.join(slots, "_slot", "left_semi").join(
         spots.hint("merge"), F.col("_id") == F.col("_doc"), "left"  # spots grow with the documents and unpack to much more than they are stored in
     ).drop("_doc")
@@ -167,12 +168,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
         result = F.struct(F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.col("_items").alias("items"), bad.alias("contaminated"))
         return counted.select(*plain, result.alias(name))
 
-    tried = maybe.withColumn("_words", words(F.col("_text"))).withColumn("_tried", F.coalesce(F.filter(
-        F.transform("_spots", lambda d: F.struct(_hits(F.col("_words"), d).alias("hits"), d["items"].alias("items"))),
-        lambda t: F.size(F.coalesce(t["hits"], F.array().cast("array<int>"))) > 0,
-    ), F.array().cast("array<struct<hits:array<int>,items:array<string>>>")))
-    hits = F.size(F.array_distinct(F.flatten(F.transform("_tried", lambda t: t["hits"])))).cast("long")
-    hit_items = F.array_sort(F.array_distinct(F.flatten(F.transform("_tried", lambda t: F.transform(t["items"], lambda i: i.cast("string"))))))
+    def places(spot: Column) -> Column:
+        """(at, items) of the spot's parts that occur: the words that are hit, and the ids."""
+        tried = F.transform(spot["parts"], lambda p: F.struct(_begins(F.col("_words"), spot, p["starts"]).alias("at"), p["items"].alias("items")))
+        met = F.filter(tried, lambda t: F.size(t["at"]) > 0)
+        hit = lambda t: F.flatten(F.transform(t["at"], lambda b: F.sequence(b, b + spot["window"] - 1)))
+        return F.transform(met, lambda t: F.struct(hit(t).alias("at"), t["items"].alias("items")))
+
+    nothing = F.array().cast("array<struct<at:array<int>,items:array<string>>>")
+    tried = maybe.withColumn("_words", words(F.col("_text"))).withColumn("_met", F.coalesce(F.flatten(F.transform("_spots", places)), nothing))
+    hits = F.size(F.array_distinct(F.flatten(F.transform("_met", lambda t: t["at"])))).cast("long")
+    hit_items = F.array_sort(F.array_distinct(F.flatten(F.transform("_met", lambda t: t["items"]))))
     return measured(tried, hits, hit_items).unionByName(
         measured(clear.withColumn("_words", words(F.col("_text"))), F.lit(0).cast("long"), no_ids)
     )

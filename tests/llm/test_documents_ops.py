@@ -190,9 +190,34 @@ def test_contamination_matches_brute_force(spark, docs):
     got = dec.contamination(docs, bench).collect()
     assert len(got) == docs.count()
     for r in got:
-        want = brute_contamination(r.text, usable) if r.doc_id is not None else (len(WORD.findall(a_to_z(r.text))), 0, [], False)
         c = r.contamination
-        assert (c.n_words, c.n_hit, c["items"], c.contaminated) == want, r.text[:80]
+        assert (c.n_words, c.n_hit, c["items"], c.contaminated) == brute_contamination(r.text, usable), r.text[:80]
+
+
+def test_contamination_of_repetitive_texts(spark):
+    rng = random.Random(12)
+    two = lambda n: " ".join(rng.choices(["ha", "he"], k=n))
+    items = [(1, "ha " * 40), (2, "ha he " * 15), (3, two(60)), (4, two(60)), (5, "ha " * 13), (6, "tick " * 12), (7, two(30) + " stop " + "ha " * 20)]
+    texts = ["ha " * 12, "ha " * 13, "ha " * 90 + "x " + "he ha " * 20, two(200), "tick " * 50, "stop " + "ha " * 20, items[2][1] + " " + items[3][1], "he " * 30]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, t) for t in texts] + [(3, "another text under one id " + items[3][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = dec.contamination(docs, bench).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        c = r.contamination
+        assert (c.n_words, c.n_hit, c["items"], c.contaminated) == brute_contamination(r.text, items), r.text[:80]
+
+
+def test_contamination_of_many_equal_words_and_items(spark):
+    words, ids = 20_000, 3000
+    same = " ".join(["ha"] * words)
+    passage = "this passage of more than thirteen words stands in thousands of items of the very same benchmark"
+    items = [(0, same), *((i, passage) for i in range(1, ids))]
+    docs = spark.createDataFrame([(1, same), (2, passage), (None, f"before {passage} after"), (4, "ha ha")], "doc_id long, text string")
+    got = {r.doc_id: r.contamination for r in dec.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1]["items"]) == (words, words, ["0"])
+    assert got[2]["items"] == sorted(map(str, range(1, ids))) == got[None]["items"] and got[None].n_hit == 17
+    assert got[4].n_hit == 0
 
 
 def test_contamination_without_broadcast(spark, docs, monkeypatch):
