@@ -84,9 +84,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with passages of the benchmark stay.
 
-    Null and empty texts have no words and stay, as do rows with a null id, which no
-    passage is looked up for; repeated rows are judged each, very long texts whole; further
-    columns may have any name; without documents or benchmark items nothing is dropped.
+    Null and empty texts have no words and stay; rows with a null id and repeated rows are
+    judged each, very long texts whole; further columns may have any name; without documents
+    or benchmark items nothing is dropped.
     """
     name = _free_name(docs, "contamination")
     with scratch(spark):
