@@ -172,6 +172,37 @@ class TriggerState(_State):
 VERIFIED, ACCEPTED, OBSERVED, PROVISIONAL = "VERIFIED", "ACCEPTED", "OBSERVED", "PROVISIONAL"
 
 
+def idle(entry: dict, now: float, ttl_ms: float) -> bool:
+    """Whether an entry has expired: unused for longer than ``ttl_ms`` and not verified."""
+    return entry["trust_level"] != VERIFIED and entry["last_seen_ms"] + ttl_ms < now
+
+
+def worth(entry: dict) -> tuple:
+    """By what entries stay where there is no room: verified ones, then accepted ones, then
+    by when and how often they were seen."""
+    return {VERIFIED: 2, ACCEPTED: 1}.get(entry["trust_level"], 0), entry["last_seen_ms"], entry["occurrence_count"]
+
+
+def new_entry(now: float, entity_type: str = "TERM", source: str = "asr") -> dict:
+    return dict(entity_type=entity_type, aliases=[], first_seen_ms=now, last_seen_ms=now, occurrence_count=0, confidence_sum=0.0, confidence_count=0, trust_level=PROVISIONAL, source=source)
+
+
+def observed(entry: dict, name: str, now: float, aliases=(), confidence: float | None = None, fresh: bool = False, verified: bool = False, promote_after: int = 2, min_confidence: float = 0.8) -> dict:
+    """The entry after one more sight of it. Every sight counts, a confidence only if its
+    observation is new to the entry (``fresh``); verified entries keep their trust."""
+    if not name or not 0 <= (confidence or 0) <= 1:
+        raise ValueError("an observation needs a canonical text and a confidence between 0 and 1, if any")
+    given = [confidence] if fresh and confidence is not None else []
+    e = entry | {
+        "last_seen_ms": now, "occurrence_count": entry["occurrence_count"] + 1, "aliases": sorted(set(entry["aliases"]).union(filter(None, map(str.strip, aliases)))),
+        "confidence_sum": entry["confidence_sum"] + sum(given), "confidence_count": entry["confidence_count"] + len(given),
+    }
+    mean = mean_confidence(e)
+    confirmed = mean is not None and mean >= min_confidence and min(e["occurrence_count"], e["confidence_count"]) >= promote_after
+    levels = {VERIFIED: verified or entry["trust_level"] == VERIFIED, ACCEPTED: confirmed, OBSERVED: e["occurrence_count"] > 1}
+    return e | {"trust_level": next((level for level, reached in levels.items() if reached), entry["trust_level"])}
+
+
 @dataclass
 class MemoryState(_State):
     """Entities that a session has met, with trust that only independent, confident
@@ -185,48 +216,19 @@ class MemoryState(_State):
     entries: dict[str, dict] = field(default_factory=dict)
 
     def _alive(self, now: float) -> dict[str, dict]:
-        idle = lambda e: e["trust_level"] != VERIFIED and e["last_seen_ms"] + self.ttl_ms < now
-        self.entries = {k: e for k, e in self.entries.items() if not idle(e)}
+        self.entries = {k: e for k, e in self.entries.items() if not idle(e, now, self.ttl_ms)}
         return self.entries
 
-    def _trust(self, e: dict) -> str:
-        """Trust that the counts of an entry give; verified ones keep theirs."""
-        mean = mean_confidence(e)
-        confirmed = mean is not None and mean >= self.min_confidence
-        repeated = {ACCEPTED: confirmed and min(e["occurrence_count"], e["confidence_count"]) >= self.promote_after,
-                    OBSERVED: e["occurrence_count"] > 1}
-        earned = [level for level, reached in repeated.items() if reached]
-        return VERIFIED if e["trust_level"] == VERIFIED else (earned or [e["trust_level"]])[0]
-
-    def _shed(self) -> None:
-        """Drop what exceeds the capacity: verified entries last, accepted ones before
-        them, and of equal trust what was seen least lately, then least often."""
-        order = {VERIFIED: 2, ACCEPTED: 1}
-        worth = lambda k: (order.get(self.entries[k]["trust_level"], 0), self.entries[k]["last_seen_ms"], self.entries[k]["occurrence_count"])
-        for k in heapq.nsmallest(len(self.entries) - self.capacity, self.entries, key=worth):
-            del self.entries[k]
-
     def observe(self, canonical: str, now: float, entity_type: str = "TERM", aliases=(), confidence: float | None = None,
                 observation_id: str | None = None, verified: bool = False, source: str = "asr") -> dict:
-        """Count one more sight of an entity. Every call counts as an occurrence, but a
-        confidence only with an observation id that is new to the entry; type and source
-        stay as first seen."""
+        """Count one more sight of an entity; type and source stay as first seen."""
         name = canonical.strip()
-        if not name or not 0 <= (confidence or 0) <= 1:
-            raise ValueError("an observation needs a canonical text and a confidence between 0 and 1, if any")
-        blank = dict(canonical_text=name, entity_type=entity_type, aliases=[], first_seen_ms=now, last_seen_ms=now, occurrence_count=0,
-                     confidence_sum=0.0, confidence_count=0, observation_ids=[], trust_level=PROVISIONAL, source=source)
-        e = self._alive(now).get(name, blank)
-        fresh = [] if observation_id is None or observation_id in e["observation_ids"] else [observation_id]
-        given = [confidence] if fresh and confidence is not None else []
-        e |= {
-            "last_seen_ms": now, "occurrence_count": e["occurrence_count"] + 1, "observation_ids": e["observation_ids"] + fresh,
-            "confidence_sum": e["confidence_sum"] + sum(given), "confidence_count": e["confidence_count"] + len(given),
-            "aliases": sorted(set(e["aliases"]).union(filter(None, map(str.strip, aliases)))),
-        }
-        e["trust_level"] = VERIFIED if verified else self._trust(e)
-        self.entries[name] = e
-        self._shed()
+        entry = self._alive(now).get(name) or {"canonical_text": name, "observation_ids": [], **new_entry(now, entity_type, source)}
+        fresh = observation_id is not None and observation_id not in entry["observation_ids"]
+        e = observed(entry, name, now, aliases, confidence, fresh, verified, self.promote_after, self.min_confidence)
+        self.entries[name] = e | {"observation_ids": entry["observation_ids"] + [observation_id] * fresh}
+        for k in heapq.nsmallest(len(self.entries) - self.capacity, self.entries, key=lambda k: worth(self.entries[k])):
+            del self.entries[k]
         return e
 
     def trusted(self, now: float) -> list[dict]:
