@@ -1,4 +1,5 @@
-"""Segments through masking, refinement and finalising, and the batch refinement flow.
+"""One segment at a time through masking, refinement and finalising, as a session's updates
+come; tables of texts go through ``refinement``.
 
 A refiner is any callable ``refine(masked_text, hints, strict) -> text``; it is made once
 per worker by a factory. Stand-ins for tests and offline runs are below.
@@ -6,14 +7,11 @@ per worker by a factory. Stand-ins for tests and offline runs are below.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
 from quillet.functions.chunking import guard_reasons, join_parts, refinement_windows
-from quillet.operators.masking import Entity, Protection, Protector, audit, hints, restore
+from quillet.operators.masking import Protection, Protector, audit, hints, restore
 from quillet.operators.matching import Match, MatchConfig, Matcher
 
 Refiner = Callable[[str, list[str], bool], str]
@@ -149,47 +147,3 @@ def merge(outcomes: list[Outcome], numbered: bool = True) -> Outcome:
 def refine_text(text: str, refiner: Refiner, protector: Protector, matcher: Matcher | None = None, limit: int = 80, allow_auto: bool = False, trusted=()) -> Outcome:
     """A text of any length, in refinement windows; blank text is accepted as empty."""
     return merge([refine_segment(w, refiner, protector, matcher, allow_auto, trusted) for w in refinement_windows(text, limit)])
-
-
-OUTCOME = (
-    "clean_text string, accepted boolean, reasons array<string>, audit_issues array<string>, hints array<string>, retries int, "
-    "placeholder_retries int, retry_reasons array<string>, masked_outputs array<string>, normalizations array<string>, error string"
-)
-
-
-def refine_batch(rows: DataFrame, entities: list[Entity], make_refiner: Callable[[], Refiner], domain: str = "general", mode: str = "shadow",
-                 allow_auto: bool = True, limit: int | None = None) -> DataFrame:
-    """``rows`` (id, text) refined: id and the fields of an Outcome.
-
-    The refiner, the protector and the matcher are made once per task. With ``limit`` the
-    text is refined in windows of that size, else whole. A null text gives an input error.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        refiner, protector = make_refiner(), Protector(entities)
-        matcher = Matcher(entities, domain, mode=mode) if entities and mode != "off" else None
-        for batch in batches:
-            out = []
-            for i, text in zip(batch["id"], batch["text"]):
-                if text is None or not text.strip():
-                    o = Outcome("", False, error="input_error: missing text")
-                elif limit:
-                    o = refine_text(text, refiner, protector, matcher, limit, allow_auto)
-                else:
-                    o = refine_segment(text, refiner, protector, matcher, allow_auto)
-                out.append({"id": i, **o.__dict__})
-            yield pd.DataFrame(out, columns=["id", *Outcome.__dataclass_fields__])
-
-    kind = dict(rows.dtypes)["id"]
-    return rows.select("id", "text").mapInPandas(run, f"id {kind}, {OUTCOME}")
-
-
-def entities_of(view: DataFrame) -> list[Entity]:
-    """A dictionary view as a list for the workers; more than the matcher's limit raises."""
-    rows = view.limit(MatchConfig.max_entities + 1).collect()
-    if len(rows) > MatchConfig.max_entities:
-        raise ValueError(f"more than {MatchConfig.max_entities} entities")
-    return [
-        Entity(r["entity_id"], r["canonical_text"], r["entity_type"], r["domain"], r["normalization_policy"], r["priority"], tuple(r["aliases"]), r["enabled"], r["source"])
-        for r in rows
-    ]

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillet.functions import replies as rp
-from quillet.operators import evaluation as ev, judging as jd, segments as sg
+from quillet.operators import evaluation as ev, judging as jd, refinement as rf, segments as sg
 from quillet.operators.matching import runs, units
 from quillet.plans.base import sql_strip, table
 from quillet.plans.evaluation_queries import SQL_MATCHED, literal, matched, rubric, sql_expected
 from quillet.plans.session_queries import turns
-from quillet.plans.text_queries import DICTIONARY, store
+from quillet.plans.text_queries import store
 from quillet.operators import entities as en
 from quillet.registry import query
 from quillet.sources import readers
@@ -90,19 +90,11 @@ def e02(spark, sf_dir):
     return store(spark, sf_dir).update(4, priority=99).entities.select("entity_id", "priority")
 
 
-@query("e22_e25_refine_with_dictionary")
-def e22(spark, sf_dir):
-    """Whole texts masked by the dictionary, refined by the identity and restored."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    out = sg.refine_batch(rows, DICTIONARY, lambda: sg.identity, mode="off")
-    return out.select("id", "accepted", F.size("normalizations").alias("normalizations"), F.size("audit_issues").alias("audit_issues"), F.md5("clean_text").alias("clean_md5"))
-
-
 @query("g16_fallback", f"SELECT doc_id AS id, md5({sql_strip('text')}) AS clean_md5, false AS accepted, 'refiner_error' AS reason FROM documents")
 def g16(spark, sf_dir):
     """A refiner that fails leaves each text's deterministic baseline."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.btrim("text", F.lit(" \n\t\r")).alias("text"))
-    out = sg.refine_batch(rows, [], lambda: sg.failing, mode="off")
+    out = rf.refine_batch(rows, None, lambda: sg.failing, mode="off")
     return out.select("id", F.md5("clean_text").alias("clean_md5"), "accepted", F.array_join("reasons", ",").alias("reason"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillet.operators import spans as sp
+from quillet.operators import refinement as rf, segments as sg, spans as sp
 from quillet.operators.masking import Entity
 from quillet.plans.base import SQL_SPACE, sql_strip, table
 from quillet.plans.text_queries import DICTIONARY, dictionary_view
@@ -147,3 +147,12 @@ def e09(spark, sf_dir):
         sp.normalized_aliases(F.col("text"), spans).alias("n"),
     )
     return out.select("doc_id", "hints", "lost", F.md5("n.text").alias("normalized_md5"), F.size("n.changes").alias("changes"))
+
+
+@query("e22_e25_refine_with_dictionary", rf"""WITH RECURSIVE {sql_spans(DICTIONARY)}, cn AS (SELECT doc_id, count(*) AS changed FROM kept WHERE original <> replacement GROUP BY doc_id)
+SELECT doc_id AS id, coalesce({sql_strip("text")}, '') <> '' AS accepted, coalesce(changed, 0)::INT AS normalizations, 0 AS audit_issues, md5(coalesce({sql_strip("base")}, '')) AS clean_md5 FROM masked LEFT JOIN cn USING (doc_id)""")
+def e22(spark, sf_dir):
+    """Whole texts masked by the dictionary, refined by the identity and restored."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    out = rf.refine_batch(rows, dictionary_view(spark, DICTIONARY), lambda: sg.identity, mode="off")
+    return out.select("id", "accepted", F.size("normalizations").alias("normalizations"), F.size("audit_issues").alias("audit_issues"), F.md5("clean_text").alias("clean_md5"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillet.functions import chunking as ck
 from quillet.functions import keywords as kw
 from quillet.functions import text as tx
-from quillet.operators import dedup, entities as en, segments as sg, windows as wn
+from quillet.operators import dedup, entities as en, refinement as rf, segments as sg, windows as wn
 from quillet.operators.fuzzy import fuzzy_matches
 from quillet.operators.masking import Entity, Surfaces
 from quillet.operators.matching import units
@@ -258,7 +258,7 @@ DICTIONARY = [
 def e21(spark, sf_dir):
     """The batch flow with the identity refiner gives every stripped text back."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    out = sg.refine_batch(rows, [], lambda: sg.identity, mode="off")
+    out = rf.refine_batch(rows, None, lambda: sg.identity, mode="off")
     return out.select("id", F.md5("clean_text").alias("clean_md5"), "accepted", "retries")
 
 
@@ -266,7 +266,7 @@ def e21(spark, sf_dir):
 def g17(spark, sf_dir):
     """The segment loop: windows of 80 characters, masked, squeezed, guarded and joined."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    out = sg.refine_batch(rows, DICTIONARY, lambda: sg.squeezing, mode="off", limit=80)
+    out = rf.refine_batch(rows, dictionary_view(spark, DICTIONARY), lambda: sg.squeezing, mode="off", limit=80)
     return out.select("id", F.md5("clean_text").alias("clean_md5"), "accepted", F.size("normalizations").alias("normalizations"))
 
 

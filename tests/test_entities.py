@@ -1,12 +1,17 @@
 """The dictionary, masking, restoring, fuzzy matching and segments."""
 
+import random
+import zlib
+
 import pytest
 
 from quillet.operators import entities as en
 from quillet.operators import masking as mk
+from quillet.operators import refinement as rf
 from quillet.operators import segments as sg
 from quillet.operators.masking import Entity, Protector
 from quillet.operators.matching import MatchConfig, Matcher
+from quillet.plans.text_queries import dictionary_view
 
 
 def protect(text, entities=(), **kw):
@@ -50,7 +55,6 @@ def test_dictionary_wins_over_rules_and_normalises():
     assert [(s.original, s.replacement, s.match_type) for s in p.spans] == [("北航", "北京航空航天大学", "EXACT_ALIAS"), ("ABC", "ABC", "EXACT_ALIAS"), ("abc", "abc", "EXACT_ALIAS")]
     assert mk.hints(p) == ["北京航空航天大学"] and mk.restore(p.masked_text, p)[0].startswith("北京航空航天大学的ABC")
     assert mk.audit("北航的", p) == ["missing_TERM"] and mk.audit(" ", p) == ["empty_refiner_output"]
-    assert mk.normalize_aliases("北航 <KEY>[x]", p) == ("北京航空航天大学", [{"observed": "北航", "canonical": "北京航空航天大学", "entity_type": "ORG"}])
 
 
 def test_session_entries_and_overlap():
@@ -130,11 +134,47 @@ def test_merged_reasons_are_numbered():
     assert not out.accepted and all(r.startswith("segment_") for r in out.reasons) and out.clean_text == text
 
 
+def rows_of(spark, rows, entities, refiner, **how):
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    view = dictionary_view(spark, entities) if entities else None
+    return {r.id: r.asDict() for r in rf.refine_batch(frame, view, lambda: refiner, **how).collect()}
+
+
 def test_batch_refinement(spark):
-    rows = spark.createDataFrame([(1, "a  b"), (2, None), (3, " ")], "id long, text string")
-    got = {r.id: r for r in sg.refine_batch(rows, [Entity(1, "Bee", aliases=("b",))], lambda: sg.squeezing).collect()}
-    assert got[1].clean_text == "a Bee" and got[1].normalizations == ["b->Bee"]
-    assert got[2].error == got[3].error == "input_error: missing text"
+    got = rows_of(spark, [(1, "a  b"), (2, None), (3, " "), (1, "a  b")], [Entity(1, "Bee", aliases=("b",))], sg.squeezing)
+    assert got[1]["clean_text"] == "a Bee" and got[1]["normalizations"] == ["b->Bee"] and len(got) == 3
+    assert got[2]["error"] == got[3]["error"] == "input_error: missing text"
+
+
+def spoiler():
+    """A refiner that breaks some texts, at first only or for good, as their checksum tells."""
+
+    def refine(text, hints, strict):
+        kind = zlib.crc32(text.encode()) % 8
+        if kind == 0:
+            raise RuntimeError("down")
+        broken = {1: text.replace("__ENTITY_000__", ""), 2: text[: len(text) // 3], 3: text + " ".join(hints), 4: text.replace("__", ""), 5: text + "__ENTITY_9"}
+        return text if strict and kind in (1, 4) else broken.get(kind, " ".join(text.split()))
+
+    return refine
+
+
+@pytest.mark.parametrize("mode, limit", [("off", 40), ("auto", 40), ("hint", None)])
+def test_batch_refinement_is_that_of_single_texts(spark, mode, limit):
+    rng = random.Random(limit)
+    entities = [Entity(1, "鬼灵门", aliases=("灵门",)), Entity(2, "Alpha Beta", "PROJECT", aliases=("ab",)), Entity(3, "Straße", "ORG")]
+    bits = ["鬼灵们。", "鬼灵 门", "灵门, ", "alphabeta ", "Alpha  Bet ", "ab ", "2.0。", "x" * 9 + " ", "Strase", "\n", "。", "见 https://a.b/c ", "normal words here. "]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randrange(1, 16)))) for i in range(60)]
+    got = rows_of(spark, rows, entities, spoiler(), mode=mode, limit=limit)
+    matcher = Matcher(entities, mode=mode) if mode != "off" else None
+    protector, seen = Protector(entities), set()
+    for i, text in rows:
+        if not text.strip():
+            continue
+        one = sg.refine_text(text, spoiler(), protector, matcher, limit, True) if limit else sg.refine_segment(text, spoiler(), protector, matcher, True)
+        assert got[i] == {"id": i, **one.__dict__}, text
+        seen |= {r.split(":")[-1 if "segment" in r else 0] for r in one.reasons + one.retry_reasons}
+    assert len(seen) > 4
 
 
 def test_store(spark):
