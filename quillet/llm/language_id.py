@@ -10,7 +10,9 @@ proportion in that set, and the score is that proportion.
 
 Only the features are bounded: ``SAMPLE_DOCS`` labelled documents a language (of the
 smallest hashes) are learnt from, and the ``FEATURES`` n-grams that tell languages apart
-best are kept. Prediction reads every byte of every text.
+best are kept, or fewer where languages are so many that they would pass ``CELLS``
+together. Every label that has been sampled can be predicted. Prediction reads every byte
+of every text.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 from quillet.llm.common import slabs, stored
 
 SAMPLE_DOCS = 400
-MAX_LANGUAGES = 500
 FEATURES = 4096
+#: Languages times n-grams that come to the driver.
+CELLS = 4 << 20
+RARE = 5
+BROADCAST_ROWS = 1_000_000
 PENALTY = 4.0
 ROUNDS = 12
 UNDETERMINED = "und"
@@ -80,31 +85,35 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, features: int = F
     """Fit the model to the columns text, lang and doc_id of ``labelled``.
 
     At most ``sample_docs`` documents a language are used, those of the smallest hash of
-    doc_id and lang, and at most ``MAX_LANGUAGES`` languages may occur. Rows whose text
-    or lang is null are left out. Without any row the model knows no language.
+    doc_id and lang. Rows whose text or lang is null, and labels none of whose sampled
+    texts has an n-gram, are left out. Without any row the model knows no language.
     """
     rank = Window.partitionBy("lang").orderBy("key", "doc_id")
     ids = labelled.where("lang is not null and text is not null and doc_id is not null").select(
         "doc_id", "lang", F.xxhash64("doc_id", "lang").alias("key")
     )
     # a hash range of each language that holds about four times its sample goes to the ranking
-    sizes = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    sizes = stored(ids.groupBy("lang").count(), "labels")
+    labels = sizes.count()
+    small = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("count"))
-    ids = ids.join(F.broadcast(sizes), "lang").where(F.pmod("key", F.lit(1 << 40)) < share * (1 << 40)).drop("count")
+    ids = ids.join(small(sizes, labels), "lang").where(F.pmod("key", F.lit(1 << 40)) < share * (1 << 40)).drop("count")
     chosen = ids.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample_docs)
     chosen = stored(chosen.select("doc_id", "lang").distinct(), "language-sample")
-    # at most sample_docs * MAX_LANGUAGES pairs of a number and a short string
-    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    sample = labelled.select("doc_id", "lang", "text").join(small(chosen, labels * sample_docs), ["doc_id", "lang"])
     counts = sample.select("lang", "text").mapInPandas(_count_grams, "lang string, gram int, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_gram = counts.groupBy("gram").agg(F.sum("n").alias("total")).where("total >= 5")
+    counts = stored(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     # the commonest n-grams bound what comes to the driver; the most telling are picked there
-    top = by_gram.orderBy(F.desc("total"), "gram").limit(8 * features)
+    most = max(1, min(8 * features, CELLS // max(1, labels)))
+    top = counts.groupBy("gram").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gram").limit(most)
     table = counts.join(F.broadcast(top.select("gram")), "gram").toPandas()
-    languages = sorted(table["lang"].unique())
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not languages:
         return LanguageModel([], np.empty(0, np.int32), np.empty((0, 0), np.float32))
-    wide = table.pivot_table(index="lang", columns="gram", values="n", fill_value=0, aggfunc="sum").loc[languages]
+    wide = table.pivot_table(index="lang", columns="gram", values="n", fill_value=0, aggfunc="sum").reindex(languages, fill_value=0)
+    common = wide.sum() >= RARE
+    if common.sum() >= features:  # rare n-grams count only where there are few others
+        wide = wide.loc[:, common]
     c = wide.to_numpy(dtype=float) + 0.5
     p = c / c.sum(axis=1, keepdims=True)
     mean = p.mean(axis=0)

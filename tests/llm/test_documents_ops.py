@@ -347,12 +347,23 @@ def test_mixtures_match_a_scalar_version():
         assert {k: pytest.approx(v, abs=2e-3) for k, v in share.items()} == {k: found[k] for k in range(5) if found[k] > 0}
 
 
-def test_more_languages_than_the_bound(spark, monkeypatch):
+def test_every_sampled_label_is_learnt(spark, monkeypatch):
     from quillet.llm import language_id
 
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
-    docs = spark.createDataFrame([(i, f"{x} {x} {x}" * 4, x) for i, x in enumerate(["aba"] * 3 + ["cdc"] * 2 + ["efe"])], "doc_id long, text string, lang string")
-    assert learn(docs).languages == ["aba", "cdc"]
+    few = spark.createDataFrame([(1, "hi", "en"), (2, "hé", "fr"), (3, "42", "zxx"), (4, "", "no")], "doc_id long, text string, lang string")
+    told = {r.text: r.lang_pred for r in identify(few, learn(few)).collect()}
+    assert told == {"hi": "en", "hé": "fr", "42": "und", "": "und"} and learn(few).languages == ["en", "fr"]
+    # many labels leave fewer n-grams to each, but all of them are learnt
+    many = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 9, f"l{i:03d}") for i in range(600)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "CELLS", 600 * 40)
+    monkeypatch.setattr(language_id, "BROADCAST_ROWS", 0)
+    model = learn(many)
+    assert len(model.languages) == 600 and len(model.features) <= 40
+    assert und_free(identify(many, model))
+
+
+def und_free(told):
+    return told.where("lang_pred = 'und'").count() == 0
 
 
 def test_lm_counts_and_scores(spark, docs):
