@@ -16,16 +16,49 @@ _ASCII_BREAK = re.compile(r"[!-/:-@\[-`{-~\s]+")
 METRICS = "struct<wer_errors:int,wer_units:int,cer_errors:int,cer_units:int,mer_errors:int,mer_units:int>"
 
 
-def fold_text(text: str, simplify: dict[int, str] | None = None) -> str:
-    """NFKC, traditional to simplified by a given map, case folded; punctuation, symbols
-    and separators become single spaces. ASCII texts take a short way."""
+class Simplifier:
+    """Traditional to simplified by the longest phrase of a table that begins at a place;
+    single characters are phrases of one, what no phrase covers stays as it is.
+
+    The phrases are a trie, so a text is read once, with steps back of less than the
+    longest phrase.
+    """
+
+    def __init__(self, table: dict[str, str]):
+        self.root: dict = {}
+        for phrase, simple in table.items():
+            node = self.root
+            for c in phrase:
+                node = node.setdefault(c, {})
+            if phrase:
+                node[None] = simple
+
+    def __call__(self, text: str) -> str:
+        out, at = [], 0
+        while at < len(text):
+            node, end, found = self.root, at + 1, text[at]
+            for place in range(at, len(text)):
+                node = node.get(text[place])
+                if node is None:
+                    break
+                if None in node:
+                    end, found = place + 1, node[None]
+            out.append(found)
+            at = end
+        return "".join(out)
+
+
+def fold_text(text: str, simplify: Simplifier | None = None) -> str:
+    """NFKC, traditional to simplified where a table is given, case folded; punctuation,
+    symbols and separators become single spaces. ASCII texts take a short way."""
     if text.isascii():
         return " ".join(_ASCII_BREAK.sub(" ", text.lower()).split())
-    folded = unicodedata.normalize("NFKC", text).translate(simplify or {}).casefold()
+    wide = unicodedata.normalize("NFKC", text)
+    folded = (simplify(wide) if simplify else wide).casefold()
     return " ".join("".join(" " if unicodedata.category(c)[0] in "PSZ" else c for c in folded).split())
 
 
-def normalize_text(c: Column, simplify: dict[int, str] | None = None) -> Column:
+def normalize_text(c: Column, simplify: Simplifier | None = None) -> Column:
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else fold_text(t, simplify))
@@ -85,7 +118,7 @@ def token_distance(a: Column, b: Column) -> Column:
     return measure(a, b)
 
 
-def text_metrics(reference: Column, hypothesis: Column, simplify: dict[int, str] | None = None) -> Column:
+def text_metrics(reference: Column, hypothesis: Column, simplify: Simplifier | None = None) -> Column:
     """Errors and reference units of words, characters and mixed tokens; null is empty."""
     word, mixed = re.compile(WORD_TOKENS), re.compile(MIXED_TOKENS)
 

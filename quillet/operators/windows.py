@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillet.functions.chunking import chunks_column
 from quillet.functions.text import join_chunks
 from quillet.streaming import steps
 
@@ -45,6 +46,57 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b)))
 
 
+def cached_windows(updates: DataFrame, size: int = 3, limit: int = 80) -> DataFrame:
+    """What a window cache does with the cumulative texts (session, seq, text) of a session:
+    session, seq, committed (chunks before the window), reused (of these, known from the
+    update before), revised (known ones that this text has changed), active (the window's
+    text) and calls (refiner calls so far).
+
+    Each update is compared with the one before by the keys of its chunks, so a session is
+    read once, in order; no update meets all others.
+    """
+    by = Window.partitionBy("session").orderBy("seq")
+    chunked = updates.select("session", "seq", chunks_column(F.coalesce("text", F.lit("")), limit).alias("chunks"))
+    older = F.greatest(F.size("chunks") - size, F.lit(0))
+    keyed = chunked.select(
+        "session", "seq", F.transform(F.slice("chunks", F.lit(1), older), lambda c: F.xxhash64(c)).alias("keys"),
+        join_chunks(F.slice("chunks", older + 1, F.lit(size))).alias("active"),
+    )
+    met = keyed.withColumn("before", F.lag("keys").over(by)).withColumn("other", ~F.col("active").eqNullSafe(F.lag("active").over(by)))
+    met = met.withColumn("committed", F.size("keys")).withColumn(
+        "reused", F.when(F.col("before").isNull(), 0).otherwise(shared_prefix(F.col("before"), F.col("keys")))
+    )
+    fresh = F.col("committed") - F.col("reused") + F.col("other").cast("int")
+    return met.select(
+        "session", "seq", "committed", "reused", (F.coalesce(F.size("before"), F.lit(0)) - F.col("reused")).alias("revised"), "active",
+        F.sum(fresh).over(by).cast("int").alias("calls"),
+    )
+
+
+def utterances(windows: DataFrame, threshold: float = 0.02, min_silence: float = 0.5, min_speech: float = 0.2, preroll: float = 0.7) -> DataFrame:
+    """Utterances (session, first, last) of energy windows (session, pos, rms, seconds).
+
+    Speech of ``min_speech`` seconds opens an utterance and silence of ``min_silence``
+    closes it at its last window; what is open at the end is closed there. It begins with
+    the window that reaches back ``preroll`` seconds from where it was opened: an ordered
+    range over the time that has gone by.
+    """
+    by = Window.partitionBy("session").orderBy("pos")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    ms = lambda c: F.round(c * 1000).cast("long")
+    timed = windows.select("session", "pos", (F.col("rms") > threshold).alias("loud"), ms(F.col("seconds")).alias("ms"))
+    timed = timed.withColumn("at", F.sum("ms").over(so_far)).withColumn("turned", (~F.col("loud").eqNullSafe(F.lag("loud").over(by))).cast("int"))
+    timed = timed.withColumn("run", F.sum("turned").over(so_far))
+    back = Window.partitionBy("session").orderBy("at").rangeBetween(1 - round(preroll * 1000), 0)
+    timed = timed.withColumn("first", F.first("pos").over(back)).withColumn("end", F.last("pos").over(by.rowsBetween(0, Window.unboundedFollowing)))
+    held = F.sum("ms").over(Window.partitionBy("session", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    needed = F.when(F.col("loud"), round(min_speech * 1000)).otherwise(round(min_silence * 1000))
+    # where a run of one kind has lasted long enough
+    turns = timed.withColumn("held", held).where((F.col("held") >= needed) & (F.col("held") - F.col("ms") < needed))
+    turns = turns.withColumn("was", F.coalesce(F.lag("loud").over(by), F.lit(False))).where("loud <> was")
+    return turns.withColumn("last", F.coalesce(F.lead("pos").over(by), F.col("end"))).where("loud").select("session", "first", "last")
+
+
 def ranked_margin(scores: DataFrame) -> DataFrame:
     """Best entity of each span with runner-up score and margin (1.0 when alone).
 

@@ -6,15 +6,18 @@ import json
 import uuid
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillet.functions import replies as rp
-from quillet.operators import evaluation as ev, judging as jd, refinement as rf, segments as sg
+from quillet.functions import text as tx
+from quillet.operators import calls as cl, evaluation as ev, judging as jd, refinement as rf, segments as sg
 from quillet.operators.matching import runs, units
-from quillet.plans.base import sql_strip, table
+from quillet.operators.windows import cached_windows, utterances
+from quillet.plans.base import SQL_SPACE, sql_strip, table
 from quillet.plans.evaluation_queries import SQL_MATCHED, literal, matched, rubric, sql_expected
 from quillet.plans.session_queries import turns
-from quillet.plans.text_queries import store
+from quillet.plans.text_queries import sql_glue, store
 from quillet.operators import entities as en
 from quillet.registry import query
 from quillet.sources import readers
@@ -98,19 +101,51 @@ def g16(spark, sf_dir):
     return out.select("id", F.md5("clean_text").alias("clean_md5"), "accepted", F.array_join("reasons", ",").alias("reason"))
 
 
-@query("g06_window_cache")
+def sql_shared(a: str, b: str) -> str:
+    return f"coalesce(list_max(list_transform(range(1, least(len({a}), len({b})) + 1), lambda n: CASE WHEN {a}[1:n] = {b}[1:n] THEN n ELSE 0 END)), 0)"
+
+
+@query("g06_window_cache", rf"""
+WITH RECURSIVE h AS (SELECT session, seq, {sql_strip('t')} AS t FROM (SELECT conv_id::VARCHAR AS session, turn AS seq, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations)),
+c(session, seq, k, b, chunk) AS (
+  SELECT session, seq, 0, 0, NULL::VARCHAR FROM h
+  UNION ALL
+  SELECT session, seq, k + 1, b + n, substr(w, 1, n) FROM (
+    SELECT session, seq, k, b, w, CASE WHEN sentence <> '' AND length(sentence) <= 80 THEN length(sentence)
+      WHEN length(w) <= 80 THEN length(w) WHEN soft <> '' THEN length(soft) ELSE 80 END AS n
+    FROM (
+      SELECT session, seq, k, b, w, regexp_extract(w, '^[^{tx.SENTENCE_END}]*[{tx.SENTENCE_END}]{SQL_SPACE}*') AS sentence,
+        regexp_extract(substr(w, 1, 80), '^(?s:.*)[{tx.SOFT_BREAK}]{SQL_SPACE}*') AS soft
+      FROM (SELECT c.session, c.seq, k, b, substr(t, b + 1, 81) AS w FROM c JOIN h USING (session, seq) WHERE b < length(t))
+    )
+  )
+), l AS (SELECT session, seq, list(p ORDER BY k) FILTER (p <> '') AS ch FROM (SELECT *, {sql_strip('chunk')} AS p FROM c WHERE k > 0) GROUP BY ALL),
+s AS (SELECT h.session, h.seq, coalesce(ch, []) AS ch FROM h LEFT JOIN l USING (session, seq)),
+o AS (SELECT session, seq, ch[1:greatest(len(ch) - 3, 0)] AS older, ch[greatest(len(ch) - 2, 1)] AS x, CASE WHEN len(ch) > 1 THEN ch[greatest(len(ch) - 1, 2)] END AS y, CASE WHEN len(ch) > 2 THEN ch[len(ch)] END AS z FROM s),
+g AS (SELECT *, {sql_glue('x', 'y')} AS xy FROM o), a AS (SELECT *, {sql_glue('xy', 'z')} AS act FROM g),
+p AS (SELECT *, coalesce(lag(older) OVER w, []) AS po, lag(act) OVER w AS pa FROM a WINDOW w AS (PARTITION BY session ORDER BY seq)),
+r AS (SELECT *, {sql_shared('older', 'po')} AS reused FROM p)
+SELECT session, seq, len(older)::INT AS committed, reused::INT AS reused, (len(po) - reused)::INT AS revised, md5(act) AS active_md5,
+  (sum(len(older) - reused + (act IS DISTINCT FROM pa)::INT) OVER (PARTITION BY session ORDER BY seq))::INT AS calls FROM r
+""")
 def g06(spark, sf_dir):
-    """Cumulative texts of each conversation through the cached window: refiner calls."""
-    t = turns(spark, sf_dir)
-    before = t.select("session", F.col("seq").alias("s"), F.col("text").alias("part"))
-    cumulative = t.join(before, "session").where("s <= seq").groupBy("session", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s", "part"))), lambda x: x["part"]), " ").alias("text"))
+    """Cumulative texts of each conversation through the cached window: what is refined anew."""
+    said = F.collect_list("text").over(Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    updates = turns(spark, sf_dir).select("session", "seq", F.array_join(said, " ").alias("text"))
+    out = cached_windows(updates)
+    return out.select("session", "seq", "committed", "reused", "revised", F.md5("active").alias("active_md5"), "calls")
 
-    def handle(cache, rows):
-        for row in rows:
-            cache.update(row["text"], str)
-            yield {"seq": row["seq"], "calls": cache.calls}
 
-    return ss.replay(cumulative, "session string, seq long, calls int", steps.WindowCache.load, handle)
+@query("g03_utterances", """WITH RECURSIVE o AS (SELECT user_id AS session, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value > 50 AS loud FROM events),
+f AS (SELECT session, 0::BIGINT AS k, 0 AS silence, false AS active, 0::BIGINT AS fk, false AS off FROM (SELECT DISTINCT session FROM o)
+  UNION ALL SELECT f.session, o.k, CASE WHEN loud THEN 0 ELSE f.silence + 1 END, loud OR f.active AND f.silence + 1 < 2, CASE WHEN loud AND NOT f.active THEN greatest(o.k - 2, 1) ELSE f.fk END, f.active AND NOT loud AND f.silence + 1 >= 2
+  FROM f JOIN o ON o.session = f.session AND o.k = f.k + 1),
+e AS (SELECT session, fk, k FROM f WHERE off UNION ALL SELECT session, fk, k FROM f WHERE active QUALIFY row_number() OVER (PARTITION BY session ORDER BY k DESC) = 1 AND k = (SELECT max(k) FROM o WHERE o.session = f.session))
+SELECT e.session, a.pos AS first, b.pos AS last FROM e JOIN o a ON a.session = e.session AND a.k = fk JOIN o b ON b.session = e.session AND b.k = e.k""")
+def g03(spark, sf_dir):
+    """Utterances with what was heard just before them; an event is a quarter of a second."""
+    heard = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("pos"), F.col("value").alias("rms"), F.lit(0.25).alias("seconds"))
+    return utterances(heard, threshold=50.0)
 
 
 @query("g08_g09_memory_limits", "SELECT session, least(3, count(*))::INT AS entries FROM (SELECT DISTINCT user_id::VARCHAR AS session, event_type FROM events) GROUP BY session")
@@ -119,3 +154,20 @@ def g08(spark, sf_dir):
     seen = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("canonical_text"), F.lit(0.0).alias("now_ms"))
     load = lambda raw: steps.MemoryState.load(raw) if raw else steps.MemoryState(capacity=3)
     return ss.replay(seen, ss.MEMORY, load, ss.memory_events).groupBy("session").agg(F.max("entries").alias("entries"))
+
+
+def underlined(text: str) -> str:
+    """Stand-in for an external service."""
+    return text.replace(" ", "_")
+
+
+@query("u08_answered_once", "SELECT doc_id, md5(replace(text, ' ', '_')) AS answer_md5, false AS failed, false AS again FROM documents")
+def u08(spark, sf_dir):
+    """Every distinct text through a service once; a second run finds all answers kept."""
+    path = f"{application_folder(spark)}/answers-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = cl.answered(docs, "text", path, lambda: underlined)
+    known = cl.read_answers(spark, path).select(F.col("key").alias("_known"))
+    key = F.sha2(F.concat(F.lit("\n"), F.col("text")), 256)
+    kept = first.join(known, key == F.col("_known"), "left")
+    return kept.select("doc_id", F.md5("answer").alias("answer_md5"), F.col("error").isNotNull().alias("failed"), (F.col("text").isNotNull() & F.col("_known").isNull()).alias("again"))

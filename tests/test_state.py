@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillet.sources import chunk_source as cs
 from quillet.sources import journal as jn
+from quillet.streaming import health as hl
 from quillet.streaming import memory as mm
 from quillet.streaming import sessions as ss
 from quillet.streaming import steps
@@ -150,3 +151,30 @@ def test_rows_that_can_not_be_sent_mark_the_batch(spark, tmp_path):
     (b,) = jn.journal_batches(spark, path).collect()
     assert (b.rows, b.unsent) == (4, 3)
     assert sorted((r.n, r.sent) for r in jn.read_journal(spark, path, "n long, sent boolean").collect()) == [(0, True), (1, False), (2, False), (3, False)]
+
+
+def test_health_after_a_failure_and_a_restart(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "health")
+    schema = "n long, ts timestamp"
+    add = lambda *numbers: spark.createDataFrame([(n,) for n in numbers], "n long").selectExpr("n", "timestamp_seconds(1000 + n) as ts").coalesce(1).write.mode("append").json(source)
+    add(1, 2, 3)
+    rows = spark.readStream.schema(schema).json(source).withWatermark("ts", "10 seconds")
+    listener = hl.watch(spark, path)
+    try:
+        start = lambda broken: rows.where(F.col("n") > F.when(F.lit(broken), F.raise_error(F.lit("no room"))).otherwise(0)).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).queryName("watched").trigger(availableNow=True).start()
+        with pytest.raises(Exception, match="no room"):
+            start(True).awaitTermination(120)
+        add(50)
+        start(False).awaitTermination(120)
+        runs = []
+        for _ in range(60):
+            time.sleep(0.5)
+            runs = hl.health(spark, path).orderBy("started_at").collect() if (tmp_path / "health").exists() else []
+            if len(runs) == 2 and runs[1].state == "stopped":
+                break
+    finally:
+        spark.streams.removeListener(listener)
+    failed, good = runs
+    assert (failed.state, failed.rows) == ("failed", 0) and "no room" in failed.error
+    assert (good.state, good.rows, good.error, good.name) == ("stopped", 4, None, "watched") and good.query_id == failed.query_id
+    assert good.behind_s > 0 and good.batches >= 1

@@ -1,7 +1,10 @@
 """State classes, batch twins and replayed streams."""
 
+import random
+
 import pytest
 
+from quillet.operators import windows as wn
 from quillet.operators.segments import identity
 from quillet.streaming import sessions as ss
 from quillet.streaming import steps
@@ -43,6 +46,32 @@ def test_window_cache():
     assert w.update(long, refine) == long and max(map(len, calls)) <= 240
 
 
+def test_cached_windows_equal_the_cache(spark):
+    rng, rows, wanted = random.Random(2), [], []
+    for session in "ab":
+        w, text = steps.WindowCache(), ""
+        for seq in range(25):
+            text = rng.choice([text, text + rng.choice(["苹果。", "a b, ", "no end ", "x" * 100, ""]), text[: rng.randrange(len(text) + 1)], "新" + text[1:]])
+            w.update(text, str)
+            rows.append((session, seq, text or None))
+            wanted.append((session, seq, len(w.sources), w.active_source, w.calls))
+    got = wn.cached_windows(spark.createDataFrame(rows, "session string, seq long, text string")).select("session", "seq", "committed", "active", "calls")
+    assert sorted(map(tuple, got.collect())) == wanted
+
+
+def test_utterances_equal_the_voice_state(spark):
+    rng, rows, wanted = random.Random(5), [], []
+    for session in "abcd":
+        v = steps.VoiceState(preroll=0.7)
+        for i in range(80):
+            loud, seconds = rng.random() < 0.5, rng.choice([0.25, 0.125, 0.5])
+            rows.append((session, 3 * i, 1.0 if loud else 0.0, seconds))
+            wanted += [(session, *x) for x in [v.add(3 * i, rows[-1][2], seconds)] if x]
+        wanted += [(session, *x) for x in [v.finish(3 * 79)] if x]
+    got = wn.utterances(spark.createDataFrame(rows, "session string, pos long, rms double, seconds double"))
+    assert sorted(map(tuple, got.collect())) == sorted(wanted) and len(wanted) > 20
+
+
 def test_rotation():
     s = steps.RotationState()
     assert s.add(30, "没有结束") == "没有结束" and s.count == 0

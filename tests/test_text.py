@@ -35,8 +35,16 @@ def test_text_metrics(spark):
     assert got == [(1, 2, 1, 7, 1, 3), (1, 0, 1, 0, 1, 0), (0, 0, 0, 0, 0, 0), (0, 2, 0, 4, 0, 2)]
 
 
+def test_longest_phrases_are_simplified():
+    table = {"乾": "干", "乾隆": "乾隆", "乾淨": "干净", "頭髮": "头发", "髮": "发", "發": "发", "只": "只", "一隻": "一只", "一隻手機": "一部手机", "": "x"}
+    to = mx.Simplifier(table)
+    # a map of characters would write 干隆
+    assert to("乾隆很乾淨，頭髮乾") == "乾隆很干净，头发干" and to("一隻手錶，一隻手機") == "一只手錶，一部手机"
+    assert to("") == "" and to("abc") == "abc" and mx.fold_text("乾隆！", to) == "乾隆"
+
+
 def test_fold_text():
-    assert mx.fold_text("  Ａ-b，C　！ß ") == "a b c ss" and mx.fold_text("龍", {ord("龍"): "龙"}) == "龙"
+    assert mx.fold_text("  Ａ-b，C　！ß ") == "a b c ss" and mx.fold_text("龍", mx.Simplifier({"龍": "龙"})) == "龙"
     assert mx.matching_ratio("abcd", "bcde") == SequenceMatcher(None, "abcd", "bcde", autojunk=False).ratio()
 
 
