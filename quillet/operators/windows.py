@@ -46,6 +46,14 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b)))
 
 
+def chunked_segments(segments: DataFrame, limit: int = 80) -> DataFrame:
+    """Chunks (session, index, text) of the closed voice segments (session, seq, text) of a
+    session: each segment is chunked by itself, indexes go on through the session."""
+    parts = segments.select("session", "seq", F.posexplode(chunks_column(F.col("text"), limit)).alias("k", "text"))
+    index = F.row_number().over(Window.partitionBy("session").orderBy("seq", "k")) - 1
+    return parts.select("session", index.alias("index"), "text")
+
+
 def cached_windows(updates: DataFrame, size: int = 3, limit: int = 80) -> DataFrame:
     """What a window cache does with the cumulative texts (session, seq, text) of a session:
     session, seq, committed (chunks before the window), reused (of these, known from the

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillet.functions import text as tx
+from quillet.operators import windows as wn
 from quillet.operators.segments import identity
-from quillet.plans.base import sql_strip, table
+from quillet.plans.base import SQL_SPACE, sql_strip, table
 from quillet.plans.text_queries import SQL_ORDERED, sql_glue
 from quillet.registry import query
 from quillet.streaming import sessions as ss
@@ -28,10 +30,26 @@ def g05(spark, sf_dir):
     return out.select("session", "seq", F.md5("active").alias("active_md5"), "committed")
 
 
-@query("g04_chunk_session")
+@query("g04_chunk_session", rf"""
+WITH RECURSIVE t AS (SELECT conv_id::VARCHAR AS session, turn AS seq, {sql_strip('text')} AS t FROM conversations WHERE text IS NOT NULL),
+c(session, seq, k, b, chunk) AS (
+  SELECT session, seq, 0, 0, NULL::VARCHAR FROM t
+  UNION ALL
+  SELECT session, seq, k + 1, b + n, substr(w, 1, n) FROM (
+    SELECT session, seq, k, b, w, CASE WHEN sentence <> '' AND length(sentence) <= 80 THEN length(sentence)
+      WHEN length(w) <= 80 THEN length(w) WHEN soft <> '' THEN length(soft) ELSE 80 END AS n
+    FROM (
+      SELECT session, seq, k, b, w, regexp_extract(w, '^[^{tx.SENTENCE_END}]*[{tx.SENTENCE_END}]{SQL_SPACE}*') AS sentence,
+        regexp_extract(substr(w, 1, 80), '^(?s:.*)[{tx.SOFT_BREAK}]{SQL_SPACE}*') AS soft
+      FROM (SELECT c.session, c.seq, k, b, substr(t, b + 1, 81) AS w FROM c JOIN t USING (session, seq) WHERE b < length(t))
+    )
+  )
+), p AS (SELECT session, seq, k, {sql_strip('chunk')} AS text FROM c WHERE k > 0)
+SELECT session, (row_number() OVER (PARTITION BY session ORDER BY seq, k) - 1)::INT AS index, text FROM p WHERE text <> ''
+""")
 def g04(spark, sf_dir):
     """Each turn is a voice segment of its own; chunk indexes go on through the session."""
-    return ss.replay(turns(spark, sf_dir), ss.CHUNKS, steps.ChunkerState.load, ss.chunk_events)
+    return wn.chunked_segments(turns(spark, sf_dir))
 
 
 @query("g11_rotation_session", f"""WITH RECURSIVE {SQL_ORDERED}, f AS (SELECT session, 0::BIGINT AS k, 0.0::DOUBLE AS held, 0 AS n FROM (SELECT DISTINCT session FROM o)

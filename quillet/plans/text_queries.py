@@ -18,56 +18,66 @@ from quillet.plans.base import SQL_SPACE, sql_collapse, sql_strip, table
 from quillet.plans.evaluation_queries import literal, sql_expected
 from quillet.registry import query
 
-KEYWORDS = [
-    # keywords, deduplicated, normalised to the text "use C++ and GPT-4 in 北京大学 v2", passes QC
-    ('["GPT-4", " GPT-4 ", "the", ""]', "GPT-4,the", "GPT-4", False), ('["C++"]', "C++", "C++", True), ('["北京"]', "北京", "北京", True),
-    ('["学大京北"]', "学大京北", "学大京北", True), ('["zq"]', "zq", "zq", False), ('["？"]', "？", "", False), ("[]", "", "", True), (None, "", "", True),
-    ('["的", "v2"]', "的,v2", "v2", False),
-]
-SOURCE = "use C++ and GPT-4 in 北京大学 v2"
+_COMMON = ", ".join(f"'{w}'" for w in kw.COMMON)
+SQL_WORDS = f"w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS raw, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), k AS (SELECT doc_id, i, {sql_strip('raw')} AS k FROM w)"
+SQL_COMMON = f"(k = '' OR k IN ({_COMMON}) OR length(k) <= 1 AND NOT regexp_matches(k, '[一-鿿A-Za-z0-9+#%]'))"
+SQL_TARGET = r"(regexp_matches(k, '[A-Za-z][A-Za-z0-9_+#.\-]|\p{Nd}|[A-Za-z][A-Za-z0-9_+#.\-]*\+\+|>=|<=|!=|==|->|::|\+=|-=|\*=|/=|%d') OR length(k) >= 2 AND regexp_matches(k, '[一-鿿]'))"
 
 
-def _keywords(spark, sf_dir):
-    return literal(spark, sf_dir, [k[0] for k in KEYWORDS]).select("doc_id", F.from_json("x", "array<string>").alias("x"))
+def _words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("words"))
 
 
-@query("d07_dedupe_keywords", sql_expected([k[1] for k in KEYWORDS]))
+@query("d07_dedupe_keywords", f"WITH {SQL_WORDS}, f AS (SELECT doc_id, k, min(i) AS i FROM k WHERE k <> '' GROUP BY ALL), g AS (SELECT doc_id, count(*) AS n, md5(string_agg(k, '|' ORDER BY i)) AS words_md5 FROM f GROUP BY doc_id) SELECT d.doc_id, coalesce(n, 0)::INT AS n, coalesce(words_md5, md5('')) AS words_md5 FROM documents d LEFT JOIN g USING (doc_id)")
 def d07(spark, sf_dir):
-    return _keywords(spark, sf_dir).select("doc_id", F.array_join(kw.dedupe(F.col("x")), ",").alias("result"))
-
-
-@query("x14_normalize_targets", sql_expected([k[2] for k in KEYWORDS]))
-def x14(spark, sf_dir):
-    return _keywords(spark, sf_dir).select("doc_id", F.array_join(kw.normalize_targets(F.col("x"), F.lit(SOURCE), F.lit("")), ",").alias("result"))
+    """The words of each text, stripped, the first of equals."""
+    kept = _words(spark, sf_dir).select("doc_id", kw.dedupe(F.col("words")).alias("k"))
+    return kept.select("doc_id", F.size("k").alias("n"), F.md5(F.array_join("k", "|")).alias("words_md5"))
 
 
-@query("p07_keyword_qc", sql_expected([k[3] for k in KEYWORDS], "BOOLEAN"))
-def p07(spark, sf_dir):
-    return _keywords(spark, sf_dir).select("doc_id", kw.keyword_qc(F.col("x"), F.lit(SOURCE), F.lit("")).alias("result"))
+@query("x12_common_keyword", f"WITH {SQL_WORDS} SELECT d.doc_id, count(*) FILTER ({SQL_COMMON})::INT AS common FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id")
+def x12(spark, sf_dir):
+    """Words of each text that are too common to review."""
+    none = F.array().cast("array<string>")
+    return _words(spark, sf_dir).select("doc_id", F.size(F.filter(F.coalesce("words", none), kw.is_common)).alias("common"))
 
 
-WORDS = [("the", True), ("The", False), ("了", True), ("？", True), ("C", False), (" ", True), ("北", False), ("#", False), ("model", False)]
+@query("x11_target_shapes", f"WITH {SQL_WORDS} SELECT d.doc_id, count(*) FILTER ({SQL_TARGET})::INT AS targets FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id")
+def x11(spark, sf_dir):
+    """Words of each text that look like review targets."""
+    none = F.array().cast("array<string>")
+    return _words(spark, sf_dir).select("doc_id", F.size(F.filter(F.coalesce("words", none), lambda w: kw.looks_like_target(tx.strip(w)))).alias("targets"))
 
 
-@query("x12_common_keyword", sql_expected([r for _, r in WORDS], "BOOLEAN"))
-def x12(spark, sf_dir):
-    return literal(spark, sf_dir, [w for w, _ in WORDS]).select("doc_id", kw.is_common(F.col("x")).alias("result"))
+#: Keywords of a document: its labels and its last word, as they are and spelt backwards.
+SQL_KEYS = f"""r AS (SELECT doc_id, text, unnest([lang, ' ' || source || ' ', reverse(source), lang || '§', regexp_extract(text, '([A-Za-z0-9]+)[^A-Za-z0-9]*$', 1), reverse(regexp_extract(text, '([A-Za-z0-9]+)[^A-Za-z0-9]*$', 1)), source]) AS raw, unnest(range(7)) AS i FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, text, k, min(i) AS i FROM (SELECT *, {sql_strip('raw')} AS k FROM r) WHERE k <> '' GROUP BY ALL),
+e AS (SELECT *, contains(text, k) OR length(k) > 1 AND len(g) > 0 AND len(list_filter(g, lambda x: contains(text, x))) >= greatest(1, len(g) - 1)
+  OR length(k) = 1 AND (contains(text, k || '是') OR contains(text, k || '叫') OR contains(text, k || '为')) AS evident FROM (SELECT *, list_filter(string_split(k, ''), lambda x: regexp_matches(x, '[一-鿿A-Za-z0-9+#%]')) AS g FROM k))"""
 
 
-EVIDENCE = [("GPT-4", True), ("abc", False), ("北大", True), ("大学", True), ("天", False), ("2", True), ("xyzzy", False), ("Cand", True)]
+def _keywords(spark, sf_dir):
+    last = F.regexp_extract("text", "([A-Za-z0-9]+)[^A-Za-z0-9]*$", 1)
+    listed = F.array("lang", F.concat(F.lit(" "), "source", F.lit(" ")), F.reverse("source"), F.concat("lang", F.lit("§")), last, F.reverse(last), F.col("source"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", listed.alias("k"))
 
 
-@query("x13_keyword_evidence", sql_expected([r for _, r in EVIDENCE], "BOOLEAN"))
+@query("x13_keyword_evidence", f"WITH {SQL_KEYS} SELECT doc_id, k AS keyword, evident FROM e")
 def x13(spark, sf_dir):
-    return literal(spark, sf_dir, [w for w, _ in EVIDENCE]).select("doc_id", kw.has_evidence(F.col("x"), F.lit(SOURCE), F.lit("")).alias("result"))
+    """Which of a document's keywords its text gives evidence of."""
+    keys = _keywords(spark, sf_dir).select("doc_id", "text", F.explode(kw.dedupe(F.col("k"))).alias("keyword"))
+    return keys.select("doc_id", "keyword", kw.has_evidence(F.col("keyword"), F.col("text"), F.lit("")).alias("evident"))
 
 
-SHAPES = [("C++", True), ("F#", True), ("v2.1", True), ("50%", True), ("3元", True), ("12:30", True), ("!=", True), ("北京", True), ("京", False), ("？！", False), ("é", False), ("x", False)]
+@query("x14_normalize_targets", f"WITH {SQL_KEYS} SELECT d.doc_id, coalesce(string_agg(k, ',' ORDER BY i) FILTER (NOT {SQL_COMMON} AND (evident OR {SQL_TARGET})), '') AS result FROM documents d LEFT JOIN e USING (doc_id) WHERE d.text IS NOT NULL GROUP BY d.doc_id")
+def x14(spark, sf_dir):
+    return _keywords(spark, sf_dir).select("doc_id", F.array_join(kw.normalize_targets(F.col("k"), F.col("text"), F.lit("")), ",").alias("result"))
 
 
-@query("x11_target_shapes", sql_expected([r for _, r in SHAPES], "BOOLEAN"))
-def x11(spark, sf_dir):
-    return literal(spark, sf_dir, [w for w, _ in SHAPES]).select("doc_id", kw.looks_like_target(F.col("x")).alias("result"))
+@query("p07_keyword_qc", f"WITH {SQL_KEYS} SELECT d.doc_id, coalesce(bool_and(NOT {SQL_COMMON} AND evident), true) AS result FROM documents d LEFT JOIN e USING (doc_id) WHERE d.text IS NOT NULL GROUP BY d.doc_id")
+def p07(spark, sf_dir):
+    """Whether none of a document's keywords is common or without evidence."""
+    return _keywords(spark, sf_dir).select("doc_id", kw.keyword_qc(F.col("k"), F.col("text"), F.lit("")).alias("result"))
 
 
 @query("x15_first_keywords", "SELECT doc_id, CASE WHEN lang = 'en' THEN source WHEN doc_id % 2 = 0 THEN lang || ',' || source ELSE '' END AS result FROM documents")

@@ -129,6 +129,9 @@ def test_chunk_stream_equals_replay(spark, tmp_path):
     batch = ss.replay(spark.createDataFrame(rows, EVENTS), ss.CHUNKS, steps.ChunkerState.load, ss.chunk_events).collect()
     live = run_stream(spark, tmp_path, rows, EVENTS, lambda s: ss.stateful(s, ss.CHUNKS, steps.ChunkerState.load, ss.chunk_events))
     assert sorted(map(tuple, live)) == sorted(map(tuple, batch)) and len(batch) == 6
+    closed = spark.createDataFrame([(s, i, "boundary", t) for s in "ab" for i, t in enumerate([*texts, None, " ", "x" * 200])], EVENTS)
+    whole = ss.replay(closed, ss.CHUNKS, steps.ChunkerState.load, ss.chunk_events).collect()
+    assert sorted(map(tuple, wn.chunked_segments(closed).collect())) == sorted(map(tuple, whole))
 
 
 def test_refinement_stream(spark, tmp_path):

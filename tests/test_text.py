@@ -8,6 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quillet.functions import chunking as ck
+from quillet.functions import keywords as kw
 from quillet.functions import metrics as mx
 from quillet.functions import text as tx
 from quillet.operators import dedup, records as rc, windows as wn
@@ -167,3 +168,25 @@ def test_strip(spark):
     texts = [" \u3000a b\u00a0\x1f\n", "", "\u2028", "x"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
     assert [r[0] for r in rows.select(tx.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
+
+
+KEYWORDS = [
+    # keywords, deduplicated, normalised to the text "use C++ and GPT-4 in 北京大学 v2", passes QC
+    ('["GPT-4", " GPT-4 ", "the", ""]', "GPT-4,the", "GPT-4", False), ('["C++"]', "C++", "C++", True), ('["北京"]', "北京", "北京", True),
+    ('["学大京北"]', "学大京北", "学大京北", True), ('["zq"]', "zq", "zq", False), ('["？"]', "？", "", False), ("[]", "", "", True), (None, "", "", True),
+    ('["的", "v2"]', "的,v2", "v2", False),
+]
+SOURCE = "use C++ and GPT-4 in 北京大学 v2"
+WORDS = [
+EVIDENCE = [("GPT-4", True), ("abc", False), ("北大", True), ("大学", True), ("天", False), ("2", True), ("xyzzy", False), ("Cand", True)]
+SHAPES = [("C++", True), ("F#", True), ("v2.1", True), ("50%", True), ("3元", True), ("12:30", True), ("!=", True), ("北京", True), ("京", False), ("？！", False), ("é", False), ("x", False)]
+
+
+def test_keyword_functions(spark):
+    rows = spark.createDataFrame([(i, k[0]) for i, k in enumerate(KEYWORDS)], "i int, x string").select("i", F.from_json("x", "array<string>").alias("k"))
+    source, none = F.lit(SOURCE), F.lit("")
+    got = rows.orderBy("i").select(F.array_join(kw.dedupe(F.col("k")), ","), F.array_join(kw.normalize_targets(F.col("k"), source, none), ","), kw.keyword_qc(F.col("k"), source, none)).collect()
+    assert [tuple(r) for r in got] == [k[1:] for k in KEYWORDS]
+    for cases, test in ((WORDS, kw.is_common), (EVIDENCE, lambda c: kw.has_evidence(c, source, none)), (SHAPES, kw.looks_like_target)):
+        rows = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(cases)], "i int, k string").orderBy("i")
+        assert [r[0] for r in rows.select(test(F.col("k"))).collect()] == [wanted for _, wanted in cases]
