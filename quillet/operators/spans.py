@@ -204,13 +204,23 @@ SPAN_ROW = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: what is used within a function over an
+    array would be worked out again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _masked(text: Column, spans: Column) -> Column:
     """The text with its spans replaced by their placeholders, in time linear in both."""
+
+    def joined(v):
+        since = lambda i: F.coalesce(F.get(v["ends"], i - 1), F.lit(0))
+        parts = F.transform(spans, lambda s, i: F.concat(_cut(v["chars"], since(i), s["start"]), s["placeholder"]))
+        return F.concat(F.array_join(parts, ""), _cut(v["chars"], F.element_at(v["ends"], -1), F.size(v["chars"])))
+
     chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    ends = F.transform(spans, lambda s: s["end"])
-    parts = F.transform(spans, lambda s, i: F.concat(_cut(chars, F.coalesce(F.get(ends, i - 1), F.lit(0)), s["start"]), s["placeholder"]))
-    last = _cut(chars, F.coalesce(F.element_at(ends, -1), F.lit(0)), F.size(chars))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), last))
+    given = F.struct(chars.alias("chars"), F.transform(spans, lambda s: s["end"]).alias("ends"))
+    return F.when(F.size(spans) == 0, text).otherwise(let(given, joined))
 
 
 def _cut(chars: Column, start: Column, end: Column) -> Column:
@@ -233,40 +243,52 @@ def restored(refined: Column, text: Column, masked: Column, spans: Column) -> Co
     a word. Marks have to be the wanted ones, each once and in order, and a sentence end
     between two of them may not get lost.
     """
-    clean = plain(F.coalesce(refined, F.lit("")))
-    wanted = F.transform(spans, lambda s: s["placeholder"])
-    masks = F.size(spans) > 0
-    bare = masks & F.rlike(clean, F.lit(_BARE))
-    mended = F.when(bare, F.regexp_replace(clean, F.lit(_BARE), F.lit("__ENTITY_$1__"))).otherwise(clean)
-    marks = F.regexp_extract_all(mended, F.lit(_MARK), F.lit(0))
-    gaps = F.split(mended, F.lit(_MARK), -1)
-
-    unknown = F.array_sort(F.array_except(marks, wanted))
-    times = F.transform(wanted, lambda w: F.struct(w.alias("mark"), F.size(F.filter(marks, lambda m: m == w)).alias("n")))
-    wrong = F.transform(F.filter(times, lambda t: t["n"] != 1), lambda t: F.concat(F.lit("placeholder_count:"), t["mark"], F.lit(":"), t["n"].cast("string")))
-    moved = F.filter(marks, lambda m: F.array_contains(wanted, m)) != wanted
-    ended = lambda gap: F.rlike(gap, F.lit(_BOUNDARY))
-    between = lambda parts: F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(wanted) - 1, F.lit(0))), ended)
-    lost = F.exists(F.zip_with(between(F.split(masked, F.lit(_MARK), -1)), between(gaps), lambda a, b: a & ~b), lambda x: x)
-    listed = lambda name: F.array(F.lit(name))
     none = F.array().cast("array<string>")
-    of_marks = F.concat(
-        F.when(F.size(unknown) > 0, F.array(F.concat(F.lit("unknown_placeholders:"), F.array_join(unknown, ",")))).otherwise(none), wrong,
-        F.when((F.size(wrong) == 0) & moved, listed("placeholder_order_changed")).otherwise(none),
-    )
-    reasons = (
-        F.when((clean == "") | F.contains(clean, F.lit("<KEY>")), listed("empty_or_metadata_output"))
-        .when(bare & F.rlike(text, F.lit(_BARE)), listed("ambiguous_literal_placeholder"))
-        .when(F.contains(F.regexp_replace(mended, F.lit(_MARK), F.lit("\0")), F.lit("__ENTITY_")), listed("malformed_placeholder"))
-        .when(~masks, none)
-        # the usual case is settled without counting
-        .when((marks == wanted) & lost, listed("entity_sentence_boundary_lost"))
-        .when(marks == wanted, none)
-        .otherwise(of_marks)
-    )
-    back = F.zip_with(gaps, F.transform(spans, lambda s: s["replacement"]), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
-    whole = F.when(masks, F.array_join(back, "")).otherwise(mended)
-    return F.struct(F.when(F.size(reasons) == 0, whole).otherwise(text).alias("text"), reasons.alias("reasons"))
+    listed = lambda name: F.array(F.lit(name))
+    ended = lambda gap: F.rlike(gap, F.lit(_BOUNDARY))
+    named = lambda **values: F.struct(*[v.alias(k) for k, v in values.items()])
+
+    def of_marks(m):
+        """What is wrong where the marks are not the wanted ones in order."""
+        unknown = F.array_sort(F.array_except(m["marks"], m["wanted"]))
+        times = F.transform(m["wanted"], lambda w: F.struct(w.alias("mark"), F.size(F.filter(m["marks"], lambda x: x == w)).alias("n")))
+        wrong = F.transform(F.filter(times, lambda t: t["n"] != 1), lambda t: F.concat(F.lit("placeholder_count:"), t["mark"], F.lit(":"), t["n"].cast("string")))
+        moved = F.filter(m["marks"], lambda x: F.array_contains(m["wanted"], x)) != m["wanted"]
+        return let(named(unknown=unknown, wrong=wrong), lambda v: F.concat(
+            F.when(F.size(v["unknown"]) > 0, F.array(F.concat(F.lit("unknown_placeholders:"), F.array_join(v["unknown"], ",")))).otherwise(none), v["wrong"],
+            F.when((F.size(v["wrong"]) == 0) & moved, listed("placeholder_order_changed")).otherwise(none),
+        ))
+
+    def judged(m):
+        between = lambda parts: F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(m["wanted"]) - 1, F.lit(0))), ended)
+        lost = F.exists(F.zip_with(between(F.split(masked, F.lit(_MARK), -1)), between(m["gaps"]), lambda a, b: a & ~b), lambda x: x)
+        reasons = (
+            F.when((m["clean"] == "") | F.contains(m["clean"], F.lit("<KEY>")), listed("empty_or_metadata_output"))
+            .when(m["bare"] & F.rlike(text, F.lit(_BARE)), listed("ambiguous_literal_placeholder"))
+            .when(F.contains(F.regexp_replace(m["mended"], F.lit(_MARK), F.lit("\0")), F.lit("__ENTITY_")), listed("malformed_placeholder"))
+            .when(F.size(m["wanted"]) == 0, none)
+            # the usual case is settled without counting
+            .when((m["marks"] == m["wanted"]) & lost, listed("entity_sentence_boundary_lost"))
+            .when(m["marks"] == m["wanted"], none)
+            .otherwise(of_marks(m))
+        )
+        back = F.zip_with(m["gaps"], F.transform(spans, lambda s: s["replacement"]), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
+        whole = F.when(F.size(m["wanted"]) > 0, F.array_join(back, "")).otherwise(m["mended"])
+        return let(reasons, lambda r: F.struct(F.when(F.size(r) == 0, whole).otherwise(text).alias("text"), r.alias("reasons")))
+
+    def cut(m):
+        more = named(marks=F.regexp_extract_all(m["mended"], F.lit(_MARK), F.lit(0)), gaps=F.split(m["mended"], F.lit(_MARK), -1))
+        return let(more, lambda v: let(named(**{k: m[k] for k in ("clean", "wanted", "bare", "mended")}, marks=v["marks"], gaps=v["gaps"]), judged))
+
+    def mended(m):
+        fixed = F.when(m["bare"], F.regexp_replace(m["clean"], F.lit(_BARE), F.lit("__ENTITY_$1__"))).otherwise(m["clean"])
+        return let(named(clean=m["clean"], wanted=m["wanted"], bare=m["bare"], mended=fixed), cut)
+
+    def cleaned(m):
+        bare = (F.size(m["wanted"]) > 0) & F.rlike(m["clean"], F.lit(_BARE))
+        return let(named(clean=m["clean"], wanted=m["wanted"], bare=bare), mended)
+
+    return let(named(clean=plain(F.coalesce(refined, F.lit(""))), wanted=F.transform(spans, lambda s: s["placeholder"])), cleaned)
 
 
 def renamed(spans: Column) -> Column:
@@ -282,7 +304,8 @@ def hints(spans: Column) -> Column:
 def audit(refined: Column, spans: Column) -> Column:
     """Kinds of spans, but the rules', of which a refined text holds neither the original
     nor the replacement."""
-    gone = F.filter(spans, lambda s: (s["source"] != "rule") & ~F.contains(refined, s["original"]) & ~F.contains(refined, s["replacement"]))
+    held = lambda t, s: F.contains(t, s["original"]) | F.contains(t, s["replacement"])
+    gone = let(refined, lambda t: F.filter(spans, lambda s: (s["source"] != "rule") & ~held(t, s)))
     kinds = F.array_distinct(F.transform(gone, lambda s: F.concat(F.lit("missing_"), s["entity_type"])))
     return F.when(stripped(refined) == "", F.array(F.lit("empty_refiner_output"))).otherwise(kinds)
 
