@@ -60,11 +60,13 @@ def g11(spark, sf_dir):
     return out.groupBy("session").agg(F.max("rotations").alias("rotations"))
 
 
+# confidences are summed in billionths: sums of doubles depend on their order where a mean is 0.3 exactly
+SQL_TRUSTED = "count(c) >= 2 AND sum(floor(c * 1e9 + 0.5)::BIGINT) >= 300000000 * count(c)"
 SQL_SEEN = "o AS (SELECT user_id::VARCHAR AS session, event_type AS canonical_text, event_id, CASE WHEN event_id % 3 > 0 THEN least(1.0, value / 100) END AS c FROM events)"
 
 
 @query("g07_session_memory", f"""WITH {SQL_SEEN} SELECT session, canonical_text, count(*)::INT AS occurrence_count, count(c)::INT AS confidence_count,
-  CASE WHEN count(c) >= 2 AND avg(c) >= 0.3 THEN 'ACCEPTED' WHEN count(*) > 1 THEN 'OBSERVED' ELSE 'PROVISIONAL' END AS trust_level FROM o GROUP BY ALL""")
+  CASE WHEN {SQL_TRUSTED} THEN 'ACCEPTED' WHEN count(*) > 1 THEN 'OBSERVED' ELSE 'PROVISIONAL' END AS trust_level FROM o GROUP BY ALL""")
 def g07(spark, sf_dir):
     """Trust in each user's event types after all observations, none of them expired."""
     confidence = F.when(F.col("event_id") % 3 > 0, F.least(F.lit(1.0), F.col("value") / 100))
@@ -78,7 +80,7 @@ def g07(spark, sf_dir):
     return last.select("session", "canonical_text", "l.*")
 
 
-@query("g10_trusted_entities", f"WITH {SQL_SEEN} SELECT session, count(*) AS trusted FROM (SELECT session, canonical_text FROM o GROUP BY ALL HAVING count(c) >= 2 AND avg(c) >= 0.3) GROUP BY session")
+@query("g10_trusted_entities", f"WITH {SQL_SEEN} SELECT session, count(*) AS trusted FROM (SELECT session, canonical_text FROM o GROUP BY ALL HAVING {SQL_TRUSTED}) GROUP BY session")
 def g10(spark, sf_dir):
     return g07(spark, sf_dir).where("trust_level in ('ACCEPTED', 'VERIFIED')").groupBy("session").agg(F.count("*").alias("trusted"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 from dataclasses import asdict, dataclass, field
 
@@ -187,18 +188,24 @@ def new_entry(now: float, entity_type: str = "TERM", source: str = "asr") -> dic
     return dict(entity_type=entity_type, aliases=[], first_seen_ms=now, last_seen_ms=now, occurrence_count=0, confidence_sum=0.0, confidence_count=0, trust_level=PROVISIONAL, source=source)
 
 
+def billionths(x: float) -> int:
+    return math.floor(x * 1e9 + 0.5)
+
+
 def observed(entry: dict, name: str, now: float, aliases=(), confidence: float | None = None, fresh: bool = False, verified: bool = False, promote_after: int = 2, min_confidence: float = 0.8) -> dict:
     """The entry after one more sight of it. Every sight counts, a confidence only if its
-    observation is new to the entry (``fresh``); verified entries keep their trust."""
+    observation is new to the entry (``fresh``); verified entries keep their trust.
+
+    Confidences count in billionths, so that sums are exact (up to four million of them)
+    and a mean that equals ``min_confidence`` reaches it in any order of observations."""
     if not name or not 0 <= (confidence or 0) <= 1:
         raise ValueError("an observation needs a canonical text and a confidence between 0 and 1, if any")
     given = [confidence] if fresh and confidence is not None else []
     e = entry | {
         "last_seen_ms": now, "occurrence_count": entry["occurrence_count"] + 1, "aliases": sorted(set(entry["aliases"]).union(filter(None, map(str.strip, aliases)))),
-        "confidence_sum": entry["confidence_sum"] + sum(given), "confidence_count": entry["confidence_count"] + len(given),
+        "confidence_sum": sum(map(billionths, [entry["confidence_sum"], *given])) / 1e9, "confidence_count": entry["confidence_count"] + len(given),
     }
-    mean = mean_confidence(e)
-    confirmed = mean is not None and mean >= min_confidence and min(e["occurrence_count"], e["confidence_count"]) >= promote_after
+    confirmed = billionths(e["confidence_sum"]) >= billionths(min_confidence) * e["confidence_count"] > 0 and min(e["occurrence_count"], e["confidence_count"]) >= promote_after
     levels = {VERIFIED: verified or entry["trust_level"] == VERIFIED, ACCEPTED: confirmed, OBSERVED: e["occurrence_count"] > 1}
     return e | {"trust_level": next((level for level, reached in levels.items() if reached), entry["trust_level"])}
 
@@ -238,10 +245,6 @@ class MemoryState(_State):
         return list(self._alive(now).values())
 
 
-def mean_confidence(entry: dict) -> float | None:
-    return entry["confidence_sum"] / entry["confidence_count"] if entry["confidence_count"] else None
-
-
 def final_deadline(segments: int) -> int:
     """Seconds that a final refinement may take."""
     return min(300, max(30, 15 + 8 * segments))
