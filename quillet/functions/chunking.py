@@ -1,6 +1,7 @@
 """Splitting running text: stable chunks, refinement windows and the content guard.
 
-Plain Python on one text, wrapped as Arrow functions for columns.
+Plain Python on one text. As columns, windows are one regex pass over the text, chunks an
+Arrow function over slices, and only texts that a refiner changed reach the guard's.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillet.functions.metrics import matching_ratio
-from quillet.functions.text import SENTENCE_END, SOFT_BREAK
+from quillet.functions.text import SENTENCE_END, SOFT_BREAK, strip
 
 _END = re.compile(f"[{re.escape(SENTENCE_END)}]\\s*")
 _SOFT = re.compile(f"[{re.escape(SOFT_BREAK)}]\\s*")
@@ -23,6 +26,8 @@ WINDOW_ENDS = frozenset("。！？!?；;\n")
 WINDOW_SOFT = frozenset("，、：:）)】] ")
 _SENTENCE = re.compile(r"[^。！？!?；;\n]+[。！？!?；;\n]?")
 _LOOP = re.compile(r"(.{8,80}?)(?:\1){2,}")
+#: Texts of so many bytes are turned into Python objects at once.
+SLICE_BYTES = 1_000_000
 
 
 def next_cut(text: str, begin: int, limit: int, flush: bool) -> int | None:
@@ -125,25 +130,50 @@ def guard_reasons(raw: str, refined: str) -> list[str]:
     return out
 
 
+def _one_of(marks) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(marks)) + "]"
+
+
+def _parts(c: Column, pattern: str) -> Column:
+    """The stripped text in pieces as ``pattern`` takes them one after the other."""
+    return F.coalesce(F.regexp_extract_all(strip(c), F.lit(f"(?s){pattern}"), F.lit(0)), F.array().cast("array<string>"))
+
+
 def chunks_column(c: Column, limit: int = 80) -> Column:
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else stable_chunks(t.strip(), limit, flush=True)[0])
+    """``stable_chunks`` of the stripped text, with a flush, as a column.
+
+    A batch is cut in slices of bounded bytes, so what a worker holds as Python objects does
+    not grow with the batch.
+    """
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        turns = (np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES).tolist()
+        begins = [i for i in range(len(turns)) if i == 0 or turns[i] != turns[i - 1]]
+        kind, parts = pa.list_(pa.string()), []
+        for begin, end in zip(begins, [*begins[1:], len(turns)]):
+            part = texts.slice(begin, end - begin).to_pylist()
+            parts.append(pa.array([[] if t is None else stable_chunks(t.strip(), limit, flush=True)[0] for t in part], kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return cut(c)
 
 
 def windows_column(c: Column, limit: int = 80) -> Column:
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else refinement_windows(t, limit))
-
-    return cut(c)
+    """``refinement_windows`` as a column."""
+    if limit < 32:
+        raise ValueError("a refinement window needs at least 32 characters")
+    half = f".{{{limit // 2},{limit - 1}}}"
+    return _parts(c, rf".{{1,{limit}}}+\z|{half}{_one_of(WINDOW_ENDS)}|{half}{_one_of(WINDOW_SOFT)}|.{{{limit}}}")
 
 
 def guard_column(raw: Column, refined: Column) -> Column:
+    """``guard_reasons`` as a column; a text that is not blank and only stripped passes."""
+
     @F.pandas_udf("array<string>")
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([guard_reasons(x or "", y or "") for x, y in zip(a, b)])
 
-    return check(raw, refined)
+    kept = F.coalesce((strip(raw) == strip(refined)) & (strip(raw) != ""), F.lit(False))
+    return F.when(kept, F.array().cast("array<string>")).otherwise(check(F.when(~kept, raw), F.when(~kept, refined)))
