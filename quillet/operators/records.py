@@ -59,9 +59,13 @@ def assemble(rows: DataFrame, fallback: bool = False) -> DataFrame:
     else:
         source, clean = F.col("input"), F.coalesce(blank_to_null(F.col("refined_text")), F.col("clean_text"))
         meta = with_defaults(F.col("meta"), facts)
-    return rows.select(
-        "id", "scene", source.alias("input"), "oral_text", clean.alias("refined_text"), meta.alias("meta"),
-        assembly_fate(source, clean, F.col("scene")).alias("fate"),
+    # a generated row is worked out once; else a filter on the fate would work out both texts
+    # anew for each of its checks
+    texts = F.explode(F.array(F.struct(source.alias("input"), clean.alias("refined_text")))).alias("t")
+    once = rows.select("id", "scene", "oral_text", meta.alias("meta"), texts)
+    return once.select(
+        "id", "scene", "t.input", "oral_text", "t.refined_text", "meta",
+        assembly_fate(F.col("t.input"), F.col("t.refined_text"), F.col("scene")).alias("fate"),
     )
 
 
