@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillet.functions.text import strip as stripped
 from quillet.operators.masking import PLACEHOLDER, RULES
 from quillet.operators.windows import greedy_spans
 from quillet.sources.store import shared_table
@@ -19,23 +20,30 @@ BLOCK = 512
 GRAM = 4
 #: Dictionary rows up to which they are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_SURFACES = 200_000
+#: First grams of surfaces up to which one pattern finds their places; beyond, all places are
+#: met with the dictionary.
+LISTED_GRAMS = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZK", "abcdefghijklmnopqrstuvwxyzk"
 FIELDS = ["start", "end", "original", "replacement", "entity_type", "source", "priority", "entity_id", "match_type", "match_score", "decision"]
 #: What a text has to hold for a rule to match at all.
 NEEDED = {"URL": "://", "EMAIL": "@"}
 _MARK = PLACEHOLDER.pattern
-_BARE = r"(?<![A-Za-z0-9_])ENTITY_(\d{3})(?![A-Za-z0-9_])"
+_BARE = r"E(?<![A-Za-z0-9_]E)NTITY_(\d{3})(?![A-Za-z0-9_])"
 _SPACE = r"[\s\x1c-\x1f]"
 _BOUNDARY = r"[。！？!?；;\n]"
 
 
-def _unicode(pattern: str) -> str:
+def _unicode(kind: str, pattern: str) -> str:
     """A rule's pattern with digits, spaces and word ends of all scripts."""
-    return "(?U)" + pattern.replace(r"[^\s", r"[^\s\x1c-\x1f")
+    return "(?U)" + _FIRST.get(kind, "") + pattern.replace(r"[^\s", r"[^\s\x1c-\x1f")
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+#: Where a token begins in which some rule may match: a digit, "@", "://", two capitals, or a joint before a
+#: letter or digit. No rule reaches over white space. Each part is possessive: linear time.
+#: The second condition keeps the halves of a character beyond the first plane together.
+_TOKEN = r"(?U)(?<!\S)(?![\x{dc00}-\x{dfff}])(?=(?:[^\s\d@:A-Z_.\-]++|(?!\d|@|://|[A-Z][A-Z0-9]|[-_.][A-Za-z0-9])\S)*+\S)"
+#: What each rule can begin with; most places of a text are passed by it.
+_FIRST = {"DATE": r"(?=\d)", "TIME": r"(?=\d)", "NUMBER": r"(?=[+\-\d])", "IDENTIFIER": "(?=[A-Za-z])", "ACRONYM": "(?=[A-Z][A-Z0-9])"}
 
 
 # --- rule spans --------------------------------------------------------------------------
@@ -45,21 +53,28 @@ def rule_spans(texts: DataFrame) -> DataFrame:
     """(id, start, end, original, entity_type, priority) of all rule matches in ``texts``
     (id, text), overlapping ones of different rules included.
 
-    What is shuffled is one narrow row per match: its text, and the length of the gap
-    before it. Null and empty texts have none; repeated rows have theirs each.
+    One pass finds the tokens in which a rule may match, and the rules run on these. What
+    is shuffled is one row per token, and the rest of the work follows its text's tokens.
+    Null and empty texts have none; repeated rows have theirs each.
     """
     rules = []
     for kind, pattern, priority in RULES:
-        p = F.lit(_unicode(pattern))
-        gaps = F.transform(F.split("text", p, -1), F.length)
-        some = F.struct(F.lit(kind).alias("entity_type"), F.lit(priority).alias("priority"), F.arrays_zip(F.regexp_extract_all("text", p, F.lit(0)).alias("original"), gaps.alias("gap")).alias("found"))
-        rules.append(F.when(F.contains("text", F.lit(NEEDED[kind])), some) if kind in NEEDED else some)
-    numbered = texts.where("text <> ''").select("id", F.monotonically_increasing_id().alias("row"), F.explode(F.array(*rules)).alias("r"))
-    matches = numbered.select("id", "row", "r.entity_type", "r.priority", F.posexplode("r.found").alias("k", "f")).select("*", "f.original", "f.gap").where("original is not null")
-    before = Window.partitionBy("row", "entity_type").orderBy("k")
+        p = F.lit(_unicode(kind, pattern))
+        gaps = F.transform(F.split("token", p, -1), F.length)
+        some = F.struct(F.lit(kind).alias("entity_type"), F.lit(priority).alias("priority"), F.arrays_zip(F.regexp_extract_all("token", p, F.lit(0)).alias("original"), gaps.alias("gap")).alias("found"))
+        rules.append(F.when(F.contains("token", F.lit(NEEDED[kind])), some) if kind in NEEDED else some)
+    # the text is cut where such a token begins; what precedes the first one may be one too
+    numbered = texts.where("text <> ''").select("id", "text", F.monotonically_increasing_id().alias("row"))
+    cut = numbered.select("id", "row", F.posexplode(F.split("text", F.lit(_TOKEN), -1)).alias("nth", "piece"))
+    pieces = cut.select("id", "row", "nth", F.length("piece").alias("size"), F.regexp_extract("piece", r"(?U)^\S*", 0).alias("token"))
+    base = F.sum("size").over(Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    tokens = pieces.withColumn("base", F.coalesce(base, F.lit(0))).where("token <> ''")
+    ruled = tokens.select("id", "row", "nth", "base", F.explode(F.array(*rules)).alias("r"))
+    matches = ruled.select("id", "row", "nth", "base", "r.entity_type", "r.priority", F.posexplode("r.found").alias("k", "f")).select("*", "f.original", "f.gap").where("original is not null")
+    before = Window.partitionBy("row", "nth", "entity_type").orderBy("k")
     gaps = F.sum("gap").over(before.rowsBetween(Window.unboundedPreceding, 0))
     found = F.coalesce(F.sum(F.length("original")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = matches.withColumn("start", (gaps + found).cast("int"))
+    placed = matches.withColumn("start", (F.col("base") + gaps + found).cast("int"))
     return placed.select("id", "start", (F.col("start") + F.length("original")).alias("end"), "original", "entity_type", "priority")
 
 
@@ -70,6 +85,23 @@ def _any_case(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def _any_of(grams: list[str]) -> str:
+    """A pattern for any of the grams in any case, parted by their first characters."""
+    ways = {low: low + up for up, low in zip(UPPER[:26], LOWER)} | {"k": "k" + UPPER[10] + UPPER[26]}
+    code = lambda c: "".join(f"\\x{{{ord(x):x}}}" for x in ways.get(c, c))
+    coded = lambda x: "".join(f"[{code(c)}]" for c in x)
+    grams = sorted({_lowered(g) for g in grams})
+    firsts = dict.fromkeys(g[0] for g in grams)
+    if not firsts:
+        return "(?!)"
+    of = lambda c: "|".join(coded(g[1:]) for g in grams if g[0] == c)
+    return f"(?=[{''.join(map(code, firsts))}])(?:" + "|".join(f"{coded(c)}(?:{of(c)})" for c in firsts) + ")"
+
+
+def _lowered(gram: str) -> str:
+    return gram.translate(str.maketrans(UPPER, LOWER))
+
+
 def surface_spans(texts: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Non-overlapping occurrences of each surface: the columns of ``surfaces`` but
     ``surface``, with start, end, original.
@@ -84,7 +116,9 @@ def surface_spans(texts: DataFrame, surfaces: DataFrame) -> DataFrame:
     keyed = surfaces.where("surface <> ''").select(*own, ascii_only.alias("folds"), F.when(ascii_only, _any_case(F.col("surface"))).otherwise(F.col("surface")).alias("key"))
     keyed = keyed.withColumn("gram", F.left("key", F.lit(GRAM)))
     keyed = shared_table(keyed, "surfaces")
-    count, longest, lengths = keyed.agg(F.count("*"), F.max(F.length("key")), F.collect_set(F.length("gram"))).first()
+    count, longest, lengths, cased = keyed.agg(F.count("*"), F.max(F.length("key")), F.collect_set(F.length("gram")), F.collect_set("folds")).first()
+    if not count:
+        texts = texts.where(F.lit(False))
     longest = longest or 0
     width = max(BLOCK, longest)
 
@@ -92,15 +126,29 @@ def surface_spans(texts: DataFrame, surfaces: DataFrame) -> DataFrame:
     listed = texts.where("text <> ''").select("id", pieces.alias("p"))
     following = F.concat(F.slice("p", F.lit(2), F.size("p")), F.array(F.lit("")))
     blocks = listed.select("id", F.posexplode(F.zip_with("p", following, lambda p, q: F.struct(F.length(p).alias("size"), F.concat(p, F.left(q, F.lit(longest))).alias("block")))).alias("k", "b"))
-    blocks = blocks.select("id", (F.col("k") * width).alias("at"), "b.size", "b.block", F.explode(F.array(F.lit(False), F.lit(True))).alias("folds"))
-    blocks = blocks.withColumn("seen", F.when(F.col("folds"), _any_case(F.col("block"))).otherwise(F.col("block")))
-    grams = [F.regexp_extract_all("seen", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)) for n in sorted(lengths or [1])]
-    placed = blocks.select("*", F.explode(F.array(*grams)).alias("g")).select("*", F.posexplode("g").alias("i", "gram")).drop("g").where("i < size")
+    blocks = blocks.select("id", (F.col("k") * width).alias("at"), "b.size", "b.block")
+    cases, lengths = F.array(*map(F.lit, sorted(cased or [False]))), sorted(lengths or [1])
+    seen = lambda c: F.when(F.col("folds"), _any_case(F.col(c))).otherwise(F.col(c))
+    begins = [r["gram"] for r in keyed.select("gram").distinct().limit(LISTED_GRAMS + 1).collect()]
+    if len(begins) <= LISTED_GRAMS:
+        # blocks are cut where a gram begins, so the lengths of the pieces sum up to the places
+        some = _any_of(begins)
+        sized = blocks.withColumn("sizes", F.transform(F.split("block", F.lit(f"(?={some})"), -1), F.length))
+        sized = sized.where((F.size("sizes") > 1) | F.rlike(F.left("block", F.lit(GRAM)), F.lit(f"^{some}")))
+        places = F.aggregate("sizes", F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+        near = sized.select("*", F.explode(places).alias("i")).where("i < size")
+        near = near.select("id", "at", "i", F.substring("block", F.col("i") + 1, F.lit(longest)).alias("stretch"), F.explode(cases).alias("folds")).withColumn("seen", seen("stretch"))
+        placed = near.select("*", F.explode(F.array_distinct(F.array(*[F.left("seen", F.lit(n)) for n in lengths]))).alias("gram"))
+    else:
+        blocks = blocks.select("*", F.explode(cases).alias("folds")).withColumn("seen", seen("block"))
+        grams = [F.regexp_extract_all("seen", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)) for n in lengths]
+        placed = blocks.select("*", F.explode(F.array(*grams)).alias("g")).select("*", F.posexplode("g").alias("i", "gram")).drop("g").where("i < size")
+        placed = placed.select("id", "at", "i", "folds", "gram", *[F.substring(c, F.col("i") + 1, F.lit(longest)).alias(name) for c, name in (("block", "stretch"), ("seen", "seen"))])
     on = ["folds", "gram", *(["id"] if "id" in own else [])]
     met = placed.join(F.broadcast(keyed) if count <= BROADCAST_SURFACES else keyed, on)
-    hits = met.where(F.substring("seen", F.col("i") + 1, F.length("key")) == F.col("key")).select(
+    hits = met.where(F.startswith("seen", "key")).select(
         *[met[c] for c in {"id": 0, **dict.fromkeys(own)}], "key", (F.col("at") + F.col("i")).alias("start"), (F.col("at") + F.col("i") + F.length("key")).alias("end"),
-        F.substring("block", F.col("i") + 1, F.length("key")).alias("original"),
+        F.left("stretch", F.length("key")).alias("original"),
     )
     # only a surface that begins as it ends can overlap itself
     bordered = F.exists(F.sequence(F.lit(1), F.length("key") - 1), lambda n: F.left("key", n) == F.right("key", n))
@@ -162,7 +210,11 @@ def protect(texts: DataFrame, dictionary: DataFrame | None = None, trusted: Data
     An id stands for one text: rows that repeat both count once. A null text has no
     spans and stays null.
     """
-    texts = texts.select("id", "text").distinct()
+    return protect_unique(shared_table(texts.select("id", "text").distinct(), "texts"), dictionary, trusted, fuzzy)
+
+
+def protect_unique(texts: DataFrame, dictionary: DataFrame | None = None, trusted: DataFrame | None = None, fuzzy: DataFrame | None = None) -> DataFrame:
+    """``protect`` of stored ``texts`` (id, text) that hold each id once."""
     nothing = lambda kind: F.lit(None).cast(kind)
     rules = rule_spans(texts)
     ruled = rules.select(
@@ -215,16 +267,19 @@ def _masked(text: Column, spans: Column) -> Column:
 
     def joined(v):
         since = lambda i: F.coalesce(F.get(v["ends"], i - 1), F.lit(0))
-        parts = F.transform(spans, lambda s, i: F.concat(_cut(v["chars"], since(i), s["start"]), s["placeholder"]))
-        return F.concat(F.array_join(parts, ""), _cut(v["chars"], F.element_at(v["ends"], -1), F.size(v["chars"])))
+        parts = F.transform(spans, lambda s, i: F.concat(_cut(v["blocks"], since(i), s["start"]), s["placeholder"]))
+        return F.concat(F.array_join(parts, ""), _cut(v["blocks"], F.element_at(v["ends"], -1), F.size(v["blocks"]) * BLOCK))
 
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    given = F.struct(chars.alias("chars"), F.transform(spans, lambda s: s["end"]).alias("ends"))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+    given = F.struct(blocks.alias("blocks"), F.transform(spans, lambda s: s["end"]).alias("ends"))
     return F.when(F.size(spans) == 0, text).otherwise(let(given, joined))
 
 
-def _cut(chars: Column, start: Column, end: Column) -> Column:
-    return F.array_join(F.slice(chars, start + 1, F.greatest(end - start, F.lit(0))), "")
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Part of a text that is given in blocks; only the blocks it lies in are looked at."""
+    first = F.floor(start / BLOCK).cast("int")
+    held = F.array_join(F.slice(blocks, first + 1, F.greatest(F.ceil(end / BLOCK).cast("int") - first, F.lit(0))), "")
+    return F.substring(held, start - first * BLOCK + 1, F.greatest(end - start, F.lit(0)))
 
 
 # --- restore, audit, hints ---------------------------------------------------------------
@@ -232,7 +287,7 @@ def _cut(chars: Column, start: Column, end: Column) -> Column:
 
 def plain(refined: Column) -> Column:
     """What a refiner returned, without a key list at its end and without outer spaces."""
-    return stripped(F.regexp_replace(refined, rf"(?U){_SPACE}*<KEY>\[[^\]]*\]{_SPACE}*$", ""))
+    return stripped(F.when(F.contains(refined, F.lit("<KEY>[")), F.regexp_replace(refined, rf"(?U){_SPACE}*<KEY>\[[^\]]*\]{_SPACE}*$", "")).otherwise(refined))
 
 
 def restored(refined: Column, text: Column, masked: Column, spans: Column) -> Column:
@@ -265,7 +320,7 @@ def restored(refined: Column, text: Column, masked: Column, spans: Column) -> Co
         reasons = (
             F.when((m["clean"] == "") | F.contains(m["clean"], F.lit("<KEY>")), listed("empty_or_metadata_output"))
             .when(m["bare"] & F.rlike(text, F.lit(_BARE)), listed("ambiguous_literal_placeholder"))
-            .when(F.contains(F.regexp_replace(m["mended"], F.lit(_MARK), F.lit("\0")), F.lit("__ENTITY_")), listed("malformed_placeholder"))
+            .when(F.exists(m["gaps"], lambda g: F.contains(g, F.lit("__ENTITY_"))), listed("malformed_placeholder"))
             .when(F.size(m["wanted"]) == 0, none)
             # the usual case is settled without counting
             .when((m["marks"] == m["wanted"]) & lost, listed("entity_sentence_boundary_lost"))
