@@ -59,15 +59,15 @@ def introduced(restored: Column, baseline: Column, hints: Column, matches: Colum
 
 
 def prepared(segments: DataFrame, dictionary: DataFrame | None, domain: str, mode: str, allow_auto: bool, sounds: DataFrame | None, config: MatchConfig) -> DataFrame:
-    """Stored ``segments`` (id, text) with masked_text, spans, baseline (the text with all
+    """Stored ``segments`` (id, text; each id once) with masked_text, spans, baseline (the text with all
     replacements), hints and matches (canonical, observed)."""
-    exact = sp.protect(segments, dictionary)
+    exact = sp.protect_unique(segments, dictionary)
     ready, found = exact, None
     if dictionary is not None and mode != "off":
         exact = shared_table(exact, "exact")
         blocked = exact.select("id", F.inline("spans")).select("id", "start", "end")
         found = shared_table(fuzzy_matches(segments, dictionary, domain, config, mode, allow_auto, blocked, sounds), "matches")
-        ready = sp.protect(segments, dictionary, fuzzy=found) if mode == "auto" and allow_auto else exact
+        ready = sp.protect_unique(segments, dictionary, fuzzy=found) if mode == "auto" and allow_auto else exact
     kind = "array<struct<start:int,canonical:string,observed:string,decision:string>>"
     if found is None:
         ready = ready.withColumn("matches", F.array().cast(kind))
@@ -82,9 +82,9 @@ def prepared(segments: DataFrame, dictionary: DataFrame | None, domain: str, mod
     ), "prepared")
 
 
-def called(rows: DataFrame, make_refiner: Callable[[], Refiner], strict: bool) -> DataFrame:
-    """``rows`` (id, masked_text, hints) to (id, output, error): one call each. The refiner
-    is made once per task; where it fails, the output is null."""
+def called(ready: DataFrame, make_refiner: Callable[[], Refiner], strict: bool) -> DataFrame:
+    """``ready`` with output and error: one call for each masked text with its hints. The
+    refiner is made once per task; where it fails, the output is null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         refine = make_refiner()
@@ -95,16 +95,18 @@ def called(rows: DataFrame, make_refiner: Callable[[], Refiner], strict: bool) -
                     out.append((refine(masked, list(hints), strict), None))
                 except Exception as error:  # an external model may fail in any way
                     out.append((None, f"refiner_error: {error}"))
-            yield pd.DataFrame({"key": batch["key"], "output": [o for o, _ in out], "error": [e for _, e in out]})
+            yield pd.DataFrame({"output": [o for o, _ in out], "error": [e for _, e in out]}, dtype=object)
 
-    return rows.select("key", "masked_text", "hints").mapInPandas(run, "key long, output string, error string")
+    # an outer model: Spark may not work it out twice
+    call = F.pandas_udf(run, "output string, error string").asNondeterministic()
+    return ready.withColumn("o", call(F.struct("masked_text", "hints"))).select("*", "o.output", "o.error").drop("o")
 
 
-def checked(ready: DataFrame, outputs: DataFrame) -> DataFrame:
-    """``ready`` with output, error, clean_text and reasons: the restored output, or the
-    baseline and why."""
-    spans, baseline = F.col("spans"), F.col("baseline")
-    met = ready.join(outputs, "key").withColumn("r", sp.restored(F.col("output"), F.col("text"), F.col("masked_text"), spans))
+def checked(met: DataFrame) -> DataFrame:
+    """``met`` (prepared segments with output and error) with clean_text and reasons: the
+    restored output, or the baseline and why."""
+    baseline = F.col("baseline")
+    met = met.withColumn("r", sp.restored(F.col("output"), F.col("text"), F.col("masked_text"), F.col("spans")))
     guard = guard_column(baseline, F.col("r.text"))
     wrong = F.concat(introduced(F.col("r.text"), baseline, F.col("hints"), F.col("matches")), guard)
     reasons = F.when(F.col("error").isNotNull(), F.array(F.lit("refiner_error"))).when(F.size("r.reasons") > 0, F.col("r.reasons")).otherwise(wrong)
@@ -125,20 +127,18 @@ def refine_batch(rows: DataFrame, dictionary: DataFrame | None, make_refiner: Ca
     blank = F.coalesce(sp.stripped(F.col("text")) == "", F.lit(True))
     cut = windows_column(F.col("text"), limit) if limit else F.array("text")
     parts = rows.where(~blank).select("id", F.posexplode(cut).alias("seg", "text"))
-    keyed = shared_table(parts.withColumn("key", F.xxhash64("id", "seg")), "segments")
-    ready = prepared(keyed.select(F.struct("id", "seg").alias("id"), "text"), dictionary, domain, mode, allow_auto, sounds, config)
-    ready = ready.withColumn("key", F.xxhash64("id.id", "id.seg"))
+    segments = shared_table(parts.select(F.struct("id", "seg").alias("id"), "text"), "segments")
+    ready = prepared(segments, dictionary, domain, mode, allow_auto, sounds, config)
 
-    first = checked(ready, called(ready, make_refiner, strict=False))
+    first = checked(called(ready, make_refiner, strict=False))
     again = retryable(F.col("reasons")) & F.col("error").isNull()
-    retried = ready.join(first.where(again).select("key"), "key", "left_semi")
-    second = checked(retried, called(retried, make_refiner, strict=True))
-    before = first.where(again).select("key", F.col("output").alias("o1"), F.col("reasons").alias("r1"))
+    retried = first.where(again).select(*ready.columns, F.col("output").alias("o1"), F.col("reasons").alias("r1"))
+    second = checked(called(retried, make_refiner, strict=True))
     names = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(_no_names())
     once = first.where(~again).select("*", F.lit(0).alias("retries"), F.lit(0).alias("placeholder_retries"), _no_names().alias("retry_reasons"), names("output").alias("masked_outputs"))
-    twice = second.join(before, "key").select(
-        second["*"], F.lit(1).alias("retries"), marks_failed(F.col("r1")).cast("int").alias("placeholder_retries"), F.col("r1").alias("retry_reasons"), F.concat(F.array("o1"), names("output")).alias("masked_outputs"),
-    )
+    twice = second.select(
+        "*", F.lit(1).alias("retries"), marks_failed(F.col("r1")).cast("int").alias("placeholder_retries"), F.col("r1").alias("retry_reasons"), F.concat(F.array("o1"), names("output")).alias("masked_outputs"),
+    ).drop("o1", "r1")
     changed = F.filter("spans", lambda s: s["original"] != s["replacement"])
     done = once.unionByName(twice).select(
         F.col("id.id").alias("id"), F.struct(
