@@ -46,7 +46,7 @@ SAMPLE_DOCS = 1024
 STEPS = 800
 WINDOW = 32
 STREAMS = 64
-POOL_TOKENS = 1 << 21
+POOL_TOKENS = 1 << 22
 #: The pass over all documents: tokens laid out at a time, most streams, learning rate,
 #: and rows of weights held by a task that sums them.
 PASS_TOKENS = 1 << 20
@@ -55,6 +55,13 @@ PASS_RATE = 0.003
 SUM_ROWS = 16
 SUM_TASKS = 8
 SMOOTH = 0.1
+#: Rows of a softmax at a time, so that they stay in the cache, and tokens whose states a
+#: score gathers for it.
+SOFTMAX_ROWS = 2048
+SCORED_TOKENS = 1 << 14
+#: Logits below are summed as they are; one of a word that isn't there.
+SMALL = 60.0
+NEVER = -1e4
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,102 +106,165 @@ class Network:
     def class_of(self, tokens: np.ndarray) -> np.ndarray:
         return np.where(tokens < self.size, tokens // CLASS_WORDS, tokens - self.size + self.classes)
 
+    def table(self) -> np.ndarray:
+        """What each token read adds to the gates."""
+        return self.p["emb"] @ self.p["wx"] + self.p["b"]
+
+    def _forward(self, table: np.ndarray, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple:
+        """States before each step, inverse gates r and z, candidates, recurrent parts of
+        all gates and new states, each (steps, units, streams), so that a step is a few
+        calls on whole arrays. ``h`` is (units, streams)."""
+        n, (steps, streams) = self.hidden, inputs.shape
+        h = h.astype(np.result_type(h, table), copy=False)
+        # the inverse of a sigmoid is 1 + exp(-x): what goes into the gates is negated beforehand
+        sign = np.ones(3 * n, h.dtype)
+        sign[: 2 * n] = -1
+        wh = np.ascontiguousarray((self.p["wh"] * sign).T)
+        gx = np.ascontiguousarray((table * sign)[inputs].transpose(0, 2, 1))
+        into_gates, into_c = gx[:, : 2 * n], gx[:, 2 * n :]
+        before, c, states = (np.empty((steps, n, streams), h.dtype) for _ in range(3))
+        u, inverse = np.empty((steps, 3 * n, streams), h.dtype), np.empty((steps, 2 * n, streams), h.dtype)
+        ones, begins = np.ones((2 * n, streams), h.dtype), (keep < 1).any(axis=1).tolist()
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                was, now, gates, part, to = before[t], states[t], inverse[t], u[t], c[t]
+                if begins[t]:
+                    np.multiply(h, keep[t], out=was)
+                else:
+                    was[...] = h
+                np.dot(wh, was, out=part)
+                np.add(part[: 2 * n], into_gates[t], out=gates)
+                np.exp(gates, out=gates)
+                np.add(gates, ones, out=gates)
+                np.divide(part[2 * n :], gates[:n], out=to)
+                np.add(to, into_c[t], out=to)
+                np.tanh(to, out=to)
+                np.subtract(was, to, out=now)
+                np.divide(now, gates[n:], out=now)
+                np.add(now, to, out=now)
+                h = now
+        return before, inverse, c, u, states
+
     def step(self, h: np.ndarray, gx: np.ndarray) -> tuple:
-        n = self.hidden
-        u = h @ self.p["wh"]
-        rz = 1 / (1 + np.exp(-(gx[:, : 2 * n] + u[:, : 2 * n])))
-        r, z = rz[:, :n], rz[:, n:]
-        c = np.tanh(gx[:, 2 * n :] + r * u[:, 2 * n :])
-        return c + z * (h - c), r, z, c, u[:, 2 * n :]
+        """(new states, gates r and z, candidates) of one step, a stream a row; ``gx`` are
+        the table's rows of the tokens read."""
+        n, keep = self.hidden, np.ones((1, len(h)), h.dtype)
+        _, inverse, c, _, states = self._forward(gx, np.arange(len(h))[None], keep, h.T)
+        return states[0].T, 1 / inverse[0, :n].T, 1 / inverse[0, n:].T, c[0].T
 
     def log_probs(self, states: np.ndarray, tokens: np.ndarray, grad: dict | None = None):
         """Natural log-probabilities of the tokens (of their class alone, if outside the
         vocabulary); with ``grad``, adds the gradients of their negative sum to it and
         returns those of the states too."""
-        p, cls = self.p, self.class_of(tokens)
-        out = np.empty(len(tokens), states.dtype)
-        ds = np.empty_like(states) if grad is not None else None
-
-        def softmax(at, weights, bias, local, to_weights, to_bias, first: bool) -> None:
-            # one column a token, so that the sums run over whole rows
-            s = states[at]
-            x = weights @ s.T
-            x += bias[:, None]
-            x -= x.max(axis=0)
-            columns = np.arange(x.shape[1])
-            value = x[local, columns]
+        p, n, dtype = self.p, self.hidden, states.dtype
+        # in order of classes; a last column of ones carries the biases
+        order = _order(self.class_of(tokens), self.classes + self.rest)
+        tokens = tokens[order]
+        cls = self.class_of(tokens)
+        s = np.ones((len(tokens), n + 1), dtype)
+        s[:, :n] = states[order]
+        wc = np.vstack([p["wc"], p["bc"]])
+        wo = np.zeros((self.classes * CLASS_WORDS, n + 1), dtype)
+        wo[: self.size, :n], wo[: self.size, n], wo[self.size :, n] = p["wo"], p["bo"], NEVER
+        wo = wo.reshape(self.classes, CLASS_WORDS, n + 1)
+        # exp needs no maximum taken off where no logit can be large
+        most = max(np.abs(wc).sum(axis=0).max(), (np.abs(p["wo"]).sum(axis=1) + np.abs(p["bo"])).max())
+        small = most * max(1.0, np.abs(s).max(initial=0.0)) < SMALL
+        value, ds = np.empty(len(tokens), dtype), np.empty_like(states) if grad is not None else None
+        to_wc, to_wo = np.zeros_like(wc), np.zeros_like(wo)
+        rows, ones = np.arange(SOFTMAX_ROWS), np.ones(max(wc.shape[1], CLASS_WORDS), dtype)
+
+        def softmax(x, local) -> np.ndarray:
+            """Log-probabilities; leaves the gradients of their negative sum in ``x``."""
+            if not small:
+                x -= x.max(axis=1, keepdims=True)
+            own = x[rows[: len(x)], local]
             np.exp(x, out=x)
-            total = x.sum(axis=0)
-            value -= np.log(total)
-            out[at] = value if first else out[at] + value
+            total = x @ ones[: x.shape[1]]
+            own -= np.log(total)
+            if grad is not None:
+                x *= (1 / total)[:, None]
+                x[rows[: len(x)], local] -= 1
+            return own
+
+        for a in range(0, len(tokens), SOFTMAX_ROWS):
+            at = slice(a, a + SOFTMAX_ROWS)
+            x = s[at] @ wc
+            value[at] = softmax(x, cls[at])
+            if grad is not None:
+                to_wc += s[at].T @ x
+                np.matmul(x, wc[:n].T, out=ds[at])
+        ends = np.searchsorted(cls, np.arange(self.classes + 1))
+        for a in range(0, int(ends[-1]), SOFTMAX_ROWS):
+            b = min(a + SOFTMAX_ROWS, int(ends[-1]))
+            x = np.empty((b - a, CLASS_WORDS), dtype)
+            cuts = np.clip(ends, a, b).tolist()
+            parts = [(k, slice(cuts[k], cuts[k + 1]), slice(cuts[k] - a, cuts[k + 1] - a)) for k in range(int(cls[a]), int(cls[b - 1]) + 1)]
+            for k, at, own in parts:
+                np.matmul(s[at], wo[k].T, out=x[own])
+            value[a:b] += softmax(x, tokens[a:b] - cls[a:b] * CLASS_WORDS)
             if grad is not None:
-                x /= total
-                x[local, columns] -= 1
-                to_weights += x @ s
-                to_bias += x.sum(axis=1)
-                back = (weights.T @ x).T
-                ds[at] = back if first else ds[at] + back
-
-        wc = np.ascontiguousarray(p["wc"].T)
-        to_wc = np.zeros_like(wc)
-        for a in range(0, len(tokens), 2048):
-            softmax(slice(a, a + 2048), wc, p["bc"], cls[a : a + 2048], to_wc, grad and grad["bc"], True)
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                part = slice(k * CLASS_WORDS, min(self.size, (k + 1) * CLASS_WORDS))
-                to = (grad["wo"][part], grad["bo"][part]) if grad else (None, None)
-                softmax(at, p["wo"][part], p["bo"][part], tokens[at] - k * CLASS_WORDS, *to, False)
+                back = np.empty((b - a, n), dtype)
+                for k, at, own in parts:
+                    to_wo[k] += x[own].T @ s[at]
+                    np.matmul(x[own], wo[k, :, :n], out=back[own])
+                ds[a:b] += back
+        out = np.empty_like(value)
+        out[order] = value
         if grad is None:
             return out
-        grad["wc"] += to_wc.T
-        return out, ds
+        to_wo = to_wo.reshape(-1, n + 1)[: self.size]
+        for name, g in (("wc", to_wc[:n]), ("bc", to_wc[n]), ("wo", to_wo[:, :n]), ("bo", to_wo[:, n])):
+            grad[name] += g
+        back = np.empty_like(ds)
+        back[order] = ds
+        return out, back
 
     def window_gradient(self, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray, real: np.ndarray | None = None):
         """Truncated backpropagation through one window (steps x streams); targets where
         ``real`` is false are padding and count for nothing."""
-        p, n, steps = self.p, self.hidden, len(inputs)
-        table = p["emb"] @ p["wx"] + p["b"]
-        before, c, u = (np.empty((steps, len(h), n), h.dtype) for _ in range(3))
-        r, z, states = (np.empty_like(c) for _ in range(3))
-        for t in range(steps):
-            np.multiply(h, keep[t][:, None], out=before[t])
-            h, r[t], z[t], c[t], u[t] = self.step(before[t], table[inputs[t]])
-            states[t] = h
-        states = states.reshape(-1, n)
+        p, n, (steps, streams) = self.p, self.hidden, inputs.shape
+        before, inverse, c, u, states = self._forward(self.table(), inputs, keep, h.T)
+        flat = lambda x: x.transpose(0, 2, 1).reshape(targets.size, -1)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         if real is None or real.all():
-            out, ds = self.log_probs(states, targets.ravel(), grad)
+            out, ds = self.log_probs(flat(states), targets.ravel(), grad)
         else:
             at = np.flatnonzero(real)
-            ds = np.zeros((targets.size, n), h.dtype)
-            out, ds[at] = self.log_probs(states[at], targets.ravel()[at], grad)
-        ds = ds.reshape(steps, -1, n)
-        # what the gradient of a state is multiplied by on its way to each gate
-        to_c = (1 - z) * (1 - c * c)
-        to_z, to_r = (before - c) * z * (1 - z), to_c * u * r * (1 - r)
-        gates_in = np.empty((steps, inputs.shape[1], 3 * n), np.float32)
-        back = np.empty_like(gates_in)
-        dh, wh = np.zeros_like(h), np.ascontiguousarray(p["wh"].T)
+            ds = np.zeros((targets.size, n), states.dtype)
+            out, ds[at] = self.log_probs(flat(states)[at], targets.ravel()[at], grad)
+        ds = np.ascontiguousarray(ds.reshape(steps, streams, n).transpose(0, 2, 1))
+        # what the gradient of a state is multiplied by on its way to each gate, and from
+        # there to the state before
+        rz = np.divide(1, inverse, out=inverse)
+        r, z, u = rz[:, :n], rz[:, n:], u[:, 2 * n :]
+        gates = np.empty((steps, 3, n, streams), states.dtype)
+        to_c = np.multiply(1 - z, 1 - c * c, out=gates[:, 2])
+        np.multiply((before - c) * z, 1 - z, out=gates[:, 1])
+        np.multiply(to_c * u * r, 1 - r, out=gates[:, 0])
+        back = gates.copy()
+        back[:, 2] *= r
+        begins, wh = (keep < 1).any(axis=1).tolist(), np.ascontiguousarray(p["wh"])
+        dh, through = np.zeros((n, streams), states.dtype), np.empty((n, streams), states.dtype)
         for t in range(steps - 1, -1, -1):
-            dh = dh + ds[t]
-            into = gates_in[t]
-            np.multiply(dh, to_r[t], out=into[:, :n])
-            np.multiply(dh, to_z[t], out=into[:, n : 2 * n])
-            np.multiply(dh, to_c[t], out=into[:, 2 * n :])
-            back[t] = into
-            back[t, :, 2 * n :] *= r[t]
-            dh = (dh * z[t] + back[t] @ wh) * keep[t][:, None]
-        grad["wh"] += before.reshape(-1, n).T @ back.reshape(-1, 3 * n)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        tokens, starts = np.unique(inputs.ravel()[order], return_index=True)
-        by_token = np.add.reduceat(gates_in.reshape(-1, 3 * n)[order], starts, axis=0)
+            to, into = ds[t], back[t]
+            np.add(to, dh, out=to)
+            np.multiply(into, to, out=into)
+            np.dot(wh, into.reshape(3 * n, streams), out=dh)
+            np.multiply(to, z[t], out=through)
+            np.add(dh, through, out=dh)
+            if begins[t]:
+                np.multiply(dh, keep[t], out=dh)
+        gates *= ds[:, None]
+        grad["wh"] += np.matmul(before, back.reshape(steps, 3 * n, streams).transpose(0, 2, 1)).sum(axis=0)
+        order = _order(inputs.ravel(), self.size + self.rest)
+        read = inputs.ravel()[order]
+        starts = np.flatnonzero(np.concatenate(([True], read[1:] != read[:-1])))
+        by_token, tokens = np.add.reduceat(flat(gates.reshape(steps, 3 * n, streams))[order], starts, axis=0), read[starts]
         grad["wx"] += p["emb"][tokens].T @ by_token
         grad["b"] += by_token.sum(axis=0)
         grad["emb"][tokens] += by_token @ p["wx"].T
-        return out.mean(), grad, h
+        return out.mean(), grad, states[-1].T
 
     def train(self, sequence: np.ndarray, begins: np.ndarray, steps: int = STEPS) -> list[float]:
         """Adam over windows of a token sequence; ``begins`` marks each document's first
@@ -265,22 +335,25 @@ class Network:
             return out
         grid, owner, fresh = self._streams(tokens, lengths, 512)
         steps, streams = grid.shape
-        table = self.p["emb"] @ self.p["wx"] + self.p["b"]
-        h = np.zeros((streams, self.hidden), np.float32)
+        table = self.table()
+        h = np.zeros((self.hidden, streams), np.float32)
         last = np.full(streams, self.end_token, dtype=np.int32)
+        held: list[np.ndarray] = []
         for a in range(0, steps, WINDOW):
             targets = grid[a : a + WINDOW]
             inputs = np.where(fresh[a : a + WINDOW], self.end_token, np.vstack([last, targets[:-1]]))
-            keep = (~fresh[a : a + WINDOW]).astype(np.float32)
-            states = np.empty((len(targets), streams, self.hidden), np.float32)
-            for t in range(len(targets)):
-                h = self.step(h * keep[t][:, None], table[inputs[t]])[0]
-                states[t] = h
-            last = targets[-1]
-            own = owner[a : a + WINDOW].ravel()
-            real = own >= 0
-            value = self.log_probs(states.reshape(-1, self.hidden)[real], targets.ravel()[real])
-            out += np.bincount(own[real], weights=value.astype(float), minlength=len(lengths))
+            states = self._forward(table, inputs, (~fresh[a : a + WINDOW]).astype(np.float32), h)[-1]
+            h, last = states[-1], targets[-1]
+            held.append(states.transpose(0, 2, 1).reshape(-1, self.hidden))
+            # the softmax takes the states of several windows at a time
+            if len(held) * WINDOW * streams >= SCORED_TOKENS or a + WINDOW >= steps:
+                b = a + len(targets)
+                done = slice(b - sum(map(len, held)) // streams, b)
+                own = owner[done].ravel()
+                real = own >= 0
+                value = self.log_probs(np.concatenate(held)[real], grid[done].ravel()[real])
+                out += np.bincount(own[real], weights=value.astype(float), minlength=len(lengths))
+                held.clear()
         return out
 
     def dump(self) -> bytes:
@@ -297,21 +370,31 @@ class Network:
 
 
 class Adam:
-    """Adam's moments for the arrays ``p``, which its steps change."""
+    """Adam's moments for the arrays of ``p``, which become parts of one array that its
+    steps change."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p, self.steps = p, 0
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.flat, self.steps, at = np.concatenate([v.ravel() for v in p.values()]), 0, 0
+        for k, v in p.items():
+            p[k] = self.flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+        self.names = list(p)
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, grad: dict[str, np.ndarray], rate: float, size: int) -> None:
         """``grad`` is a sum over ``size`` tokens."""
         self.steps += 1
-        i, first, second, scale = self.steps, self.first, self.second, 1 / size
-        for k, g in grad.items():
-            g *= scale
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            self.p[k] -= rate * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-8)
+        i, first, second = self.steps, self.first, self.second
+        g = np.concatenate([grad[k].ravel() for k in self.names])
+        g *= 1 / size
+        first += 0.1 * (g - first)
+        second += 0.01 * (g * g - second)
+        self.flat -= rate * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.99**i)) + 1e-8)
+
+
+def _order(values: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of whole numbers from 0 to ``most``; short ones are sorted by digits."""
+    return np.argsort(values.astype(np.min_scalar_type(most)), kind="stable")
 
 
 class Lookup:
@@ -524,7 +607,7 @@ def score_documents(docs: DataFrame, held_out, head: int = HEAD, vocabulary: int
                 base = sums(base_log[at[found]], found)
                 cut = np.searchsorted(owner[rare], np.arange(1, b - a))
                 pool.append((
-                    batch.iloc[a:b], counts, ids, np.bincount(owner[found], minlength=b - a), base,
+                    batch[["doc_id", "held_out"]].iloc[a:b], counts, ids.astype(np.int32), np.bincount(owner[found], minlength=b - a), base,
                     sums(rest_log[at[middle]], middle), np.split(tokens[rare].view(np.int64), cut),
                 ))
                 size += len(tokens)
