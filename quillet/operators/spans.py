@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.text import strip as stripped
-from quillet.operators.masking import PLACEHOLDER, RULES
+from quillet.operators.masking import NUMBER, PLACEHOLDER, RULES
 from quillet.operators.windows import greedy_spans
 from quillet.sources.store import shared_table
 
@@ -28,7 +28,7 @@ FIELDS = ["start", "end", "original", "replacement", "entity_type", "source", "p
 #: What a text has to hold for a rule to match at all.
 NEEDED = {"URL": "://", "EMAIL": "@"}
 _MARK = PLACEHOLDER.pattern
-_BARE = r"E(?<![A-Za-z0-9_]E)NTITY_(\d{3})(?![A-Za-z0-9_])"
+_BARE = rf"E(?<![A-Za-z0-9_]E)NTITY_({NUMBER})(?![A-Za-z0-9_])"
 _SPACE = r"[\s\x1c-\x1f]"
 _BOUNDARY = r"[。！？!?；;\n]"
 
