@@ -21,7 +21,7 @@ from quillet.operators import spans as sp
 from quillet.operators.fuzzy import fuzzy_matches
 from quillet.operators.matching import MatchConfig
 from quillet.operators.segments import PLACEHOLDER_FAILURES, RETRYABLE, Refiner
-from quillet.sources.store import shared_table
+from quillet.sources.store import discard, shared_table
 
 NONE = "array<string>"
 OUTCOME = [
@@ -76,10 +76,15 @@ def prepared(segments: DataFrame, dictionary: DataFrame | None, domain: str, mod
         ready = ready.join(listed, "id", "left").withColumn("matches", F.coalesce("matches", F.array().cast(kind)))
     suggested = F.transform(F.filter("matches", lambda m: m["decision"] == "HINT_ONLY"), lambda m: m["canonical"])
     spans, text, masked = F.col("spans"), F.col("text"), F.col("masked_text")
-    return shared_table(ready.select(
-        "id", "text", "masked_text", "spans", "matches", sp.restored(masked, text, masked, spans)["text"].alias("baseline"),
+    # what is as the text is not stored again
+    baseline, plain = sp.restored(masked, text, masked, spans)["text"], F.size(spans) == 0
+    done = shared_table(ready.select(
+        "id", "text", F.when(~plain, masked).alias("masked_text"), "spans", "matches", baseline.alias("baseline"),
         F.slice(F.array_distinct(F.concat(sp.hints(spans), suggested)), 1, config.max_refiner_hints).alias("hints"),
-    ), "prepared")
+    ).withColumn("baseline", F.when(F.col("baseline") != text, F.col("baseline"))), "prepared")
+    for table in (exact, found) if found is not None else ():
+        discard(table)
+    return done.withColumns({c: F.coalesce(c, "text") for c in ("masked_text", "baseline")})
 
 
 def called(ready: DataFrame, make_refiner: Callable[[], Refiner], strict: bool) -> DataFrame:
@@ -102,9 +107,11 @@ def called(ready: DataFrame, make_refiner: Callable[[], Refiner], strict: bool)
     return ready.withColumn("o", call(F.struct("masked_text", "hints"))).select("*", "o.output", "o.error").drop("o")
 
 
-def checked(met: DataFrame) -> DataFrame:
+def checked(met: DataFrame, strict: bool) -> DataFrame:
     """``met`` (prepared segments with output and error) with clean_text and reasons: the
-    restored output, or the baseline and why."""
+    restored output, or the baseline and why; audit_issues and normalizations. Only what
+    is tried again keeps what was prepared for it, so a text is stored as few times as it
+    can be."""
     baseline = F.col("baseline")
     met = met.withColumn("r", sp.restored(F.col("output"), F.col("text"), F.col("masked_text"), F.col("spans")))
     guard = guard_column(baseline, F.col("r.text"))
@@ -112,7 +119,17 @@ def checked(met: DataFrame) -> DataFrame:
     reasons = F.when(F.col("error").isNotNull(), F.array(F.lit("refiner_error"))).when(F.size("r.reasons") > 0, F.col("r.reasons")).otherwise(wrong)
     # what can be tried again is looked up again: the call is not repeated for it
     done = met.withColumn("reasons", reasons).withColumn("clean_text", F.when(F.size("reasons") > 0, baseline).otherwise(F.col("r.text"))).drop("r")
-    return shared_table(done, "checked")
+    changed = F.filter("spans", lambda s: s["original"] != s["replacement"])
+    done = done.withColumns({
+        "audit_issues": sp.audit(F.col("clean_text"), F.col("spans")),
+        "normalizations": F.transform(changed, lambda s: F.concat(s["original"], F.lit("->"), s["replacement"])),
+    })
+    again = F.lit(False) if strict else tried_again()
+    return shared_table(done.withColumns({c: F.when(again, F.col(c)) for c in ("text", "masked_text", "spans", "baseline", "matches")}), "checked")
+
+
+def tried_again() -> Column:
+    return retryable(F.col("reasons")) & F.col("error").isNull()
 
 
 def refine_batch(rows: DataFrame, dictionary: DataFrame | None, make_refiner: Callable[[], Refiner], domain: str = "general", mode: str = "shadow", allow_auto: bool = True,
@@ -130,20 +147,21 @@ def refine_batch(rows: DataFrame, dictionary: DataFrame | None, make_refiner: Ca
     segments = shared_table(parts.select(F.struct("id", "seg").alias("id"), "text"), "segments")
     ready = prepared(segments, dictionary, domain, mode, allow_auto, sounds, config)
 
-    first = checked(called(ready, make_refiner, strict=False))
-    again = retryable(F.col("reasons")) & F.col("error").isNull()
+    first = checked(called(ready, make_refiner, strict=False), strict=False)
+    for table in (segments, ready):
+        discard(table)
+    again = tried_again()
     retried = first.where(again).select(*ready.columns, F.col("output").alias("o1"), F.col("reasons").alias("r1"))
-    second = checked(called(retried, make_refiner, strict=True))
+    second = checked(called(retried, make_refiner, strict=True), strict=True)
     names = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(_no_names())
     once = first.where(~again).select("*", F.lit(0).alias("retries"), F.lit(0).alias("placeholder_retries"), _no_names().alias("retry_reasons"), names("output").alias("masked_outputs"))
     twice = second.select(
         "*", F.lit(1).alias("retries"), marks_failed(F.col("r1")).cast("int").alias("placeholder_retries"), F.col("r1").alias("retry_reasons"), F.concat(F.array("o1"), names("output")).alias("masked_outputs"),
     ).drop("o1", "r1")
-    changed = F.filter("spans", lambda s: s["original"] != s["replacement"])
     done = once.unionByName(twice).select(
         F.col("id.id").alias("id"), F.struct(
-            F.col("id.seg").alias("seg"), "clean_text", "reasons", sp.audit(F.col("clean_text"), F.col("spans")).alias("audit_issues"), "hints", "retries", "placeholder_retries", "retry_reasons",
-            "masked_outputs", F.transform(changed, lambda s: F.concat(s["original"], F.lit("->"), s["replacement"])).alias("normalizations"), "error",
+            F.col("id.seg").alias("seg"), "clean_text", "reasons", "audit_issues", "hints", "retries", "placeholder_retries", "retry_reasons",
+            "masked_outputs", "normalizations", "error",
         ).alias("s"),
     )
     return _merged(done).unionByName(_input_errors(rows.where(blank)))
